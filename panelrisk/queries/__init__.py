@@ -35,4 +35,5 @@ def load_all() -> None:
     # importing the modules fills the registry
     from panelrisk.queries import (  # noqa: F401
         q_panel,
+        q_features,
     )
