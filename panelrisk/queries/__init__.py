@@ -36,4 +36,5 @@ def load_all() -> None:
     from panelrisk.queries import (  # noqa: F401
         q_panel,
         q_features,
+        q_splits,
     )
