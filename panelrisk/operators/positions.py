@@ -44,6 +44,7 @@ def with_positions(
     cumulative: list[str] | tuple = (),
     out: str = "pos",
     n_ranges: int = DEFAULT_RANGES,
+    keep_ranges: bool = False,
 ) -> DataFrame:
     """Add ``out`` = 0-based position within ``by`` in order (``order`` [desc], ``tiebreak`` asc).
 
@@ -92,7 +93,9 @@ def with_positions(
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in cum:
         d = d.withColumn(f"{c}_cum", F.col(f"_o_{c}") + F.sum(c).over(running))
-    return d.drop("_k", "_tb", "_point", "_major", "_minor", "_off", *[f"_o_{c}" for c in cum])
+    keep = ["_major", "_minor"] if keep_ranges else []
+    return d.drop("_k", "_tb", "_point", "_off", *[f"_o_{c}" for c in cum],
+                  *[x for x in ("_major", "_minor") if x not in keep])
 
 
 def group_sizes(df: DataFrame, by: list[str] | tuple = (), out: str = "n") -> DataFrame:
@@ -108,3 +111,36 @@ def attach(df: DataFrame, small: DataFrame, by: list[str] | tuple = ()) -> DataF
     """
     by = list(by)
     return df.join(F.broadcast(small), by, "inner") if by else df.crossJoin(F.broadcast(small))
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | tuple = ()) -> DataFrame:
+    """Exact linear-interpolation quantiles (numpy's default) per group.
+
+    Returns (by…, q, value). Works on the table of distinct values with their
+    counts: running counts give each value its rank interval; the 2·len(probs)
+    wanted ranks per group are located first among the position ranges (small
+    × small), then equi-joined to the value table on the range key, so no row
+    is compared with every wanted rank and no group is gathered in one task.
+    """
+    by = list(by)
+    spark = df.sparkSession
+    g = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_cnt"))
+    p = with_positions(g, col, by=by, cumulative=["_cnt"], keep_ranges=True)
+    p = p.withColumn("_start", F.col("_cnt_cum") - F.col("_cnt"))
+    ranges = p.groupBy(*by, "_major", "_minor").agg(F.min("_start").alias("_r0"), F.max("_cnt_cum").alias("_r1"))
+    n = g.groupBy(*by).agg(F.sum("_cnt").alias("_n"))
+    qs = spark.createDataFrame([(float(q),) for q in probs], "q double")
+    h = (F.col("_n") - 1) * F.col("q")
+    wanted = n.crossJoin(F.broadcast(qs))  # groups × probabilities: small
+    wanted = wanted.withColumn("_h", h).withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
+    ranks = wanted.select(*by, "q", "_h", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
+    located = ranks.join(F.broadcast(ranges), [*by], "inner") if by else ranks.crossJoin(F.broadcast(ranges))
+    located = located.filter((F.col("_r") >= F.col("_r0")) & (F.col("_r") < F.col("_r1"))).drop("_r0", "_r1")
+    vals = p.join(F.broadcast(located), [*by, "_major", "_minor"], "inner").filter(
+        (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_cnt_cum"))
+    ).select(*by, "q", "_h", "_r", F.col(col).cast("double").alias("_v"))
+    lo_v = F.min_by("_v", "_r")
+    hi_v = F.max_by("_v", "_r")
+    out = vals.groupBy(*by, "q").agg(lo_v.alias("_vlo"), hi_v.alias("_vhi"), F.first("_h").alias("_h"))
+    frac = F.col("_h") - F.floor("_h")
+    return out.select(*by, "q", (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias("value"))

@@ -15,15 +15,15 @@ from panelrisk.spec import PanelSpec
 
 
 def calendar_split(df: DataFrame, spec: PanelSpec, train_frac: float = 0.8, test_end=None,
-                   out: str = "split") -> DataFrame:
+                   out: str = "split", by=()) -> DataFrame:
     """``train`` if date <= min + frac·(max - min) on the time axis, else ``test``.
 
     With ``test_end`` (a date), test rows after it get split NULL (B18): the
     day itself is kept.
     """
     dn = numeric_key(df, spec.date)
-    span = df.agg(F.min(dn).alias("_d0"), F.max(dn).alias("_d1"))
-    o = attach(df, span)
+    span = df.groupBy(*by).agg(F.min(dn).alias("_d0"), F.max(dn).alias("_d1"))
+    o = attach(df, span, by)
     is_train = (dn - F.col("_d0")) <= F.lit(train_frac) * (F.col("_d1") - F.col("_d0"))
     s = F.when(is_train, F.lit("train"))
     if test_end is not None:

@@ -37,4 +37,5 @@ def load_all() -> None:
         q_panel,
         q_features,
         q_splits,
+        q_metrics,
     )
