@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.operators.positions import attach, exact_quantiles, with_positions
+from panelrisk.session import cut_lineage
 
 
 def score_table(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
@@ -26,8 +27,8 @@ def score_table(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("neg"),
     )
     c = with_positions(g, score, by=by, descending=True, cumulative=["pos", "neg"], out="_rank")
-    c = c.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp").drop("_rank")
-    totals = g.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    c = cut_lineage(c.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp").drop("_rank"))
+    totals = c.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return attach(c, totals, by)
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
+from panelrisk.session import cut_lineage
+
 DEFAULT_RANGES = 64
 
 
@@ -55,7 +57,9 @@ def with_positions(
     sign = -1.0 if descending else 1.0
     k = F.coalesce(numeric_key(df, order) * sign, F.lit(float("inf")))
     tb = numeric_key(df, tiebreak) if tiebreak else F.lit(0.0)
-    d = df.withColumn("_k", k).withColumn("_tb", tb)
+    # read four times below (bounds, point ranges, range totals, final window):
+    # materialise once in the shared checkpoint folder instead of recomputing
+    d = cut_lineage(df.withColumn("_k", k).withColumn("_tb", tb))
 
     bounds = d.groupBy(*by).agg(F.percentile_approx("_k", _probs(n_ranges), 10000).alias("_b"))
     d = d.join(F.broadcast(bounds), by, "inner") if by else d.crossJoin(F.broadcast(bounds))
@@ -125,10 +129,10 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] |
     by = list(by)
     spark = df.sparkSession
     g = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_cnt"))
-    p = with_positions(g, col, by=by, cumulative=["_cnt"], keep_ranges=True)
+    p = cut_lineage(with_positions(g, col, by=by, cumulative=["_cnt"], keep_ranges=True))
     p = p.withColumn("_start", F.col("_cnt_cum") - F.col("_cnt"))
     ranges = p.groupBy(*by, "_major", "_minor").agg(F.min("_start").alias("_r0"), F.max("_cnt_cum").alias("_r1"))
-    n = g.groupBy(*by).agg(F.sum("_cnt").alias("_n"))
+    n = p.groupBy(*by).agg(F.sum("_cnt").alias("_n"))
     qs = spark.createDataFrame([(float(q),) for q in probs], "q double")
     h = (F.col("_n") - 1) * F.col("q")
     wanted = n.crossJoin(F.broadcast(qs))  # groups × probabilities: small

@@ -23,36 +23,36 @@ def daily_mean(df: DataFrame, date_col: str, cols: list[str]) -> DataFrame:
     return df.groupBy(F.col(date_col).alias("ds")).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def calendar(df: DataFrame, ds: str = "ds", step_days: int = 1) -> DataFrame:
-    """Every day (or every ``step_days``) from min to max of ``ds``; one column ``ds``."""
-    bounds = df.agg(F.min(ds).alias("lo"), F.max(ds).alias("hi"))
+def calendar(df: DataFrame, ds: str = "ds", step_days: int = 1, by=()) -> DataFrame:
+    """Every day (or every ``step_days``) from min to max of ``ds`` (per ``by`` group)."""
+    bounds = df.groupBy(*by).agg(F.min(ds).alias("lo"), F.max(ds).alias("hi"))
     return bounds.select(
-        F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {step_days} DAYS"))).alias("ds")
+        *by, F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {step_days} DAYS"))).alias(ds)
     )
 
 
-def densify(series: DataFrame, fill: dict | None = None, ds: str = "ds") -> DataFrame:
+def densify(series: DataFrame, fill: dict | None = None, ds: str = "ds", by=()) -> DataFrame:
     """Reindex a date-keyed series to a gap-free daily calendar.
 
     Missing values of the columns named in ``fill`` become the given constant;
     other columns stay NULL (to be interpolated).
     """
-    cal = calendar(series, ds)
-    out = cal.join(series, ds, "left")
+    cal = calendar(series, ds, by=by)
+    out = cal.join(series, [*by, ds], "left")
     for c, v in (fill or {}).items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)).cast(series.schema[c].dataType))
     return out
 
 
-def interpolate_linear(series: DataFrame, cols: list[str], ds: str = "ds") -> DataFrame:
+def interpolate_linear(series: DataFrame, cols: list[str], ds: str = "ds", by=()) -> DataFrame:
     """Linear interpolation over the day axis, then forward fill, then back fill.
 
     Positions are day numbers of a gap-free calendar, so interpolation by
     position equals interpolation by index.
     """
     pos = F.datediff(F.col(ds), F.lit("1970-01-01").cast("date"))
-    w_back = Window.orderBy(ds).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_fwd = Window.orderBy(ds).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    w_back = Window.partitionBy(*by).orderBy(ds).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_fwd = Window.partitionBy(*by).orderBy(ds).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     out = series.withColumn("_pos", pos)
     for c in cols:
         prev_v = F.last(F.col(c), ignorenulls=True).over(w_back)
@@ -72,5 +72,5 @@ def interpolate_linear(series: DataFrame, cols: list[str], ds: str = "ds") -> Da
 
 def weekly(series: DataFrame, sum_cols: list[str], mean_cols: list[str] = (), ds: str = "ds") -> DataFrame:
     """Monday–Sunday bins labelled by their Sunday."""
-    aggs = [F.sum(c).cast("bigint").alias(c) for c in sum_cols] + [F.avg(c).alias(c) for c in mean_cols]
+    aggs = [F.sum(c).alias(c) for c in sum_cols] + [F.avg(c).alias(c) for c in mean_cols]
     return series.groupBy(week_ending_sunday(F.col(ds)).alias(ds)).agg(*aggs)

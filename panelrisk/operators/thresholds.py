@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelrisk.operators.positions import exact_quantiles
+from panelrisk.session import cut_lineage
 
 GRID = [float(x) for x in np.linspace(0.001, 0.999, 400)]
 
@@ -28,14 +29,15 @@ def grid_table(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
     """(by…, threshold, tp, fp, P, N) for every candidate threshold of the grid."""
     by = list(by)
     qs = exact_quantiles(df, score, GRID, by)
-    grid = qs.groupBy(*by).agg(F.array_sort(F.array_distinct(F.collect_list("value"))).alias("_ths"))
+    # at most 400 values per group: a small array, broadcast to every score
+    grid = cut_lineage(qs.groupBy(*by).agg(F.array_sort(F.array_distinct(F.collect_list("value"))).alias("_ths")))
     g = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
     )
     g = g.join(F.broadcast(grid), by, "inner") if by else g.crossJoin(F.broadcast(grid))
     g = g.withColumn("_bucket", F.size(F.filter("_ths", lambda t: t <= F.col(score))))
-    b = g.groupBy(*by, "_bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    b = cut_lineage(g.groupBy(*by, "_bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     # one row per candidate j (1-based): alarms are scores in buckets >= j
     cand = grid.select(*by, F.posexplode("_ths").alias("_j0", "threshold")).withColumn("_j", F.col("_j0") + 1)
     cb = cand.join(b, by, "inner") if by else cand.crossJoin(b)
@@ -46,6 +48,7 @@ def grid_table(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
         F.sum("pos").alias("P"),
         F.sum("neg").alias("N"),
     )
+    out = cut_lineage(out)
     p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     r = F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(0.0)
     f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)

@@ -38,4 +38,6 @@ def load_all() -> None:
         q_features,
         q_splits,
         q_metrics,
+        q_ranking,
+        q_forecast,
     )

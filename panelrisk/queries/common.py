@@ -26,6 +26,6 @@ def typed_sql(cols: list[tuple[str, str]], digits: int = 6, prefix: str = "") ->
     for name, kind in cols:
         e = f"CAST({prefix}{name} AS {SQL_TYPES[kind]})"
         if kind == "d":
-            e = f"ROUND({e}, {digits})"
+            e = f"(ROUND({e}, {digits}) + 0.0)"  # + 0.0 turns -0.0 into 0.0
         parts.append(f"{e} AS {name}")
     return ", ".join(parts)
