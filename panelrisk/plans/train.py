@@ -28,3 +28,64 @@ def choose_threshold(train_scored: DataFrame, label: str, score: str, mode: str,
         p = thresholds.precision_threshold(grid, precision_target).select(F.col("threshold").alias("_p"))
         return p.crossJoin(top).select(F.coalesce("_p", "threshold").alias("threshold"))
     raise ValueError(f"unknown threshold mode {mode!r}")
+
+
+from panelrisk.operators import metrics, models, prep, splits  # noqa: E402
+from panelrisk.plans.features import engineer_features, feature_columns, split_feature_kinds  # noqa: E402
+from panelrisk.session import cut_lineage  # noqa: E402
+from panelrisk.spec import PanelSpec  # noqa: E402
+
+
+def feature_frame(panel: DataFrame, spec: PanelSpec, train_frac: float = 0.8, test_end=None) -> DataFrame:
+    """Feature table with the calendar ``split`` and a double ``label`` (written once, read by every fit)."""
+    f = engineer_features(panel, spec)
+    f = splits.calendar_split(f, spec, train_frac, test_end)
+    f = f.filter(F.col("split").isNotNull()).withColumn("label", F.col(spec.label).cast("double"))
+    return cut_lineage(f)
+
+
+def prepare_matrices(feat: DataFrame, spec: PanelSpec, standardize: bool = False, keep=()):
+    """Fit the preprocessor on train; return (preprocessor, assembled train, assembled test)."""
+    cols = [c for c in feature_columns(feat, spec) if c not in ("split", "label")]
+    num, cat = split_feature_kinds(cols, spec)
+    train = feat.filter("split = 'train'")
+    p = prep.fit_preprocessor(train, num, cat, standardize=standardize)
+    keys = [spec.entity, spec.date, "split", "label", *keep]
+
+    def mat(df):
+        return prep.assemble(prep.transform(df, p, keys, standardize=standardize), p)
+
+    return p, cut_lineage(mat(train)), cut_lineage(mat(feat.filter("split = 'test'")))
+
+
+def train_and_report(panel: DataFrame, spec: PanelSpec, model: str = "gbt", overrides: dict | None = None,
+                     threshold_mode: str = "alarm", alarm_rate: float = 0.10, recall_target: float = 0.80,
+                     precision_target: float = 0.60):
+    """Main flow (N02): features → split → preprocess → fit → scores → threshold → reports.
+
+    Returns a dict of DataFrames: ``scores`` (both splits), ``threshold``,
+    ``metrics`` (AUC/AP per split), ``report`` (classification report per
+    split), ``tradeoff`` (precision at recall targets).
+    """
+    feat = feature_frame(panel, spec)
+    p, tr, te = prepare_matrices(feat, spec, standardize=(model == "logreg"))
+    m = models.fit(model, tr, overrides)
+    scored = cut_lineage(models.score(m, tr).unionByName(models.score(m, te)).drop("features"))
+    th = choose_threshold(scored.filter("split = 'train'"), "label", "score", threshold_mode, alarm_rate,
+                          recall_target, precision_target)
+    flagged = scored.crossJoin(F.broadcast(th)).withColumn(
+        "alarm", F.coalesce((F.col("score") >= F.col("threshold")), F.lit(False)).cast("int"))
+    if threshold_mode == "alarm":  # per-split quantile, as in the original alarm mode
+        per = thresholds.alarm_rate_threshold(scored, "score", alarm_rate, ["split"])
+        flagged = scored.join(F.broadcast(per), "split").withColumn(
+            "alarm", (F.col("score") >= F.col("threshold")).cast("int"))
+    return {
+        "model": m,
+        "preprocessor": p,
+        "scores": scored,
+        "threshold": th,
+        "metrics": metrics.auc_ap(scored, "label", "score", ["split"]),
+        "report": metrics.classification_report(flagged, "label", "alarm", ["split"]),
+        "tradeoff": thresholds.recall_tradeoff(thresholds.grid_table(scored, "label", "score", ["split"]),
+                                               [0.9, 0.8, 0.7, 0.6, 0.5], ["split"]),
+    }

@@ -40,4 +40,5 @@ def load_all() -> None:
         q_metrics,
         q_ranking,
         q_forecast,
+        q_models,
     )
