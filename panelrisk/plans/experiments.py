@@ -32,3 +32,42 @@ def experiment_table(long: DataFrame, label: str, score: str = "score", by=("dat
         *by, F.col("precision").alias("train_prec_at_recall80"))
     out = ra.join(tk, by).join(base, by).join(gr, by, "left")
     return out.withColumn("lift_top10", F.col("prec_top10") / F.col("base_rate"))
+
+
+def scored_long(panel: DataFrame, spec, model_names=("gbt", "logreg"), overrides: dict | None = None,
+                datasets=None) -> DataFrame:
+    """Fit every model on every dataset variant; long (dataset, model, split, label, score) table.
+
+    Each dataset's feature table is written once; fits run as independent
+    MLlib jobs.
+    """
+    from panelrisk.operators import models
+    from panelrisk.plans.train import feature_frame, prepare_matrices
+    from panelrisk.sources.variants import VARIANTS, dataset_variants
+
+    variants = dataset_variants(panel, spec)
+    out = None
+    for ds in datasets or VARIANTS:
+        v = variants.filter(F.col("dataset") == ds).drop("dataset")
+        feat = feature_frame(v, spec)
+        for name in model_names:
+            p, tr, te = prepare_matrices(feat, spec, standardize=(name == "logreg"))
+            m = models.fit(name, tr, (overrides or {}).get(name))
+            s = models.score(m, tr).unionByName(models.score(m, te)).select(
+                F.lit(ds).alias("dataset"), F.lit(name).alias("model"), "split", "label", "score")
+            s = cut_lineage(s)
+            out = s if out is None else out.unionByName(s)
+    return out
+
+
+def target_table(long: DataFrame, label: str = "label", score: str = "score", target_precision: float = 0.60,
+                 by=("dataset", "model")) -> DataFrame:
+    """Per (dataset, model) on test: oracle ceiling (best recall at precision >= target, max precision)
+    and precision at the top 1/2/3/5 % (L05)."""
+    by = list(by)
+    test = long.filter("split = 'test'")
+    ceiling = metrics.max_recall_at_precision(test, label, score, [target_precision], by).drop("target")
+    tops = metrics.at_top_rates(test, label, score, [0.01, 0.02, 0.03, 0.05], by)
+    wide = tops.groupBy(*by).pivot("rate", [0.01, 0.02, 0.03, 0.05]).agg(F.first("precision"))
+    wide = wide.toDF(*by, "prec_top1", "prec_top2", "prec_top3", "prec_top5")
+    return ceiling.join(wide, by)

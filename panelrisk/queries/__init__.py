@@ -41,4 +41,5 @@ def load_all() -> None:
         q_ranking,
         q_forecast,
         q_models,
+        q_flows,
     )
