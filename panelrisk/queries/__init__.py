@@ -42,4 +42,5 @@ def load_all() -> None:
         q_forecast,
         q_models,
         q_flows,
+        q_io,
     )
