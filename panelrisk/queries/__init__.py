@@ -43,4 +43,5 @@ def load_all() -> None:
         q_models,
         q_flows,
         q_io,
+        q_streaming,
     )
