@@ -138,3 +138,11 @@ def q_permutation_importance(spark, sf):
     m = models.fit("gbt_regularized", tr, QUICK["gbt_regularized"])
     sample = sampling.sample_rows(f.filter("split = 'test'"), S, 2000)
     return permutation_importance(m, p, sample, "label", ["entity_id", "date"])
+
+
+@register("top_k_importance")
+def q_top_k_importance(spark, sf):
+    """The 10 features with the largest gain."""
+    p, tr, te = matrices(spark, sf)
+    m = models.fit("gbt", tr, QUICK["gbt"])
+    return models.feature_importance(m, p.output_columns, spark).orderBy(F.desc("gain"), "feature").limit(10)

@@ -285,3 +285,32 @@ def q_subgroup_rule_lift(spark, sf):
     rules = {k: F.expr(v) for k, v in RULES.items()}
     r = aggregates.rule_lift(fixture_panel(spark, sf), rules, LABEL)
     return typed(r, [("rule", "s"), ("n", "l"), ("rate", "d"), ("lift", "d")])
+
+
+@register("union_rows", f"""
+WITH {SPLIT_SQL},
+t AS (SELECT * FROM sp WHERE split = 'train'),
+r AS (SELECT entity_id, date, event_next_30d, ROW_NUMBER() OVER (ORDER BY {MD5}) - 1 AS rk FROM t WHERE event_next_30d = 0),
+c AS (SELECT SUM(CASE WHEN event_next_30d <> 0 THEN 1 ELSE 0 END) AS n_min, SUM(CASE WHEN event_next_30d = 0 THEN 1 ELSE 0 END) AS n_maj FROM t)
+SELECT entity_id, date, event_next_30d FROM t WHERE event_next_30d <> 0
+UNION ALL
+SELECT entity_id, date, event_next_30d FROM r, c WHERE rk < LEAST(n_maj, FLOOR(n_min * 1.0))
+""")
+def q_union_rows(spark, sf):
+    """Train-only balancing (the default scope): positives UNION ALL the kept negatives."""
+    tr = split_panel(spark, sf).filter("split = 'train'")
+    return sampling.undersample_majority(tr, S, LABEL, 1.0).select("entity_id", "date", LABEL)
+
+
+@register("filter_entity", f"""
+WITH {EVENTS_SQL},
+one AS (SELECT MIN(entity_id) AS e FROM panel)
+SELECT date, CAST(event AS INTEGER) AS event FROM ev, one WHERE entity_id = e
+""")
+def q_filter_entity(spark, sf):
+    """One entity's events, filtered after event derivation."""
+    from panelrisk.plans.forecast_entity import entity_events
+
+    p = fixture_panel(spark, sf)
+    first = p.agg(F.min("entity_id")).collect()[0][0]
+    return entity_events(p, S, first).select("date", F.col("event").cast("int").alias("event"))
