@@ -62,7 +62,9 @@ def fixture_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     doy = F.dayofyear("date")
     season_temp = F.round(12 - 16 * F.cos(2 * F.pi() * (doy - 20) / 365.25), 1)
     next_ev = F.min(F.when(F.col("ev") == 1, F.col("dn"))).over(ahead)
-    d0 = F.min("dn").over(Window.partitionBy("entity_id"))
+    # first day of the entity: min over the running frame (ascending order) reuses the
+    # window spec of the other columns instead of adding an unordered window and sort
+    d0 = F.min("dn").over(running)
 
     def within(h: int) -> Column:
         return F.coalesce((next_ev - F.col("dn") <= h).cast("int"), F.lit(0))
