@@ -167,14 +167,18 @@ def error_by_horizon(points: DataFrame, y: str = "y", yhat: str = "yhat", rollin
     g = g.withColumn("cn", F.sum("cnt").over(w)).withColumn("ca", F.sum("sa").over(w)).withColumn(
         "cs", F.sum("ss").over(w))
     g = attach(g, n)
-    t = g.alias("t")
-    i = g.select(*[F.col(c).alias(f"i_{c}") for c in g.columns])
-    pairs = t.crossJoin(i).filter(F.col("i_horizon") <= F.col("horizon"))
-    # points from group i to t: cn_t - cn_i + cnt_i
-    span_n = F.col("cn") - F.col("i_cn") + F.col("i_cnt")
-    ok = pairs.filter(span_n >= F.col("w"))
-    best = ok.groupBy("horizon", "w", "cn", "ca", "cs").agg(
-        F.max_by(F.struct("i_cn", "i_cnt", "i_ca", "i_sa", "i_cs", "i_ss"), "i_horizon").alias("i"))
+    # the window of horizon t starts in the group i holding point rank cn_t - w (as-of on the
+    # groups' start ranks); horizons with fewer than w points up to them are dropped
+    probe = g.filter(F.col("cn") >= F.col("w")).select("horizon", "w", "cn", "ca", "cs",
+                                                       (F.col("cn") - F.col("w")).alias("_rank"))
+    starts = g.select((F.col("cn") - F.col("cnt")).alias("i_start"), F.col("cn").alias("i_cn"),
+                      F.col("cnt").alias("i_cnt"), F.col("ca").alias("i_ca"), F.col("sa").alias("i_sa"),
+                      F.col("cs").alias("i_cs"), F.col("ss").alias("i_ss"))
+    from panelrisk.operators.positions import asof_lookup
+
+    best = asof_lookup(probe, starts, (), "_rank", "i_start", ["i_cn", "i_cnt", "i_ca", "i_sa", "i_cs", "i_ss"])
+    best = best.select("horizon", "w", "cn", "ca", "cs",
+                       F.struct("i_cn", "i_cnt", "i_ca", "i_sa", "i_cs", "i_ss").alias("i"))
     sn = F.col("cn") - F.col("i.i_cn") + F.col("i.i_cnt")
     excess = sn - F.col("w")
 

@@ -117,6 +117,26 @@ def attach(df: DataFrame, small: DataFrame, by: list[str] | tuple = ()) -> DataF
     return df.join(F.broadcast(small), by, "inner") if by else df.crossJoin(F.broadcast(small))
 
 
+def asof_lookup(left: DataFrame, right: DataFrame, by: list[str] | tuple, left_key: str, right_key: str,
+                payload: list[str]) -> DataFrame:
+    """For each ``left`` row: ``payload`` of the ``right`` row with the largest right_key <= left_key.
+
+    Both inputs are small per group (ranges, horizons, wanted ranks). The two
+    tables are unioned and one ordered window carries the last right row
+    forward, so no left row is paired with every right row.
+    """
+    by = list(by)
+    l_cols = [c for c in left.columns if c not in by]
+    lt = left.select(*by, F.col(left_key).cast("double").alias("_ak"), F.lit(1).alias("_side"),
+                     F.struct(*l_cols).alias("_l"), F.lit(None).cast(
+                         right.select(F.struct(*payload).alias("p")).schema["p"].dataType).alias("_r"))
+    rt = right.select(*by, F.col(right_key).cast("double").alias("_ak"), F.lit(0).alias("_side"),
+                      F.lit(None).cast(lt.schema["_l"].dataType).alias("_l"), F.struct(*payload).alias("_r"))
+    w = Window.partitionBy(*by).orderBy("_ak", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = lt.unionByName(rt).withColumn("_hit", F.last("_r", ignorenulls=True).over(w))
+    return u.filter("_side = 1").select(*by, "_l.*", "_hit.*")
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | tuple = ()) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy's default) per group.
 
@@ -138,8 +158,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] |
     wanted = n.crossJoin(F.broadcast(qs))  # groups × probabilities: small
     wanted = wanted.withColumn("_h", h).withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
     ranks = wanted.select(*by, "q", "_h", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    located = ranks.join(F.broadcast(ranges), [*by], "inner") if by else ranks.crossJoin(F.broadcast(ranges))
-    located = located.filter((F.col("_r") >= F.col("_r0")) & (F.col("_r") < F.col("_r1"))).drop("_r0", "_r1")
+    # the range holding rank r is the one with the largest start <= r
+    located = asof_lookup(ranks, ranges, by, "_r", "_r0", ["_major", "_minor"])
     vals = p.join(F.broadcast(located), [*by, "_major", "_minor"], "inner").filter(
         (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_cnt_cum"))
     ).select(*by, "q", "_h", "_r", F.col(col).cast("double").alias("_v"))

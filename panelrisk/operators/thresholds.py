@@ -37,17 +37,18 @@ def grid_table(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
     )
     g = g.join(F.broadcast(grid), by, "inner") if by else g.crossJoin(F.broadcast(grid))
     g = g.withColumn("_bucket", F.size(F.filter("_ths", lambda t: t <= F.col(score))))
-    b = cut_lineage(g.groupBy(*by, "_bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-    # one row per candidate j (1-based): alarms are scores in buckets >= j
-    cand = grid.select(*by, F.posexplode("_ths").alias("_j0", "threshold")).withColumn("_j", F.col("_j0") + 1)
-    cb = cand.join(b, by, "inner") if by else cand.crossJoin(b)
-    hit = F.col("_bucket") >= F.col("_j")
-    out = cb.groupBy(*by, "threshold").agg(
-        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
-        F.sum("pos").alias("P"),
-        F.sum("neg").alias("N"),
-    )
+    b = g.groupBy(*by, "_bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # every bucket index 0..len(grid) per group, so candidate j meets its suffix sum by equality
+    dense = grid.select(*by, F.explode(F.sequence(F.lit(0), F.size("_ths"))).alias("_bucket"))
+    b = dense.join(b, [*by, "_bucket"], "left").fillna(0, ["pos", "neg"])
+    suffix = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding,
+                                                                          Window.currentRow)
+    whole = Window.partitionBy(*by)
+    b = cut_lineage(b.select(*by, "_bucket", F.sum("pos").over(suffix).alias("tp"), F.sum("neg").over(suffix).alias("fp"),
+                             F.sum("pos").over(whole).alias("P"), F.sum("neg").over(whole).alias("N")))
+    # candidate j (1-based) alarms the scores in buckets >= j
+    cand = grid.select(*by, F.posexplode("_ths").alias("_j0", "threshold")).withColumn("_bucket", F.col("_j0") + 1)
+    out = cand.join(b, [*by, "_bucket"], "inner").select(*by, "threshold", "tp", "fp", "P", "N")
     out = cut_lineage(out)
     p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     r = F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(0.0)
