@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from panelrisk.functions.calendar import calendar_columns
 from panelrisk.functions.columns import EPS, flag, ratio, recency_columns, thermal_columns, weather_code_flags
 from panelrisk.operators import events, joins, windows
+from panelrisk.session import cut_lineage
 from panelrisk.spec import PanelSpec
 
 DERIVED = [
@@ -38,6 +39,9 @@ def engineer_features(df: DataFrame, spec: PanelSpec, month_mean_from: DataFrame
     subset (e.g. train rows); by default it is computed over all rows.
     """
     c = F.col
+    # the panel feeds three branches (entity windows, monthly mean, fleet weather):
+    # materialise it once instead of recomputing it from the raw tables per branch
+    df = cut_lineage(df)
     out = df.select("*", *calendar_columns(c(spec.date)), *thermal_columns(c(spec.temp), c(spec.humidity)))
     base = out if month_mean_from is None else month_mean_from.withColumn("month", F.month(spec.date))
     means = base.groupBy("month").agg(F.avg(spec.temp).alias("_month_temp"))
