@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.operators.positions import attach, group_sizes, numeric_key, with_positions
+from panelrisk.session import cut_lineage
 from panelrisk.spec import PanelSpec
 
 
@@ -21,6 +22,7 @@ def calendar_split(df: DataFrame, spec: PanelSpec, train_frac: float = 0.8, test
     With ``test_end`` (a date), test rows after it get split NULL (B18): the
     day itself is kept.
     """
+    df = cut_lineage(df)  # read by the span aggregate and by the labelling pass
     dn = numeric_key(df, spec.date)
     span = df.groupBy(*by).agg(F.min(dn).alias("_d0"), F.max(dn).alias("_d1"))
     o = attach(df, span, by)
@@ -50,8 +52,7 @@ def validation_tail(train: DataFrame, spec: PanelSpec, frac: float = 0.25, out:
     Cut = int(n·(1-frac)) rows, like slicing a date-sorted frame.
     """
     p = time_positions(train, spec)
-    n = group_sizes(train)
-    p = attach(p, n)
+    p = attach(p, group_sizes(p))
     cut = F.floor(F.col("n") * (1 - frac))
     return p.withColumn(out, F.when(F.col("pos") < cut, "fit").otherwise("validation")).drop("n")
 
@@ -65,7 +66,7 @@ def expanding_folds(df: DataFrame, spec: PanelSpec, k: int = 5, pos: str | None
     """
     p = df if pos else time_positions(df, spec)
     pos = pos or "pos"
-    p = attach(p, group_sizes(df))
+    p = attach(p, group_sizes(p))
     t = F.floor(F.col("n") / (k + 1))
     first_test = F.col("n") - k * t
     fold = F.when(F.col(pos) >= first_test, F.floor((F.col(pos) - first_test) / t)).cast("int")
