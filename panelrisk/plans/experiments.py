@@ -35,28 +35,36 @@ def experiment_table(long: DataFrame, label: str, score: str = "score", by=("dat
 
 
 def scored_long(panel: DataFrame, spec, model_names=("gbt", "logreg"), overrides: dict | None = None,
-                datasets=None) -> DataFrame:
+                datasets=None, parallelism: int = 4) -> DataFrame:
     """Fit every model on every dataset variant; long (dataset, model, split, label, score) table.
 
-    Each dataset's feature table is written once; fits run as independent
-    MLlib jobs.
+    Each dataset's feature table is written once; the (dataset, model) fits are
+    independent MLlib jobs submitted from a small driver thread pool.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from panelrisk.operators import models
     from panelrisk.plans.train import feature_frame, prepare_matrices
     from panelrisk.sources.variants import VARIANTS, dataset_variants
 
     variants = dataset_variants(panel, spec)
-    out = None
-    for ds in datasets or VARIANTS:
-        v = variants.filter(F.col("dataset") == ds).drop("dataset")
-        feat = feature_frame(v, spec)
+
+    def one_dataset(ds: str) -> list[DataFrame]:
+        feat = feature_frame(variants.filter(F.col("dataset") == ds).drop("dataset"), spec)
+        parts = []
         for name in model_names:
             p, tr, te = prepare_matrices(feat, spec, standardize=(name == "logreg"))
             m = models.fit(name, tr, (overrides or {}).get(name))
             s = models.score(m, tr).unionByName(models.score(m, te)).select(
                 F.lit(ds).alias("dataset"), F.lit(name).alias("model"), "split", "label", "score")
-            s = cut_lineage(s)
-            out = s if out is None else out.unionByName(s)
+            parts.append(cut_lineage(s))
+        return parts
+
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        results = list(ex.map(one_dataset, list(datasets or VARIANTS)))
+    out = None
+    for part in (x for r in results for x in r):
+        out = part if out is None else out.unionByName(part)
     return out
 
 
