@@ -179,3 +179,30 @@ def test_label_leak_check():
         columns = ["entity_id", "date", "event_next_30d", "event_next_7d", "temp"]
 
     assert feature_columns(Fake(), SPEC) == ["temp"]
+
+
+def test_vehicle_files_round_trip_into_43_features(spark, tmp_path):
+    """A vehicle-day CSV (';' + decimal comma, optional text columns) → 43 model features."""
+    from panelrisk.plans.features import engineer_features, feature_columns
+    from panelrisk.sources import csv
+    from panelrisk.sources.fixture import fixture_panel
+    from panelrisk.spec import VEHICLE_SPEC
+
+    ren = {"entity_id": "vehicle_id", "entity_type": "vehicle_type", "entity_age": "vehicle_age",
+           "use_today": "km_today", "use_last_7d": "km_last_7d", "use_last_30d": "km_last_30d",
+           "use_since_last_maintenance": "km_since_last_maintenance",
+           "days_since_last_event": "days_since_last_failure", "event_next_7d": "failure_next_7d",
+           "event_next_30d": "failure_next_30d"}
+    p = fixture_panel(spark, "/root/testdata/sf0.001")
+    for a, b in ren.items():
+        p = p.withColumnRenamed(a, b)
+    p = p.select(*[f.name for f in csv.VEHICLE_SCHEMA]).withColumn("mevsim", F.lit("kis")) \
+        .withColumn("cevre_temizligi", F.lit("temiz"))
+    path = str(tmp_path / "vehicles")
+    csv.write_panel_csv(p, path)
+    back = csv.read_vehicle_csv(spark, path)
+    assert back.count() == p.count()
+    feats = engineer_features(back, VEHICLE_SPEC)
+    cols = feature_columns(feats, VEHICLE_SPEC)
+    assert "mevsim" not in cols and "cevre_temizligi" in cols
+    assert len(cols) == 44  # 43 features + the optional text category
