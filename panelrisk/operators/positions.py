@@ -21,7 +21,26 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from panelrisk.session import cut_lineage
 
-DEFAULT_RANGES = 64
+ROWS_PER_RANGE = 1_000_000
+MIN_RANGES, MAX_RANGES = 16, 4096
+BLOCK = 64
+
+
+def count_less(arr: str, key: Column) -> Column:
+    """Number of elements of the sorted array column ``arr`` that are < ``key``.
+
+    Two levels: the last element of every block of 64 locates the block, then
+    the block itself is scanned — about 128 comparisons for 4096 bounds.
+    """
+    last_of_block = F.filter(arr, lambda x, i: (i % BLOCK) == BLOCK - 1)
+    blocks_below = F.size(F.filter(last_of_block, lambda b: b < key))
+    block = F.slice(arr, blocks_below * BLOCK + 1, BLOCK)
+    return blocks_below * BLOCK + F.size(F.filter(block, lambda b: b < key))
+
+
+def range_count(n_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
+    """Ranges grow with the data so every final window task stays around ``rows_per_range`` rows."""
+    return int(min(MAX_RANGES, max(MIN_RANGES, -(-n_rows // rows_per_range))))
 
 
 def numeric_key(df: DataFrame, col: str) -> Column:
@@ -45,8 +64,9 @@ def with_positions(
     tiebreak: str | None = None,
     cumulative: list[str] | tuple = (),
     out: str = "pos",
-    n_ranges: int = DEFAULT_RANGES,
+    n_ranges: int | None = None,
     keep_ranges: bool = False,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add ``out`` = 0-based position within ``by`` in order (``order`` [desc], ``tiebreak`` asc).
 
@@ -60,10 +80,13 @@ def with_positions(
     # read four times below (bounds, point ranges, range totals, final window):
     # materialise once in the shared checkpoint folder instead of recomputing
     d = cut_lineage(df.withColumn("_k", k).withColumn("_tb", tb))
+    if n_ranges is None:
+        n_ranges = range_count(d.count(), rows_per_range)  # a metadata count on the written table
 
-    bounds = d.groupBy(*by).agg(F.percentile_approx("_k", _probs(n_ranges), 10000).alias("_b"))
+    accuracy = max(10000, 50 * n_ranges)
+    bounds = d.groupBy(*by).agg(F.percentile_approx("_k", _probs(n_ranges), accuracy).alias("_b"))
     d = d.join(F.broadcast(bounds), by, "inner") if by else d.crossJoin(F.broadcast(bounds))
-    lo = F.size(F.filter("_b", lambda b: b < F.col("_k")))
+    lo = count_less("_b", F.col("_k"))
     d = d.withColumn("_point", F.array_contains("_b", F.col("_k")).cast("int"))
     d = d.withColumn("_major", lo * 2 + F.col("_point")).drop("_b")
 
@@ -71,12 +94,12 @@ def with_positions(
         sub = (
             d.filter("_point = 1")
             .groupBy(*by, "_major")
-            .agg(F.percentile_approx("_tb", _probs(n_ranges), 10000).alias("_sb"))
+            .agg(F.percentile_approx("_tb", _probs(n_ranges), accuracy).alias("_sb"))
         )
         d = d.join(F.broadcast(sub), [*by, "_major"], "left")
         d = d.withColumn(
             "_minor",
-            F.when(F.col("_point") == 1, F.size(F.filter("_sb", lambda b: b < F.col("_tb")))).otherwise(0),
+            F.when(F.col("_point") == 1, count_less("_sb", F.col("_tb"))).otherwise(0),
         ).drop("_sb")
     else:
         d = d.withColumn("_minor", F.lit(0))

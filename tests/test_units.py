@@ -206,3 +206,15 @@ def test_vehicle_files_round_trip_into_43_features(spark, tmp_path):
     cols = feature_columns(feats, VEHICLE_SPEC)
     assert "mevsim" not in cols and "cevre_temizligi" in cols
     assert len(cols) == 44  # 43 features + the optional text category
+
+
+def test_positions_with_many_ranges_use_two_level_lookup(spark):
+    rng = random.Random(9)
+    rows = [(i, 7.0 if rng.random() < 0.33 else float(rng.randint(0, 500)), i % 2) for i in range(4000)]
+    df = spark.createDataFrame(rows, "entity_id long, score double, g long")
+    got = positions.with_positions(df, "score", by=["g"], tiebreak="entity_id", rows_per_range=20).toPandas()
+    for g in (0, 1):
+        exp = sorted([r for r in rows if r[2] == g], key=lambda r: (r[1], r[0]))
+        exp_pos = {r[0]: i for i, r in enumerate(exp)}
+        sub = got[got["g"] == g]
+        assert all(exp_pos[e] == p for e, p in zip(sub["entity_id"], sub["pos"]))
