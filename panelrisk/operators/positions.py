@@ -26,16 +26,17 @@ MIN_RANGES, MAX_RANGES = 16, 4096
 BLOCK = 64
 
 
-def count_less(arr: str, key: Column) -> Column:
-    """Number of elements of the sorted array column ``arr`` that are < ``key``.
+def count_less(arr: str, key: Column, inclusive: bool = False) -> Column:
+    """Number of elements of the sorted array column ``arr`` that are < ``key`` (<= if inclusive).
 
     Two levels: the last element of every block of 64 locates the block, then
     the block itself is scanned — about 128 comparisons for 4096 bounds.
     """
+    below = (lambda b: b <= key) if inclusive else (lambda b: b < key)
     last_of_block = F.filter(arr, lambda x, i: (i % BLOCK) == BLOCK - 1)
-    blocks_below = F.size(F.filter(last_of_block, lambda b: b < key))
+    blocks_below = F.size(F.filter(last_of_block, below))
     block = F.slice(arr, blocks_below * BLOCK + 1, BLOCK)
-    return blocks_below * BLOCK + F.size(F.filter(block, lambda b: b < key))
+    return blocks_below * BLOCK + F.size(F.filter(block, below))
 
 
 def range_count(n_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelrisk.operators.positions import exact_quantiles
+from panelrisk.operators.positions import count_less, exact_quantiles
 from panelrisk.session import cut_lineage
 
 GRID = [float(x) for x in np.linspace(0.001, 0.999, 400)]
@@ -36,7 +36,7 @@ def grid_table(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
     )
     g = g.join(F.broadcast(grid), by, "inner") if by else g.crossJoin(F.broadcast(grid))
-    g = g.withColumn("_bucket", F.size(F.filter("_ths", lambda t: t <= F.col(score))))
+    g = g.withColumn("_bucket", count_less("_ths", F.col(score), inclusive=True))
     b = g.groupBy(*by, "_bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # every bucket index 0..len(grid) per group, so candidate j meets its suffix sum by equality
     dense = grid.select(*by, F.explode(F.sequence(F.lit(0), F.size("_ths"))).alias("_bucket"))
