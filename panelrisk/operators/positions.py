@@ -92,11 +92,16 @@ def with_positions(
     d = d.withColumn("_major", lo * 2 + F.col("_point")).drop("_b")
 
     if tiebreak:
+        # sub-ranges in proportion to the point range's size, so the totals table stays
+        # about 3·n_ranges rows however many boundary values are heavy
         sub = (
             d.filter("_point = 1")
             .groupBy(*by, "_major")
-            .agg(F.percentile_approx("_tb", _probs(n_ranges), accuracy).alias("_sb"))
+            .agg(F.percentile_approx("_tb", _probs(n_ranges), accuracy).alias("_sb"),
+                 F.count(F.lit(1)).alias("_pc"))
         )
+        step = F.greatest(F.lit(1), F.floor(F.lit(n_ranges) / F.ceil(F.col("_pc") / F.lit(rows_per_range))))
+        sub = sub.select(*by, "_major", F.filter("_sb", lambda x, i: ((i + 1) % step) == 0).alias("_sb"))
         d = d.join(F.broadcast(sub), [*by, "_major"], "left")
         d = d.withColumn(
             "_minor",
