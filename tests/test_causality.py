@@ -12,6 +12,13 @@ SF = "/root/testdata/sf0.001"
 
 def test_features_do_not_look_ahead(spark):
     panel = fixture_panel(spark, SF).cache()
+    try:
+        _check(panel)
+    finally:
+        panel.unpersist()  # a cached panel would replace the scans in later plan-shape tests
+
+
+def _check(panel):
     cut = panel.selectExpr("percentile_approx(date, 0.6)").collect()[0][0]
     later = F.col("date") > F.lit(cut)
     changed = panel.withColumn("use_today", F.when(later, F.col("use_today") * 3 + 11).otherwise(F.col("use_today"))) \
