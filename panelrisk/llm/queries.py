@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrisk.llm import minhash
+from panelrisk.llm import minhash, rabitq
 from panelrisk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def register(fn):
     return fn
 
 
+@register
+def op1_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.cosine_links(table(spark, sf_dir, "embeddings"))
+
+
 @register
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
