@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrisk.llm import chunks, langid, minhash, rabitq
+from panelrisk.llm import chunks, langid, minhash, packing, rabitq
 from panelrisk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,15 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FRO
 def op7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), "removed_chars", F.to_json("removed_spans").alias("removed_spans"))
+
+
+def vocabulary() -> str:
+    """Path of the public tokenizer file that the packing query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
