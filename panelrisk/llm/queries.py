@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrisk.llm import chunks, langid, minhash, packing, rabitq
+from panelrisk.llm import chunks, langid, minhash, mixing, packing, rabitq
 from panelrisk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,33 @@ def vocabulary() -> str:
 @register
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@register
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.place_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"])
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op5_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents
+), s0 AS (
+  SELECT source, count(*) AS docs, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM d GROUP BY source
+), s1 AS (
+  SELECT *, 2 * source_size AS cap, [5, 2, 1][(rank - 1) % 3 + 1] AS w FROM s0
+), s2 AS (
+  SELECT *, sum(cap) OVER o - cap AS fixed, sum(w) OVER () - sum(w) OVER o + w AS open, sum(source_size) OVER () * CAST(1.5 AS DOUBLE) AS total
+  FROM s1 WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / w, rank)
+), s3 AS (SELECT *, (total - fixed) / CAST(open AS DOUBLE) AS lv FROM s2),
+s4 AS (SELECT *, (SELECT arg_min(lv, [CAST(cap AS DOUBLE) / w, CAST(rank AS DOUBLE)]) FROM s3 WHERE CAST(cap AS DOUBLE) / w >= lv) AS level FROM s3),
+s AS (
+  SELECT source, rank, docs, source_size, least(CAST(cap AS DOUBLE), w * level) AS target, CAST(floor(least(CAST(cap AS DOUBLE), w * level) + 0.5) AS BIGINT) AS quota,
+    (docs + 255) // 256 AS blocks FROM s4
+), p AS (
+  SELECT d.doc_id, d.size, d.place, s.* EXCLUDE (source), CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS copies,
+    sum(d.size) OVER (PARTITION BY s.rank ORDER BY d.place, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+)
+SELECT doc_id, size, source_size, target, CAST(copies * size + greatest(0, least(size, quota - copies * source_size - before)) AS BIGINT) AS taken FROM p
+"""
