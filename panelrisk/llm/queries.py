@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrisk.llm import chunks, langid, minhash, mixing, packing, rabitq
+from panelrisk.llm import chunks, fingerprints, langid, minhash, mixing, packing, rabitq
 from panelrisk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,35 @@ s AS (
 )
 SELECT doc_id, size, source_size, target, CAST(copies * size + greatest(0, least(size, quota - copies * source_size - before)) AS BIGINT) AS taken FROM p
 """
+
+
+@register
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def _sketch_sql(text: str) -> str:
+    """DuckDB: the sorted distinct shingle hashes of a text expression, cut to the sketch size."""
+    words = f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+    return f"""(SELECT list_sort(list_distinct(CASE WHEN len(w) >= 5
+      THEN list_transform(range(1, len(w) - 3), lambda i: substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 16))
+      WHEN len(w) > 0 THEN [substr(md5(array_to_string(w, ' ')), 1, 16)] ELSE CAST([] AS VARCHAR[]) END))[1:128] FROM (SELECT {words} AS w))"""
+
+
+def _near_sql(a: str, b: str) -> str:
+    return f"""(SELECT CASE WHEN len(u) = 0 THEN 1.0 ELSE CAST(len(list_filter(list_intersect({a}, {b}), lambda h: h <= u[len(u)])) AS DOUBLE) / len(u) END
+      FROM (SELECT list_sort(list_distinct(list_concat({a}, {b})))[1:128] AS u))"""
+
+
+ORACLE["op4_fingerprints"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT doc_id, text, {_sketch_sql("text")} AS fp FROM d),
+n AS (
+  SELECT *, coalesce(lead(text) OVER o, first_value(text) OVER o) AS nt, coalesce(lead(fp) OVER o, first_value(fp) OVER o) AS nfp
+  FROM f WINDOW o AS (ORDER BY doc_id, text)
+), e AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(nt, 1, length(text) // 2) AS edited FROM n),
+g AS (SELECT *, {_sketch_sql("edited")} AS efp FROM e)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(fp, '') AS fingerprint,
+  array_to_string(efp, '') AS edited_fingerprint, {_near_sql("fp", "efp")} AS near_edited, {_near_sql("fp", "nfp")} AS near_next
+FROM g
+"""
