@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrisk.llm import chunks, fingerprints, langid, minhash, mixing, packing, rabitq
+from panelrisk.llm import chunks, fingerprints, langid, license_texts, licenses, minhash, mixing, packing, rabitq
 from panelrisk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,35 @@ SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited
   array_to_string(efp, '') AS edited_fingerprint, {_near_sql("fp", "efp")} AS near_edited, {_near_sql("fp", "nfp")} AS near_next
 FROM g
 """
+
+
+@register
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    spelled = "' ' || x || ' '"
+    for a, b in license_texts.SPELLINGS.items():
+        spelled = f"replace({spelled}, ' {a} ', ' {b} ')"
+    texts = [(k, f"{title}\n\n{text}") for k, text in license_texts.TEXTS.items() for title in ["", *license_texts.TITLES.get(k, [])]]
+    notices = [(k, form.format(name)) for k, names in license_texts.NAMES.items() for form in license_texts.NOTICES for name in names]
+    values = ", ".join(f"({quote(kind)}, {quote(k)}, {quote(t)})" for kind, rows in (("text", texts), ("notice", notices)) for k, t in rows)
+    return f"""
+WITH raw AS (SELECT 'doc' AS kind, CAST(NULL AS VARCHAR) AS spdx, row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT kind, spdx, 0, NULL, t FROM (VALUES {values}) v(kind, spdx, t)),
+n AS (SELECT * EXCLUDE (text), list_filter(list_transform(string_split(regexp_replace(regexp_replace(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13), 'abcdefghijklmnopqrstuvwxyz' || chr(10)), {quote(licenses.COPYRIGHT_LINE)}, chr(10), 'g'),
+    {quote(licenses.NOT_TEXT)}, ' ', 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS lines FROM raw),
+g AS (SELECT * EXCLUDE (lines), sha256(trim((SELECT {spelled} FROM (SELECT array_to_string(lines, ' ') AS x)))) AS digest, lines FROM n),
+known AS (SELECT kind, digest, min(spdx) AS spdx FROM g WHERE kind <> 'doc' GROUP BY ALL),
+l AS (SELECT r, x FROM (SELECT r, unnest(lines) AS x FROM g WHERE kind = 'doc')),
+h AS (SELECT r, k.spdx FROM (SELECT r, sha256(trim({spelled})) AS d FROM l) JOIN known k ON k.kind = 'notice' AND k.digest = d),
+hs AS (SELECT r, array_to_string(list_sort(list_distinct(list(spdx))), ',') AS notices, count(*) AS n FROM h GROUP BY r)
+SELECT g.doc_id, g.digest, coalesce(t.spdx, '') AS license, coalesce(hs.notices, '') AS notices, CAST(coalesce(hs.n, 0) AS BIGINT) AS n_notices
+FROM g LEFT JOIN known t ON t.kind = 'text' AND t.digest = g.digest LEFT JOIN hs ON hs.r = g.r WHERE g.kind = 'doc'
+"""
+
+
+ORACLE["op2_licenses"] = _license_sql()
