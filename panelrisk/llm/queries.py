@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrisk.llm import chunks, fingerprints, langid, license_texts, licenses, minhash, mixing, packing, quality, rabitq
+from panelrisk.llm import chunks, extract, fingerprints, langid, license_texts, licenses, minhash, mixing, packing, quality, rabitq
 from panelrisk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,8 @@ ORACLE["op2_licenses"] = _license_sql()
 @register
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@register
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
