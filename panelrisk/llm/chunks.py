@@ -148,11 +148,12 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     the old text) and ``removed_chars``; all other columns as they came."""
     marks = shared_chunks(docs).groupBy("doc_id").agg(F.collect_set(F.struct("digest", "place")).alias("_shared"))
     names = docs.columns
-    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("_rest"), F.col("text").cast("string").alias("_text"))
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"])
+    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), rest.alias("_rest"), F.col("text").cast("string").alias("_text"))
     joined = packed.join(marks.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
     kind = joined.schema["_rest"].dataType.simpleString()
     done = joined.mapInArrow(_strip(min_words), f"_rest {kind}, _out string, _spans array<struct<start:bigint,length:bigint>>, _gone long")
     return done.select(
-        *[F.col("_out").alias("text") if c == "text" else F.col(f"_rest.`{c}`").alias(c) for c in names],
+        *[F.col("_out").alias("text") if c == "text" else F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(names)],
         F.col("_spans").alias("removed_spans"), F.col("_gone").alias("removed_chars"),
     )

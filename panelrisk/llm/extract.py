@@ -263,7 +263,7 @@ def _extract(trees: list[tuple[np.ndarray, ...]]):
 def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``pages`` (page_id, html, ...) plus text and n_chars (code points)."""
     trees = fit(pages)
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_rest"), F.col("html").cast("string").alias("_html"))
+    rows = pages.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("_rest"), F.col("html").cast("string").alias("_html"))
     kind = rows.schema["_rest"].dataType.simpleString()
     done = rows.mapInArrow(_extract(trees), f"_rest {kind}, _out string")
-    return done.select(*[F.col(f"_rest.`{c}`").alias(c) for c in keep], F.col("_out").alias("text"), F.char_length("_out").cast("long").alias("n_chars"))
+    return done.select(*[F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(keep)], F.col("_out").alias("text"), F.char_length("_out").cast("long").alias("n_chars"))

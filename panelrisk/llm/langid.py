@@ -202,7 +202,7 @@ def _predict(model: Model):
 def predict(model: Model | None, docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` plus lang_pred, score and ambiguous; only the text decides."""
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_rest"), lettered.alias("_ok"), F.when(lettered, F.col("text").cast("string")).alias("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("_rest"), lettered.alias("_ok"), F.when(lettered, F.col("text").cast("string")).alias("_text"))
     if model is None:
         done = rows.select("_rest", F.lit(False).alias("_ok"), F.lit("und").alias("_lang"), F.lit(0.0).alias("_score"))
     else:
@@ -210,7 +210,7 @@ def predict(model: Model | None, docs: DataFrame, keep: list[str]) -> DataFrame:
         done = rows.mapInArrow(_predict(model), f"_rest {kind}, _ok boolean, _lang string, _score double")
     score = F.when(F.col("_ok"), F.col("_score")).otherwise(0.0)
     return done.select(
-        *[F.col(f"_rest.`{c}`").alias(c) for c in keep],
+        *[F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(keep)],
         F.when(F.col("_ok"), F.col("_lang")).otherwise("und").alias("lang_pred"), score.alias("score"), (score < AMBIGUOUS).alias("ambiguous"),
     )
 

@@ -123,7 +123,7 @@ def place_documents(docs: DataFrame, keep: list[str]) -> DataFrame:
     target, taken, and ``copies``: an array of (words, shard), whole copies first."""
     sized = cut_lineage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     sources, blocks, parts = draw(sized)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_rest"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words(F.col("text")).alias("size"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("_rest"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words(F.col("text")).alias("size"))
     return _attach(rows, sources, blocks, parts, keep)
 
 
@@ -139,7 +139,7 @@ def _attach(rows: DataFrame, sources: DataFrame, blocks: DataFrame, parts: DataF
     amounts = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.array(last))
     placed = F.filter(F.zip_with(amounts, F.coalesce("shards", F.array().cast("array<bigint>")), lambda w, s: F.struct(w.alias("words"), s.alias("shard"))), lambda p: p["words"] > 0)
     return out.select(
-        *[F.col(f"_rest.`{c}`").alias(c) for c in keep], "size", "source_size", "target", (whole * F.col("size") + last).alias("taken"), placed.alias("copies")
+        *[F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", (whole * F.col("size") + last).alias("taken"), placed.alias("copies")
     )
 
 

@@ -229,8 +229,8 @@ def classify(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` plus posterior (of the labellers), score (of the scorer) and kept."""
     text = docs.select(F.col("text").cast("string").alias("text"))
     table = text.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_rest"), F.col("text").cast("string").alias("_text"))
-    names = [F.col(f"_rest.`{c}`").alias(c) for c in keep]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("_rest"), F.col("text").cast("string").alias("_text"))
+    names = [F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(keep)]
     if not table:  # no text with a word
         return rows.select(*names, F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     patterns, counts = np.array([r["pattern"] for r in table]), np.array([r["n"] for r in table], float)
