@@ -9,7 +9,7 @@ best set of nodes in which none is kept below a dropped one.
 Training pages are made, not given: about ``FIT_PAGES`` pages are drawn by a
 hash of the id (the documented bound of the training sample). Where a page
 marks its article by an element of that name, the marks are labels; and the
-prose of every drawn page is set into ``SKINS`` page skins with menus, headers,
+prose of the drawn pages is set into ``FIT_SKINS`` page skins with menus, headers,
 sidebars, notices, adverts, forms and reader comments of known kind, some of
 them inside the article and some without any telling attribute. The forest
 (``TREES`` trees of depth ``DEPTH``) has a fixed size; pages are scored where
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from panelrisk.llm import htmltree
 from panelrisk.session import cut_lineage
 
-FIT_PAGES, SKINS, TREES, DEPTH, STEP = 200, 3, 16, 4, 0.4
-STAY = 1.0  # log-odds that a text block gains where the node above it is kept
+FIT_PAGES, FIT_SKINS, TREES, DEPTH, STEP = 200, 800, 20, 4, 0.4
+STAY = 1.0  # log-odds that an unmarked text block gains from a kept element above it
 _MARK = ""  # stands in the text of article blocks of training pages
 
 # fixed values: what surrounds an article, as (elements, attribute words)
@@ -140,10 +140,10 @@ def _article(rng: random.Random, prose: list[str], inside: list[str]) -> str:
 
 
 def skin(rng: random.Random, prose: list[str]) -> str:
-    """A training page: an article amid surroundings of known kind."""
+    """A training page: an article, or now and then none, amid surroundings of known kind."""
     around = lambda kinds, odds: [_surround(rng, k, prose) for k in kinds if rng.random() < odds]
     inside = around(["ad", "share", "form", "notice", "side", "talk"], 0.12)
-    article = _article(rng, prose, inside)
+    article = _article(rng, prose, inside) if rng.random() < 0.9 else ""
     before = around(["notice", "head", "menu", "ad", "menu"], 0.5) or [_surround(rng, "menu", prose)]
     after = around(["ad", "share", "side", "form", "talk", "talk", "side", "menu", "notice"], 0.35) + around(["foot"], 0.8)
     return "<body>" + "".join([*before, article, *after]) + "</body>"
@@ -171,7 +171,11 @@ def _labelled(page: str, marked: bool) -> list[tuple[float, list[float]]]:
     return [(float(good[i]), row) for i, row in zip(ids, rows)]
 
 
-def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _training_rows(skins: int):
+    return lambda batches: _label_batches(batches, skins)
+
+
+def _label_batches(batches: Iterator[pa.RecordBatch], skins: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels, rows = [], []
         for page_id, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -180,7 +184,7 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             prose = [re.sub(r"[<>&]", " ", t) for _, t in blocks if t.count(" ") >= 4]
             prose = [t for t in prose if t.split()] or ["A plain sentence, and then some words more.", "Another one that says little."]
             found = _labelled(page or "", marked=False)
-            for _ in range(SKINS):
+            for _ in range(skins):
                 found += _labelled(skin(rng, prose), marked=True)
             labels += [x for x, _ in found]
             rows += [x for _, x in found]
@@ -220,7 +224,7 @@ def fit(pages: DataFrame) -> list[tuple[np.ndarray, ...]]:
         return []
     draw = F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = pages.where(draw < min(1.0, FIT_PAGES / count)).select(F.col("page_id").cast("string").alias("page_id"), F.col("html").cast("string").alias("html"))
-    rows = cut_lineage(drawn.mapInArrow(_training_rows, "label double, x array<double>").coalesce(6))
+    rows = cut_lineage(drawn.mapInArrow(_training_rows(-(-FIT_SKINS // min(count, FIT_PAGES))), "label double, x array<double>").coalesce(6))
     if rows.select("label").distinct().count() < 2:
         return []
     boost = GBTClassifier(featuresCol="v", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, maxBins=32, subsamplingRate=1.0)
@@ -252,8 +256,7 @@ def _extract(trees: list[tuple[np.ndarray, ...]]):
                 for (nodes, blocks), (ids, rs) in zip(parsed, found):
                     own = odds[at : at + len(rs)]
                     at += len(rs)
-                    own = [v + (STAY if not nodes[i].children else 0.0) for i, v in zip(ids, own)]
-                    kept = htmltree.decode(nodes, ids, own)
+                    kept = htmltree.decode(nodes, ids, own, STAY)
                     out.append("\n".join(t for i, t in blocks if i in kept and i))
             yield pa.RecordBatch.from_arrays([batch.column("_rest"), pa.array(out, pa.string())], ["_rest", "_out"])
 

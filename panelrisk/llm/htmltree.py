@@ -237,13 +237,15 @@ def features(nodes: list[Node]) -> tuple[list[int], list[list[float]]]:
     return ids, rows
 
 
-def decode(nodes: list[Node], ids: list[int], odds: list[float]) -> set[int]:
+def decode(nodes: list[Node], ids: list[int], odds: list[float], stay: float = 0.0) -> set[int]:
     """Nodes to keep: the best choice in which no node is kept below a dropped one.
 
     A node's value is its own log-odds plus what its children add; a node
-    worth nothing falls with all below it.
+    worth nothing falls with all below it. A text block without telling
+    attributes gains ``stay`` from a kept element above it.
     """
-    own = dict(zip(ids, odds))
+    plain = {i for i in ids if nodes[i].parent > 0 and not nodes[i].children and not nodes[i].marks and nodes[nodes[i].parent].tag not in _ASIDE_TAGS}
+    own = {i: v + stay * (i in plain) for i, v in zip(ids, odds)}
     value = [0.0] * len(nodes)
     for i in range(len(nodes) - 1, -1, -1):
         value[i] = own.get(i, 0.0) + sum(max(0.0, value[c]) for c in nodes[i].children)

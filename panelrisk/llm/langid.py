@@ -76,10 +76,12 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(bucket of every n-gram, row offsets into them); every row is framed by spaces."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
-    framed = np.full(len(data) + 2 * n, 0x20, dtype=np.uint8)
+    # a space, the text, a space, and two zero bytes: windows never reach into the next row
+    framed = np.full(len(data) + 4 * n, 0x20, dtype=np.uint8)
     row = np.repeat(np.arange(n), sizes)
-    framed[np.arange(len(data)) + 2 * row + 1] = _FOLD[data]
-    edge = np.cumsum(np.r_[0, sizes + 2])
+    framed[np.arange(len(data)) + 4 * row + 1] = _FOLD[data]
+    edge = np.cumsum(np.r_[0, sizes + 4])
+    framed[edge[1:] - 1] = framed[edge[1:] - 2] = 0
     # runs of blanks count as one, but rows stay apart
     blank = framed == 0x20
     keep = np.ones(len(framed), dtype=bool)
@@ -107,7 +109,7 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
         grams, at = _grams(data, offsets)
         out = np.zeros((len(at) - 1, BUCKETS), dtype=np.float32)
         for i in range(len(at) - 1):
-            counts = np.bincount(grams[at[i] : at[i + 1]].ravel(), minlength=BUCKETS)
+            counts = np.bincount(grams[at[i] : at[i + 1] - 3].ravel(), minlength=BUCKETS)
             out[i] = np.sqrt(counts / max(1, counts.sum()))
         yield out
 

@@ -125,12 +125,15 @@ class Block:
         relation = np.zeros(len(self.hashes), np.int64)
         if len(relation) > 1:
             relation[1:] = np.where(self.hashes[1:] == self.hashes[:-1], 1, 2 + np.sign(self.lengths[1:] - self.lengths[:-1]) + 1)
+        opens = self.word_at[:-1][self.words > 0]  # a text's first word has no word before
+        relation[opens] = 0
         pairs = relation.copy()
         pairs[1:] += 8 * relation[:-1]
+        pairs[opens] = 0
         pairs = (pairs + 1) * 40503 % BUCKETS
         out = np.zeros((len(self.words), BUCKETS), dtype=np.float32)
         for i in range(len(self.words)):
-            counts = np.bincount(windows[self.char_at[i] : self.char_at[i + 1]], minlength=BUCKETS).astype(np.float64)
+            counts = np.bincount(windows[self.char_at[i] : max(self.char_at[i], self.char_at[i + 1] - 2)], minlength=BUCKETS).astype(np.float64)
             counts /= max(1.0, counts.sum())
             shape_pairs = np.bincount(pairs[self.word_at[i] : self.word_at[i + 1]], minlength=BUCKETS)
             out[i] = np.sqrt((counts + shape_pairs / max(1, shape_pairs.sum())) / 2)
