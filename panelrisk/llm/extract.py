@@ -53,7 +53,9 @@ _KINDS = {
     "talk": (["div", "section", "ul"], ["comments", "comment-list", "discussion", "disqus-thread", "replies", "user-reviews"]),
     "share": (["div", "ul", "p"], ["share", "social-links", "share-buttons"]),
 }
-_ARTICLES = [("article", ""), ("article", "post"), ("main", ""), ("div", "post-content"), ("div", "content"), ("section", "entry"), ("div", "story-body"), ("div", "x7"), ("td", ""), ("div", "")]
+_ARTICLES = [("article", ""), ("article", "post"), ("main", ""), ("div", "post-content"), ("div", "content"), ("section", "entry"), ("div", "story-body"), ("div", "x7"), ("td", ""), ("div", ""),
+    # also under words that elsewhere mark surroundings
+    ("article", "review"), ("div", "content top"), ("div", "post more-text"), ("main", "main header-image"), ("section", "story review")]
 
 
 def _attribute(rng: random.Random, words: str) -> str:
@@ -74,7 +76,10 @@ def _surround(rng: random.Random, kind: str, prose: list[str]) -> str:
     """A block of one of the kinds that are not article text."""
     elements, words = _KINDS[kind]
     tag, marks = rng.choice(elements), rng.choice(words)
-    if not marks and tag in ("div", "section", "ul", "p"):
+    bare = kind in ("menu", "share") and rng.random() < 0.25  # told by its links alone
+    if bare:
+        tag, marks = rng.choice(["div", "ul"]), ""
+    elif not marks and tag in ("div", "section", "ul", "p"):
         marks = rng.choice([w for w in words if w])
     links = lambda n: [f'<a href="/{i}">{_short(rng, prose)}</a>' for i in range(n)]
     if kind in ("menu", "share") or kind in ("side", "foot", "head") and rng.random() < 0.4:

@@ -191,6 +191,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 FEATURES = [
     *(f"tag{i}" for i in range(len(TAG_GROUPS))), *(f"own_{w}" for w in WORDS), *(f"above_{w}" for w in WORDS), "tag_above_side",
+    "own_other", "above_other", "own_body",
     "depth", "children", "log_chars", "link_share", "node_density", "words_per_block", "stop_share", "paragraphs", "controls",
     "page_share", "place", "siblings", "sibling_chars", "sibling_links", "parent_links", "parent_words_per_block", "same_tag_siblings",
 ]
@@ -227,7 +228,8 @@ def features(nodes: list[Node]) -> tuple[list[int], list[list[float]]]:
         row += [float(node.marks >> g & 1) for g in range(N_GROUPS)]
         row += [float(above[i] >> g & 1) for g in range(N_GROUPS)]
         row += [
-            outside[i], float(min(node.depth, 12)), float(min(len(node.children), 50)), math.log1p(node.chars), node.linked / node.chars,
+            outside[i], float(node.tag in _ASIDE_TAGS or node.marks > 1), float(outside[i] or above[i] > 1), float(node.tag in TAG_GROUPS[0] or node.marks & 1),
+            float(min(node.depth, 12)), float(min(len(node.children), 50)), math.log1p(node.chars), node.linked / node.chars,
             node.nodes / node.chars, min(200.0, node.words / max(1, node.blocks)), node.stops / node.chars, math.log1p(node.paragraphs), float(min(node.controls, 5)),
             node.chars / total, k / n, float(min(n, 50)), math.log1p((up.chars - node.chars) / others), (up.linked - node.linked) / max(1, up.chars - node.chars),
             up.linked / max(1, up.chars), min(200.0, up.words / max(1, up.blocks)), tags[node.parent][node.tag] / n,
