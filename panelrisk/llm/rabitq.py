@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.llm.links import components
 from panelrisk.llm.textbytes import splitmix
+from panelrisk.llm.units import block_units, runs, whole_units
 from panelrisk.session import cut_lineage
 
 BITS, BANDS, CODE_ROTATIONS, SIGMAS, BLOCK, SEED = 20, 120, 4, 5.0, 512, 20240229
@@ -164,33 +165,11 @@ def _spanning(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             return root
 
 
-def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regroup sorted batches so that no unit is torn; holds one unit (two blocks) beyond a batch at most."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        unit_id = np.asarray(batch.column("unit"))
-        edges = np.flatnonzero(unit_id[1:] != unit_id[:-1]) + 1
-        if held and unit_id[0] != held[-1].column("unit")[0].as_py():
-            yield pa.concat_batches(held)
-            held = []
-        if len(edges):
-            yield pa.concat_batches([*held, batch.slice(0, edges[-1])])
-            held = [batch.slice(edges[-1])]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _links_of(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_units(batches):
-            unit_id, space = np.asarray(batch.column("unit")), np.asarray(batch.column("space"))
-            cut = np.flatnonzero(np.r_[True, (unit_id[1:] != unit_id[:-1]) | (space[1:] != space[:-1])])
+        for batch in whole_units(batches):
             out: list[list[np.ndarray]] = [[], [], []]
-            for lo, hi in zip(cut, np.r_[cut[1:], len(unit_id)]):
+            for lo, hi in runs(np.asarray(batch.column("unit")), np.asarray(batch.column("space"))):
                 if hi - lo < 2:
                     continue
                 part = batch.slice(lo, hi - lo)
@@ -233,13 +212,7 @@ def cosine_links(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
     )
     slots = coded.select("cid", "space", "code").mapInArrow(_slots, "key long, band int, cid long")
     shared = slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = slots.join(shared, "key").select("key", "band", "cid", blocks.alias("nb"), F.pmod(F.xxhash64("cid", F.lit(SEED)), blocks).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
-    units = placed.select("key", "band", "cid", "block", other).select(
-        F.xxhash64("key", F.least("block", "o"), F.greatest("block", "o")).alias("unit"), "band", "block", (F.col("block") != F.col("o")).alias("across"), "cid"
-    )
-    # a row of block i joins unit (i, j) for every j; in unit (i, i) once
+    units = block_units(slots.join(shared, "key").select("key", "band", "cid", "n"), "key", "n", "cid", BLOCK)
     units = units.join(coded, "cid").repartition("unit").sortWithinPartitions("unit", "space", "cid")
     found = cut_lineage(
         units.select("unit", "band", "block", "across", "cid", "space", "weight", "v", "code", "factors")
