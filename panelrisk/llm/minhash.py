@@ -9,11 +9,14 @@ independent coordinates.
 
 Plan: one pass over the texts makes (document, set size, set digest, band
 keys); documents with the same set share one representative; representatives
-meet by band key. Each is first verified against the smallest document it
-meets (a star, linear in the rows). Only bucket members that these links left
-in different components are then compared with each other, so no bucket emits
-all its pairs when its members are copies of each other, and no candidate is
-dropped. Every link is confirmed on the full shingle sets.
+meet by band key. Each is first verified against the most central document it
+meets, the one with the most meetings (a star, linear in the rows). Only bucket
+members that these links left in different components are then compared with
+each other. They meet in blocks (see ``units``) as bitmaps of their sets: a bit
+that one has and the other lacks is at least one shingle not shared, which
+bounds the resemblance from above. That bound is exact, so only pairs that can
+link leave a task, no bucket emits all its pairs, and no candidate that could
+link is dropped. Every link is confirmed on the full shingle sets.
 
 Cases: null or blank text has an empty set, links with nothing and is kept;
 texts under five words form one shingle; repeated rows share a set and thus a
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 
 from panelrisk.llm.links import components
 from panelrisk.llm.textbytes import shingle_hashes, span_hashes, splitmix, text_blocks, word_spans
+from panelrisk.llm.units import block_units, runs, whole_units
 from panelrisk.session import cut_lineage
 
+BLOCK = 512
 BINS, ROWS = 128, 4  # 32 bands of 4: a pair at resemblance 0.75 is missed with probability 5e-6
 _LOW = np.uint64((1 << 56) - 1)
 
@@ -99,6 +104,79 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """One bit per hash bucket that the set touches; at least 8 bits per element, a power of two."""
+    bits = np.zeros(max(64, 1 << int(8 * len(s) - 1).bit_length()), dtype=np.uint8)
+    bits[(splitmix(s) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for s in _shingle_sets(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s)], pa.int64()), pa.array([_bitmap(s).tobytes()], pa.binary())], ["sid", "bits"])
+
+
+def can_link(bits: list[np.ndarray], size: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set i, the sets j > i that its bitmap cannot rule out.
+
+    Sets that differ more in size than ``percent`` allows are ruled out; of the
+    rest, a longer bitmap is folded to the shorter's length.
+    """
+    width = np.array([len(b) for b in bits])
+    levels = {w: np.flatnonzero(width == w) for w in np.unique(width)}
+    tables = {w: np.stack([bits[i] for i in at]) for w, at in levels.items()}
+    for w in list(tables):
+        if w // 2 in tables or w // 2 in levels:  # also as seen by sets of the next shorter length
+            tables[-w] = tables[w][:, : w // 2] | tables[w][:, w // 2 :]
+    for i in range(len(bits)):
+        out = []
+        for w, fold in ((width[i], False), (width[i] // 2, True), (2 * width[i], False)):
+            at = levels.get(w)
+            if at is None:
+                continue
+            later = at > i
+            if not later.any():
+                continue
+            if w == width[i]:
+                own, others = bits[i], tables[w][later]
+            elif fold:  # the others are shorter
+                own, others = bits[i][:w] | bits[i][w:], tables[w][later]
+            else:
+                own, others = bits[i], tables[-w][later]
+            both = np.bitwise_count(others & own).sum(axis=1, dtype=np.int64)
+            mine = size[i] - (int(np.bitwise_count(own).sum()) - both)
+            theirs = size[at[later]] - (np.bitwise_count(others).sum(axis=1, dtype=np.int64) - both)
+            most = np.minimum(mine, theirs)
+            out.append(at[later][100 * most >= percent * (size[i] + size[at[later]] - most)])
+        if out:
+            yield i, np.sort(np.concatenate(out))
+
+
+def _open_pairs(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_units(batches):
+            a, b = [], []
+            unit, part = np.asarray(batch.column("unit")), np.asarray(batch.column("c"))
+            sid, block, size = (np.asarray(batch.column(c)) for c in ("sid", "block", "size"))
+            for lo, hi in runs(unit):
+                if (part[lo:hi] == part[lo]).all():
+                    continue
+                across = batch.column("across")[lo].as_py()
+                bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("bits").slice(lo, hi - lo)]
+                for i, js in can_link(bits, size[lo:hi], percent):
+                    js = js[part[lo + js] != part[lo + i]]
+                    if across:
+                        js = js[block[lo + js] != block[lo + i]]
+                    a.append(np.full(len(js), sid[lo + i]))
+                    b.append(sid[lo + js])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
 def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,6 +193,12 @@ def _compare(percent: int):
     return run
 
 
+def _texts_of(texts: DataFrame, classes: DataFrame, sids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the representatives of the given sets."""
+    rows = classes.join(sids, "sid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    return texts.join(rows, "doc_id", "left_semi").select("doc_id", "text")
+
+
 def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose full sets have 100 * common >= percent * union.
 
@@ -124,8 +208,7 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
     execution splits.
     """
     wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
-    rows = classes.join(wanted, "sid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(rows, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "sid long, shingles binary")
+    sets = _texts_of(texts, classes, wanted).mapInArrow(_sets, "sid long, shingles binary")
     sets = cut_lineage(sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]))
     both = pairs.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -137,22 +220,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = cut_lineage(texts.mapInArrow(_describe, "doc_id long, n_shingles long, sid long, bands array<long>"))
     # equal sets are one class; partial aggregation spreads a hot one
-    classes = cut_lineage(known.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    alike = known.where("n_shingles > 0").groupBy("sid")
+    classes = cut_lineage(alike.agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands")))
     slots = classes.select("sid", F.explode("bands").alias("key"))
-    meets = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("hub")).where("n > 1").select("key", "hub")
-    members = cut_lineage(slots.join(meets, "key"))
+    meets = slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut_lineage(slots.join(meets, "key").select("key", "sid", "n"))
 
-    star = cut_lineage(members.where("sid <> hub").groupBy(F.col("sid").alias("b")).agg(F.min("hub").alias("a")))
+    central = members.groupBy("sid").agg(F.sum("n").alias("w"))
+    hubs = members.join(central, "sid").groupBy("key").agg(F.max(F.struct("w", "sid")).alias("hub"))
+    star = members.join(hubs, "key").where("sid <> hub.sid").groupBy(F.col("sid").alias("b")).agg(F.max("hub").alias("hub"))
+    star = cut_lineage(star.select(F.col("hub.sid").alias("a"), "b"))
     links = cut_lineage(_verified(texts, classes, star, percent))
     found = components(links)
 
-    # members of one bucket that are not yet connected: compare them too
-    placed = members.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("c"))
+    # members of one bucket that are not yet connected: compare those that can still link
+    placed = members.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
     placed = cut_lineage(placed.join(mixed, "key", "left_semi"))
-    left = placed.select("key", F.col("sid").alias("a"), F.col("c").alias("ca"))
-    right = placed.select("key", F.col("sid").alias("b"), F.col("c").alias("cb"))
-    more = left.join(right, "key").where("ca < cb").select("a", "b").distinct()
+    left_over = placed.select("sid").distinct()
+    bitmaps = _texts_of(texts, classes, left_over).mapInArrow(_bitmaps, "sid long, bits binary").dropDuplicates(["sid"])
+    bitmaps = cut_lineage(bitmaps.join(classes.select("sid", "size"), "sid"))
+    units = block_units(placed, "key", "n", "sid", BLOCK).select("unit", "block", "across", "sid", "c").join(bitmaps, "sid")
+    units = units.repartition("unit").sortWithinPartitions("unit", "sid").select("unit", "block", "across", "sid", "c", "size", "bits")
+    more = units.mapInArrow(_open_pairs(percent), "a long, b long").distinct()
     tried = star.select("a", "b").unionAll(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = cut_lineage(more.join(tried, ["a", "b"], "left_anti"))
     links = links.unionAll(_verified(texts, classes, more, percent))
