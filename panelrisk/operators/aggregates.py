@@ -106,11 +106,11 @@ def rule_lift(df: DataFrame, rules: dict[str, Column], label: str) -> DataFrame:
     wide = df.agg(*aggs)
     stack = ", ".join(f"'{name}', _n{i}, _p{i}" for i, name in enumerate(rules))
     long = wide.selectExpr("_n", "_p", f"stack({len(rules)}, {stack}) AS (rule, n, p)")
-    rate = F.col("p") / F.col("n")
-    base = F.col("_p") / F.col("_n")
+    rate = F.try_divide("p", "n")  # NULL where a rule matches nothing
+    base = F.try_divide("_p", "_n")
     return long.select(
         "rule", F.col("n").cast("bigint").alias("n"), rate.cast("double").alias("rate"),
-        (rate / base).cast("double").alias("lift"),
+        F.try_divide(rate, base).cast("double").alias("lift"),
     )
 
 

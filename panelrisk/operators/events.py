@@ -33,7 +33,8 @@ def forward_event_label(df: DataFrame, spec: PanelSpec, event_col: str, horizons
     ``label_complete_h`` marks rows whose full horizon lies inside the data
     (right-censoring of the last ``h`` days).
     """
-    ahead = entity_order(spec).rowsBetween(1, Window.unboundedFollowing)
+    # later rows come first in this order: a growing frame, summed up once, instead of a shrinking one
+    ahead = Window.partitionBy(spec.entity).orderBy(F.col(spec.date).desc()).rowsBetween(Window.unboundedPreceding, -1)
     nxt = F.min(F.when(F.col(event_col) == 1, F.col(spec.date))).over(ahead)
     out = df.withColumn("_next_event", nxt)
     max_d = df.agg(F.max(spec.date).alias("_max_date"))  # one row, broadcast

@@ -33,13 +33,16 @@ def score_table(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
 
 
 def auc_ap(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
-    """ROC AUC (ties count ½) and step-wise average precision per group."""
+    """ROC AUC (ties count ½) and step-wise average precision per group.
+
+    A group of one class has no AUC (NULL); without positives its average precision is 0.
+    """
     t = score_table(df, label, score, by)
     below = F.col("N") - F.col("fp")  # negatives strictly below this score
     auc_term = F.col("pos") * (below + 0.5 * F.col("neg"))
     ap_term = F.when(F.col("pos") > 0, F.col("pos") / F.col("P") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return t.groupBy(*by).agg(
-        (F.sum(auc_term) / (F.first("P") * F.first("N"))).alias("roc_auc"),
+        F.try_divide(F.sum(auc_term), F.first("P") * F.first("N")).alias("roc_auc"),
         F.coalesce(F.sum(ap_term), F.lit(0.0)).alias("average_precision"),
     )
 
@@ -47,8 +50,8 @@ def auc_ap(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
 def roc_curve(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
     """(by…, threshold, fpr, tpr) at every distinct score."""
     t = score_table(df, label, score, by)
-    return t.select(*by, F.col(score).alias("threshold"), (F.col("fp") / F.col("N")).alias("fpr"),
-                    (F.col("tp") / F.col("P")).alias("tpr"))
+    return t.select(*by, F.col(score).alias("threshold"), F.try_divide("fp", "N").alias("fpr"),
+                    F.try_divide("tp", "P").alias("tpr"))
 
 
 def pr_curve(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
@@ -56,7 +59,7 @@ def pr_curve(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
     t = score_table(df, label, score, by)
     return t.select(*by, F.col(score).alias("threshold"),
                     (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-                    (F.col("tp") / F.col("P")).alias("recall"))
+                    F.try_divide("tp", "P").alias("recall"))
 
 
 def confusion(df: DataFrame, label: str, alarm: str, by=()) -> DataFrame:

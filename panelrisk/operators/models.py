@@ -17,12 +17,12 @@ SEED = 42
 # Fixed model configurations (trees, depth, learning rate, leaf size, sampling).
 CONFIGS = {
     "gbt": dict(maxIter=200, stepSize=0.03, maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
-    "gbt_regularized": dict(maxIter=120, stepSize=0.02, maxDepth=3, minInstancesPerNode=200, subsamplingRate=0.8,
-                            featureSubsetStrategy="0.8"),
+    "gbt_regularized": dict(maxIter=120, stepSize=0.02, maxDepth=3, minInstancesPerNode=200, subsamplingRate=0.7,
+                            featureSubsetStrategy="0.7"),
     "gbt_depth4": dict(maxIter=200, stepSize=0.03, maxDepth=4, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
     "gbt_depth6": dict(maxIter=300, stepSize=0.03, maxDepth=6),
-    "gbt_hist": dict(maxIter=300, stepSize=0.1, maxDepth=4, maxBins=255),
-    "random_forest": dict(numTrees=400, minInstancesPerNode=20, maxDepth=16),
+    "gbt_hist": dict(maxIter=300, stepSize=0.03, maxDepth=4, maxBins=255),
+    "random_forest": dict(numTrees=400, minInstancesPerNode=20, maxDepth=30),
     "logreg": dict(maxIter=1000),
 }
 

@@ -1,12 +1,15 @@
 """Global row positions and prefix sums without a single-partition sort.
 
 ``row_number() over (order by …)`` with no partition moves every row into one
-task. Here the order key is cut into ranges at ``percentile_approx``
-boundaries; a row whose key equals a boundary value sits in a "point" range
-of its own, which is split further on a tie-break key, so a single hot value
-holding a third of the rows is still spread over many tasks. Per-range counts
-(bounded by the number of ranges) give each range its offset; the final
-window is partitioned by range.
+task. Here the order key is cut into ranges at approximate quantiles of a hash
+sample of the rows. The boundaries only balance the work: positions come from
+exact counts, whatever the boundaries are. A row whose key equals a boundary
+value sits in a "point" range of its own, which is split further on a tie-break
+key, so a single hot value holding a third of the rows is still spread over
+many tasks. Per-range counts give each range its offset; the final window is
+partitioned by range and ordered by the original columns, so keys that a
+double cannot tell apart (long ids, strings) still come out in their own order.
+Group columns match null-safely: rows of a NULL group are a group.
 
 Used for time positions (E12), ranks (E11), row-count splits and folds
 (G02–G04), hash-ordered sampling (G05–G09), exact quantiles (J01) and the
@@ -17,12 +20,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, DecimalType, LongType, StringType, TimestampNTZType, TimestampType
 
 from panelrisk.session import cut_lineage
 
 ROWS_PER_RANGE = 1_000_000
-MIN_RANGES, MAX_RANGES = 16, 4096
+MIN_RANGES = 16
+SAMPLE_PER_RANGE = 200  # rows of the boundary sample per range
+EXACT = float(1 << 53)  # whole numbers below are exact as doubles
 BLOCK = 64
 
 
@@ -41,7 +46,7 @@ def count_less(arr: str, key: Column, inclusive: bool = False) -> Column:
 
 def range_count(n_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
     """Ranges grow with the data so every final window task stays around ``rows_per_range`` rows."""
-    return int(min(MAX_RANGES, max(MIN_RANGES, -(-n_rows // rows_per_range))))
+    return int(max(MIN_RANGES, -(-n_rows // rows_per_range)))
 
 
 def numeric_key(df: DataFrame, col: str) -> Column:
@@ -50,6 +55,8 @@ def numeric_key(df: DataFrame, col: str) -> Column:
         return F.datediff(F.col(col), F.lit("1970-01-01").cast("date")).cast("double")
     if isinstance(dt, (TimestampType, TimestampNTZType)):
         return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    if isinstance(dt, StringType):  # the first six bytes: in the strings' order, ties left to the final sort
+        return F.conv(F.rpad(F.hex(F.substring(F.col(col).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
     return F.col(col).cast("double")
 
 
@@ -81,28 +88,36 @@ def with_positions(
     # read four times below (bounds, point ranges, range totals, final window):
     # materialise once in the shared checkpoint folder instead of recomputing
     d = cut_lineage(df.withColumn("_k", k).withColumn("_tb", tb))
+    rows = max(1, d.count())  # a metadata count on the written table
     if n_ranges is None:
-        n_ranges = range_count(d.count(), rows_per_range)  # a metadata count on the written table
-
-    accuracy = max(10000, 50 * n_ranges)
-    bounds = d.groupBy(*by).agg(F.percentile_approx("_k", _probs(n_ranges), accuracy).alias("_b"))
-    d = d.join(F.broadcast(bounds), by, "inner") if by else d.crossJoin(F.broadcast(bounds))
+        n_ranges = range_count(rows, rows_per_range)
+
+    # a double may merge different keys of these types: then a key's rows must not be split by the tie-break
+    exact = not isinstance(df.schema[order].dataType, (DecimalType, StringType))
+    if isinstance(df.schema[order].dataType, LongType):
+        exact = not d.filter(F.abs("_k").between(EXACT, 1e300)).limit(1).count()
+    every = max(1, rows // (SAMPLE_PER_RANGE * n_ranges))
+    drawn = d.filter(F.pmod(F.xxhash64("_k", "_tb"), F.lit(every)) == 0)
+    none = F.array().cast("array<double>")
+    bounds = drawn.groupBy(*by).agg(F.percentile_approx("_k", _probs(n_ranges), 10000).alias("_b"))
+    d = join_groups(d, bounds, by, "left") if by else d.crossJoin(bounds)
+    d = d.withColumn("_b", F.coalesce("_b", none))
     lo = count_less("_b", F.col("_k"))
     d = d.withColumn("_point", F.array_contains("_b", F.col("_k")).cast("int"))
     d = d.withColumn("_major", lo * 2 + F.col("_point")).drop("_b")
 
-    if tiebreak:
+    if tiebreak and exact:
         # sub-ranges in proportion to the point range's size, so the totals table stays
         # about 3·n_ranges rows however many boundary values are heavy
         sub = (
             d.filter("_point = 1")
             .groupBy(*by, "_major")
-            .agg(F.percentile_approx("_tb", _probs(n_ranges), accuracy).alias("_sb"),
+            .agg(F.percentile_approx(F.when(F.pmod(F.xxhash64("_k", "_tb"), F.lit(every)) == 0, F.col("_tb")), _probs(n_ranges), 10000).alias("_sb"),
                  F.count(F.lit(1)).alias("_pc"))
         )
         step = F.greatest(F.lit(1), F.floor(F.lit(n_ranges) / F.ceil(F.col("_pc") / F.lit(rows_per_range))))
-        sub = sub.select(*by, "_major", F.filter("_sb", lambda x, i: ((i + 1) % step) == 0).alias("_sb"))
-        d = d.join(F.broadcast(sub), [*by, "_major"], "left")
+        sub = sub.select(*by, "_major", F.filter(F.coalesce("_sb", none), lambda x, i: ((i + 1) % step) == 0).alias("_sb"))
+        d = join_groups(d, sub, [*by, "_major"], "left").withColumn("_sb", F.coalesce("_sb", none))
         d = d.withColumn(
             "_minor",
             F.when(F.col("_point") == 1, count_less("_sb", F.col("_tb"))).otherwise(0),
@@ -120,8 +135,10 @@ def with_positions(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cum],
     )
-    d = d.join(F.broadcast(totals), [*by, "_major", "_minor"], "inner")
-    w = Window.partitionBy(*by, "_major", "_minor").orderBy("_k", "_tb")
+    d = join_groups(d, totals, [*by, "_major", "_minor"])
+    last = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
+    ties = [F.col(tiebreak).asc()] if tiebreak else []
+    w = Window.partitionBy(*by, "_major", "_minor").orderBy("_k", last, "_tb", *ties)
     d = d.withColumn(out, F.col("_off") + F.row_number().over(w) - 1)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in cum:
@@ -131,6 +148,13 @@ def with_positions(
                   *[x for x in ("_major", "_minor") if x not in keep])
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on the columns ``by`` in which NULL matches NULL; the columns come from ``left``."""
+    r = right.select(*[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], *[c for c in right.columns if c not in by])
+    on = [F.col(c).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by)]
+    return left.join(r, on, how).drop(*[f"_by_{i}" for i in range(len(by))])
+
+
 def group_sizes(df: DataFrame, by: list[str] | tuple = (), out: str = "n") -> DataFrame:
     """Row count per group (one row per group; a single row without ``by``)."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
@@ -139,11 +163,11 @@ def group_sizes(df: DataFrame, by: list[str] | tuple = (), out: str = "n") -> Da
 def attach(df: DataFrame, small: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
     """Join a per-group (or single-row) aggregate back onto ``df``.
 
-    ``small`` has one row per group of ``by``; groups are the few splits,
-    folds or datasets of a run, so it is broadcast.
+    A single row is broadcast. With groups (splits, datasets, or as many as
+    there are entities) the size decides: no hint is given.
     """
     by = list(by)
-    return df.join(F.broadcast(small), by, "inner") if by else df.crossJoin(F.broadcast(small))
+    return join_groups(df, small, by) if by else df.crossJoin(F.broadcast(small))
 
 
 def asof_lookup(left: DataFrame, right: DataFrame, by: list[str] | tuple, left_key: str, right_key: str,
@@ -189,7 +213,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] |
     ranks = wanted.select(*by, "q", "_h", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
     # the range holding rank r is the one with the largest start <= r
     located = asof_lookup(ranks, ranges, by, "_r", "_r0", ["_major", "_minor"])
-    vals = p.join(F.broadcast(located), [*by, "_major", "_minor"], "inner").filter(
+    vals = join_groups(p, located, [*by, "_major", "_minor"]).filter(
         (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_cnt_cum"))
     ).select(*by, "q", "_h", "_r", F.col(col).cast("double").alias("_v"))
     lo_v = F.min_by("_v", "_r")

@@ -52,13 +52,13 @@ def interpolate_linear(series: DataFrame, cols: list[str], ds: str = "ds", by=()
     """
     pos = F.datediff(F.col(ds), F.lit("1970-01-01").cast("date"))
     w_back = Window.partitionBy(*by).orderBy(ds).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_fwd = Window.partitionBy(*by).orderBy(ds).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    w_fwd = Window.partitionBy(*by).orderBy(F.col(ds).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = series.withColumn("_pos", pos)
     for c in cols:
         prev_v = F.last(F.col(c), ignorenulls=True).over(w_back)
         prev_p = F.last(F.when(F.col(c).isNotNull(), F.col("_pos")), ignorenulls=True).over(w_back)
-        next_v = F.first(F.col(c), ignorenulls=True).over(w_fwd)
-        next_p = F.first(F.when(F.col(c).isNotNull(), F.col("_pos")), ignorenulls=True).over(w_fwd)
+        next_v = F.last(F.col(c), ignorenulls=True).over(w_fwd)
+        next_p = F.last(F.when(F.col(c).isNotNull(), F.col("_pos")), ignorenulls=True).over(w_fwd)
         blended = prev_v + (next_v - prev_v) * (F.col("_pos") - prev_p) / (next_p - prev_p)
         out = out.withColumn(
             c,

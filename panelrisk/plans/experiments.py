@@ -31,7 +31,7 @@ def experiment_table(long: DataFrame, label: str, score: str = "score", by=("dat
     gr = thresholds.recall_threshold(thresholds.grid_table(train, label, score, by), 0.80, by).select(
         *by, F.col("precision").alias("train_prec_at_recall80"))
     out = ra.join(tk, by).join(base, by).join(gr, by, "left")
-    return out.withColumn("lift_top10", F.col("prec_top10") / F.col("base_rate"))
+    return out.withColumn("lift_top10", F.try_divide("prec_top10", "base_rate"))
 
 
 def scored_long(panel: DataFrame, spec, model_names=("gbt", "logreg"), overrides: dict | None = None,

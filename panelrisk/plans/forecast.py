@@ -30,7 +30,7 @@ from panelrisk.spec import PanelSpec  # noqa: E402
 # Fixed model settings: Fourier orders, changepoints, ridge penalty, 80 % band.
 YEARLY_ORDER = 10
 WEEKLY_ORDER = 3
-N_CHANGEPOINTS = 5
+N_CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8
 RIDGE = 1.0
 Z80 = 1.2815515655446004

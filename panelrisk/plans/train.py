@@ -16,15 +16,15 @@ def choose_threshold(train_scored: DataFrame, label: str, score: str, mode: str,
     * ``fixed``: highest grid threshold with train recall >= recall_target
       (NULL when none → no alarms)
     * ``precision``: lowest grid threshold with train precision >= target,
-      falling back to the top ``alarm_rate`` of train scores
+      falling back to the top 10 % of train scores, whatever ``alarm_rate`` is
     """
-    top = thresholds.alarm_rate_threshold(train_scored, score, alarm_rate)
     if mode == "alarm":
-        return top
+        return thresholds.alarm_rate_threshold(train_scored, score, alarm_rate)
     grid = thresholds.grid_table(train_scored, label, score)
     if mode == "fixed":
         return thresholds.recall_threshold(grid, recall_target).select("threshold")
     if mode == "precision":
+        top = thresholds.alarm_rate_threshold(train_scored, score, 0.10)
         p = thresholds.precision_threshold(grid, precision_target).select(F.col("threshold").alias("_p"))
         return p.crossJoin(top).select(F.coalesce("_p", "threshold").alias("threshold"))
     raise ValueError(f"unknown threshold mode {mode!r}")

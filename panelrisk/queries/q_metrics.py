@@ -311,5 +311,5 @@ def q_lift(spark, sf):
     s = scored(spark, sf)
     op = metrics.at_top_rates(s, LABEL, "score", [0.10], ["split"])
     base = s.groupBy("split").agg(F.avg(F.col(LABEL).cast("double")).alias("base_rate"))
-    out = op.join(base, "split").select("split", (F.col("precision") / F.col("base_rate")).alias("lift_top10"))
+    out = op.join(base, "split").select("split", F.try_divide("precision", "base_rate").alias("lift_top10"))
     return typed(out, [("split", "s"), ("lift_top10", "d")])

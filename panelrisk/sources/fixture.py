@@ -55,7 +55,8 @@ def fixture_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     by_entity = Window.partitionBy("entity_id").orderBy("dn")
     running = by_entity.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = by_entity.rowsBetween(1, Window.unboundedFollowing)
+    # later rows come first in this order: a growing frame, summed up once, instead of a shrinking one
+    ahead = Window.partitionBy("entity_id").orderBy(F.col("dn").desc()).rowsBetween(Window.unboundedPreceding, -1)
     base = base.withColumn("cu", F.sum("use_today").over(running))
 
     fn = F.col("fn")

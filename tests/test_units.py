@@ -218,3 +218,57 @@ def test_positions_with_many_ranges_use_two_level_lookup(spark):
         exp_pos = {r[0]: i for i, r in enumerate(exp)}
         sub = got[got["g"] == g]
         assert all(exp_pos[e] == p for e, p in zip(sub["entity_id"], sub["pos"]))
+
+
+def test_positions_of_ids_beyond_double_precision_and_of_strings(spark):
+    big = [(2**53 + i, i % 3) for i in (1, 0, 5, 4, 3, 2, 7, 6)] * 2
+    got = positions.with_positions(spark.createDataFrame(big, "id long, tb int"), "id", tiebreak="tb").collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.pos)] == sorted(i for i, _ in big)
+    names = [(f"vehicle-{i:03d}",) for i in range(60)] + [("",), ("é",), ("Z",)]
+    got = positions.with_positions(spark.createDataFrame(names, "name string"), "name", n_ranges=4).collect()
+    assert [r.name for r in sorted(got, key=lambda r: r.pos)] == sorted((n for n, in names), key=lambda s: s.encode())
+    tied = [(i % 2, f"id{(i * 7) % 50:02d}") for i in range(50)]
+    got = positions.with_positions(spark.createDataFrame(tied, "k int, name string"), "k", tiebreak="name", n_ranges=4).collect()
+    assert [(r.k, r.name) for r in sorted(got, key=lambda r: r.pos)] == sorted(tied)
+
+
+def test_positions_keep_rows_of_a_null_group(spark):
+    rows = [(None, 3.0), (None, 1.0), ("a", 2.0)]
+    got = positions.with_positions(spark.createDataFrame(rows, "g string, x double"), "x", by=["g"]).collect()
+    assert sorted((r.g or "", r.x, r.pos) for r in got) == [("", 1.0, 0), ("", 3.0, 1), ("a", 2.0, 0)]
+
+
+def test_groups_of_one_class_do_not_fail(spark):
+    rows = [("both", 1, 0.9), ("both", 0, 0.1), ("pos", 1, 0.5), ("pos", 1, 0.4), ("neg", 0, 0.3)]
+    df = spark.createDataFrame(rows, "g string, y int, s double")
+    auc = {r.g: r for r in metrics.auc_ap(df, "y", "s", ["g"]).collect()}
+    assert auc["both"].roc_auc == 1.0 and auc["pos"].roc_auc is None and auc["neg"].roc_auc is None
+    assert auc["neg"].average_precision == 0.0
+    assert {r.fpr for r in metrics.roc_curve(df.filter("g = 'pos'"), "y", "s").collect()} == {None}
+    assert {r.recall for r in metrics.pr_curve(df.filter("g = 'neg'"), "y", "s").collect()} == {None}
+
+
+def test_rule_without_rows_has_no_rate(spark):
+    from panelrisk.operators.aggregates import rule_lift
+
+    got = rule_lift(spark.createDataFrame([(1, 1), (2, 0)], "x int, y int"), {"none": F.col("x") > 9, "all": F.col("x") > 0}, "y").collect()
+    by = {r.rule: r for r in got}
+    assert (by["none"].n, by["none"].rate, by["none"].lift) == (0, None, None) and by["all"].lift == 1.0
+
+
+def test_undersampling_divides_directly(spark):
+    from panelrisk.operators.sampling import undersample_to_ratio
+
+    spec = PanelSpec(entity="e", date="d")
+    rows = [(i, dt.date(2024, 1, 1), int(i < 7)) for i in range(300)]
+    kept = undersample_to_ratio(spark.createDataFrame(rows, "e long, d date, y int"), spec, "y", 0.07)
+    assert {r.y: r["count"] for r in kept.groupBy("y").count().collect()} == {1: 7, 0: int(7 / 0.07)}
+
+
+def test_whole_numbers_from_decimal_text(spark):
+    from panelrisk.sources.csv import whole_number
+
+    good = spark.createDataFrame([("45",), (" -7 ",), ("45,0",), ("",), (None,)], "v string")
+    assert [r.n for r in good.select(whole_number(F.col("v"), "v").cast("long").alias("n")).collect()] == [45, -7, 45, None, None]
+    with pytest.raises(Exception, match="not a whole number"):
+        spark.createDataFrame([("4x",)], "v string").select(whole_number(F.col("v"), "v")).collect()
