@@ -59,10 +59,13 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated share of the union that both sets have; exact while the union has at most k."""
-    both = merge(a, b, k)
-    last = F.element_at(both, -1)
-    common = F.size(F.filter(F.array_intersect(a, b), lambda h: h <= last))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.size(both))
+    def share(both: Column) -> Column:
+        last = F.element_at(both, -1)
+        common = F.size(F.filter(F.array_intersect(a, b), lambda h: h <= last))
+        return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.size(both))
+
+    # a lambda over a single element names the merged sketch: it is made once per row
+    return F.element_at(F.transform(F.array(merge(a, b, k)), share), 1)
 
 
 def distinct_shingles(a: Column, k: int = K) -> Column:
