@@ -75,11 +75,15 @@ def engineer_features(df: DataFrame, spec: PanelSpec, month_mean_from: DataFrame
 
 
 def feature_columns(df: DataFrame, spec: PanelSpec) -> list[str]:
-    """All columns but ids and labels (B13); raises if a label would leak."""
-    exclude = {spec.date, spec.entity, spec.label} | ({spec.other_label} if spec.other_label else set())
-    cols = [x for x in df.columns if x not in exclude]
-    if spec.label in cols or (spec.other_label and spec.other_label in cols):
-        raise AssertionError("label leaked into the feature list")
+    """All columns but ids and labels (B13); raises if a column derived from a label is among them.
+
+    A label's name in another case, or with something before or after it, is taken for such a column.
+    """
+    labels = [x for x in (spec.label, spec.other_label) if x]
+    cols = [x for x in df.columns if x not in {spec.date, spec.entity, *labels}]
+    leaks = [x for x in cols if any(y.lower() in x.lower() for y in labels)]
+    if leaks:
+        raise AssertionError(f"label leaked into the feature list: {leaks}")
     return cols
 
 

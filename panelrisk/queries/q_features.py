@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelrisk.operators import events, joins, windows
-from panelrisk.plans.features import engineer_features
+from panelrisk.plans.features import engineer_features, feature_columns
 from panelrisk.queries import register
 from panelrisk.queries.common import typed, typed_sql
 from panelrisk.queries.sql_features import FEATURES_SQL
@@ -67,6 +67,33 @@ _subset("usage_vs_weekly_avg", [("use_today_vs_7d_avg", "d")])
 _subset("recency_transforms", [("log_days_since_event", "d"), ("recent_event_30d", "i"), ("recent_event_90d", "i")])
 
 
+def column_counts(df, names):
+    """(column_name, n): non-null rows of each column, from one scan."""
+    wide = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(names)])
+    pairs = ", ".join(f"'{c}', n{i}" for i, c in enumerate(names))
+    return wide.selectExpr(f"stack({len(names)}, {pairs}) AS (column_name, n)")
+
+
+def column_counts_sql(names):
+    return f"""WITH {FEATURES_SQL}
+SELECT unnest(k) AS column_name, unnest(c) AS n
+FROM (SELECT [{", ".join(f"'{c}'" for c in names)}] AS k, [{", ".join(f"COUNT({c})" for c in names)}] AS c FROM feat)"""
+
+
+@register("drop_helper_columns", column_counts_sql([c for c, _ in FEATURE_TABLE]))
+def q_drop_helper_columns(spark, sf):
+    """The engineered table's columns are the published ones: no helper is left."""
+    df = feature_table(spark, sf)
+    return column_counts(df, df.columns)
+
+
+@register("feature_columns", column_counts_sql([c for c, _ in RAW + DERIVED]))
+def q_feature_columns(spark, sf):
+    """What a model may read: everything but ids and labels."""
+    df = feature_table(spark, sf)
+    return column_counts(df, feature_columns(df, S))
+
+
 PAST_COUNTS = IDS + [("event", "i"), ("past_events", "l"), ("past_observations", "l")]
 
 

@@ -179,6 +179,10 @@ def test_label_leak_check():
         columns = ["entity_id", "date", "event_next_30d", "event_next_7d", "temp"]
 
     assert feature_columns(Fake(), SPEC) == ["temp"]
+    for leak in ("EVENT_NEXT_30D", "event_next_7d_mean", "lag_event_next_30d"):
+        Fake.columns = ["entity_id", "date", "event_next_30d", "temp", leak]
+        with pytest.raises(AssertionError):
+            feature_columns(Fake(), SPEC)
 
 
 def test_vehicle_files_round_trip_into_43_features(spark, tmp_path):
