@@ -114,15 +114,18 @@ def at_top_rates(df: DataFrame, label: str, score: str, rates: list[float], by=(
     thresholds per group.
     """
     by = list(by)
+    rates = list(dict.fromkeys(rates))
     th = exact_quantiles(df, score, [1 - r for r in rates], by).withColumn("rate", F.round(1 - F.col("q"), 10))
-    t = score_table(df, label, score, by)
-    joined = t.join(F.broadcast(th), by, "inner") if by else t.crossJoin(F.broadcast(th))
-    hit = F.col(score) >= F.col("value")
-    agg = joined.groupBy(*by, "rate", "value").agg(
-        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
-        F.first("P").alias("P"),
-    )
+    # one row per group with its thresholds: every score row is read once, whatever the number of rates
+    th = th.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("rate", "value"))).alias("_th"))
+    joined = attach(score_table(df, label, score, by), th, by)
+    aggs, points = [F.first("P").alias("P"), F.first("_th").alias("_th")], []
+    for i in range(len(rates)):
+        point = F.get("_th", F.lit(i))
+        hit = F.col(score) >= point["value"]
+        aggs += [F.sum(F.when(hit, F.col(c)).otherwise(0)).alias(f"_{c}{i}") for c in ("pos", "neg")]
+        points.append(F.struct(point["rate"].alias("rate"), point["value"].alias("value"), F.col(f"_pos{i}").alias("tp"), F.col(f"_neg{i}").alias("fp")))
+    agg = joined.groupBy(*by).agg(*aggs).select(*by, "P", F.explode(F.array(*points)).alias("_p")).select(*by, "P", "_p.*")
     out = agg.select(
         *by, "rate", F.col("value").alias("threshold"), (F.col("tp") + F.col("fp")).alias("alarms"),
         F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0).alias("precision"),
@@ -138,22 +141,22 @@ def max_recall_at_precision(df: DataFrame, label: str, score: str, targets: list
     """Best recall on the PR curve with precision >= target; also the max precision."""
     by = list(by)
     pr = pr_curve(df, label, score, by)
-    tg = df.sparkSession.createDataFrame([(float(t),) for t in targets], "target double")
-    j = pr.crossJoin(F.broadcast(tg))
-    return j.groupBy(*by, "target").agg(
-        F.coalesce(F.max(F.when(F.col("precision") >= F.col("target"), F.col("recall"))), F.lit(0.0)).alias("max_recall"),
-        F.max("precision").alias("max_precision"),
-    )
+    best = [F.coalesce(F.max(F.when(F.col("precision") >= t, F.col("recall"))), F.lit(0.0)) for t in targets]
+    return _per_target(pr, targets, best, "max_recall", by, [F.max("precision").alias("max_precision")])
 
 
 def max_precision_at_recall(df: DataFrame, label: str, score: str, targets: list[float], by=()) -> DataFrame:
     """Ceiling table: max precision on the PR curve with recall >= target."""
-    by = list(by)
-    pr = pr_curve(df, label, score, by)
-    tg = df.sparkSession.createDataFrame([(float(t),) for t in targets], "target double")
-    return pr.crossJoin(F.broadcast(tg)).groupBy(*by, "target").agg(
-        F.max(F.when(F.col("recall") >= F.col("target"), F.col("precision"))).alias("max_precision")
-    )
+    pr = pr_curve(df, label, score, list(by))
+    return _per_target(pr, targets, [F.max(F.when(F.col("recall") >= t, F.col("precision"))) for t in targets], "max_precision", list(by))
+
+
+def _per_target(pr: DataFrame, targets: list[float], aggs: list, out: str, by: list[str], more=()) -> DataFrame:
+    """(by…, target, ``out``, …): the aggregate of each target from one pass over the curve."""
+    wide = pr.groupBy(*by).agg(*[a.alias(f"_t{i}") for i, a in enumerate(aggs)], *more)
+    rest = [c for c in wide.columns if not c.startswith("_t") and c not in by]
+    points = F.array(*[F.struct(F.lit(float(t)).alias("target"), F.col(f"_t{i}").alias(out)) for i, t in enumerate(targets)])
+    return wide.select(*by, *rest, F.explode(points).alias("_p")).select(*by, "_p.*", *rest)
 
 
 def forecast_errors(df: DataFrame, actual: str, pred: str, by=()) -> DataFrame:
