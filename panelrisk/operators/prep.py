@@ -75,14 +75,15 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
         for r in category_dictionary(train, categorical).collect():
             d.setdefault(r.feature, {})[r.value] = r.code
         p.dictionaries = d
-    if standardize and numeric:
-        imputed = train.select(*[_impute_num(c, p) for c in numeric])
+    if standardize and p.output_columns:  # the whole matrix, codes included
+        imputed = train.select(*[_impute_num(c, p) for c in numeric], *[_encode_cat(c, p) for c in categorical])
         aggs = []
-        for c in numeric:
-            aggs += [F.avg(f"num__{c}").alias(f"m_{c}"), F.stddev_pop(f"num__{c}").alias(f"s_{c}")]
+        for i, c in enumerate(p.output_columns):
+            aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
         row = imputed.agg(*aggs).collect()[0]
-        p.means = {c: row[f"m_{c}"] for c in numeric}
-        p.stds = {c: row[f"s_{c}"] for c in numeric}
+        names = [*numeric, *(f"cat__{c}" for c in categorical)]
+        p.means = {c: row[f"m{i}"] for i, c in enumerate(names)}
+        p.stds = {c: row[f"s{i}"] for i, c in enumerate(names)}
     return p
 
 
@@ -106,9 +107,10 @@ def transform(df: DataFrame, p: Preprocessor, keep: list[str] = (), standardize:
     cols = [F.col(k) for k in keep] + [_impute_num(c, p) for c in p.numeric] + [_encode_cat(c, p) for c in p.categorical]
     out = df.select(*cols)
     if standardize:
-        for c in p.numeric:
-            s = p.stds.get(c) or 1.0
-            out = out.withColumn(f"num__{c}", (F.col(f"num__{c}") - F.lit(p.means.get(c, 0.0))) / F.lit(s))
+        scaled = {f"num__{c}": c for c in p.numeric} | {f"cat__{c}": f"cat__{c}" for c in p.categorical}
+        out = out.withColumns({
+            x: (F.col(f"`{x}`") - F.lit(p.means.get(c) or 0.0)) / F.lit(p.stds.get(c) or 1.0) for x, c in scaled.items()
+        })
     return out
 
 

@@ -276,3 +276,12 @@ def test_whole_numbers_from_decimal_text(spark):
     assert [r.n for r in good.select(whole_number(F.col("v"), "v").cast("long").alias("n")).collect()] == [45, -7, 45, None, None]
     with pytest.raises(Exception, match="not a whole number"):
         spark.createDataFrame([("4x",)], "v string").select(whole_number(F.col("v"), "v")).collect()
+
+
+def test_standardising_scales_codes_too(spark):
+    from panelrisk.operators import prep
+
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (6.0, "b"), (3.0, "c")], "x double, k string")
+    p = prep.fit_preprocessor(df, ["x"], ["k"], standardize=True)
+    out = prep.transform(df, p, standardize=True).toPandas()
+    assert np.allclose(out.mean(), 0) and np.allclose(out.std(ddof=0), 1)
