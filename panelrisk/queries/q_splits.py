@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelrisk.operators import aggregates, events, sampling, series, splits
+from panelrisk.operators.oversampling import smote_minority
 from panelrisk.queries import register
 from panelrisk.queries.common import typed, typed_sql
 from panelrisk.queries.q_panel import DENSE_SQL, EVENTS_SQL, fleet_daily
@@ -125,6 +126,30 @@ def q_undersample_to_ratio(spark, sf):
     return u.select("entity_id", "date", LABEL)
 
 
+SMOTE_NUMERIC = ["use_today", "use_last_7d", "days_since_last_maintenance", "temp", "humidity"]
+
+
+@register("smote_minority", """
+WITH c AS (SELECT SUM(CASE WHEN event_next_30d = 0 THEN 1 ELSE 0 END) AS n0, SUM(CASE WHEN event_next_30d = 1 THEN 1 ELSE 0 END) AS n1 FROM panel)
+SELECT ratio, label, CAST(rows AS BIGINT) AS rows, 0 AS outside FROM (
+  SELECT 1.0 AS ratio, 0 AS label, n0 AS rows FROM c UNION ALL SELECT 1.0, 1, GREATEST(n0, n1) FROM c
+  UNION ALL SELECT 0.5, 0, n0 FROM c UNION ALL SELECT 0.5, 1, GREATEST(CAST(FLOOR(n0 * 0.5) AS BIGINT), n1) FROM c)""")
+def q_smote_minority(spark, sf):
+    """Rows per class after oversampling, and the values outside the minority's own range (none)."""
+    panel = fixture_panel(spark, sf)
+    own = panel.filter(F.col(LABEL) == 1).agg(*[f(c).alias(f"{n}_{c}") for c in SMOTE_NUMERIC for n, f in (("lo", F.min), ("hi", F.max))])
+    out = None
+    for ratio in (1.0, 0.5):
+        grown = smote_minority(panel, S, LABEL, SMOTE_NUMERIC, ["entity_type", "weather_type"], ratio=ratio).crossJoin(F.broadcast(own))
+        off = F.lit(False)
+        for c in SMOTE_NUMERIC:
+            off = off | ~F.col(c).between(F.col(f"lo_{c}") - 1e-9, F.col(f"hi_{c}") + 1e-9)
+        got = grown.groupBy(F.col(LABEL).alias("label")).agg(F.count(F.lit(1)).alias("rows"), F.sum((off & (F.col(LABEL) == 1)).cast("int")).alias("outside"))
+        got = got.select(F.lit(ratio).alias("ratio"), "label", "rows", "outside")
+        out = got if out is None else out.unionByName(got)
+    return typed(out, [("ratio", "d"), ("label", "i"), ("rows", "l"), ("outside", "i")])
+
+
 @register("thin_test_negatives", f"""
 WITH {SPLIT_SQL},
 t AS (SELECT * FROM sp WHERE split = 'test'),

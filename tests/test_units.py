@@ -285,3 +285,21 @@ def test_standardising_scales_codes_too(spark):
     p = prep.fit_preprocessor(df, ["x"], ["k"], standardize=True)
     out = prep.transform(df, p, standardize=True).toPandas()
     assert np.allclose(out.mean(), 0) and np.allclose(out.std(ddof=0), 1)
+
+
+def test_oversampling_interpolates_between_neighbours(spark):
+    from panelrisk.operators.oversampling import smote_minority
+
+    spec = PanelSpec(entity="e", date="d")
+    rng = random.Random(1)
+    rows = [(i, dt.date(2024, 1, 1), int(i < 40), rng.random() + 5 * (i % 2), float(i % 2), "ab"[i % 2]) for i in range(300)]
+    rows.append((999, dt.date(2024, 1, 1), 1, None, 1.0, "a"))
+    df = spark.createDataFrame(rows, "e long, d date, y int, x double, z double, k string")
+    out = smote_minority(df, spec, "y", ["x", "z"], ["k"], leaf=16).toPandas()
+    assert (out.y == 0).sum() == (out.y == 1).sum() == 260
+    made = out[out.y == 1].dropna().iloc[40:]
+    assert made.x.between(0, 6).all() and set(made.k) == {"a", "b"}
+    assert (made[made.z == 1.0].k == "b").mean() > 0.9  # the two clusters stay apart
+    assert smote_minority(df, spec, "y", ["x", "z"], ["k"], ratio=0.1).count() == len(rows)
+    again = smote_minority(df, spec, "y", ["x", "z"], ["k"], leaf=16).toPandas()
+    assert sorted(map(tuple, out.dropna().to_numpy().tolist())) == sorted(map(tuple, again.dropna().to_numpy().tolist()))
