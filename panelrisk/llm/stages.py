@@ -21,9 +21,12 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters and those of ambiguous language go; ``lang`` becomes the predicted one."""
+    """Documents without any language (``und``) go; ``lang`` becomes the predicted one.
+
+    Ambiguous documents stay: in the corpora seen they are clean prose in two languages.
+    """
     model = langid.fit(docs.where(~langid.held_out()))
-    out = langid.predict(model, docs, docs.columns).where("lang_pred <> 'und' AND NOT ambiguous")
+    out = langid.predict(model, docs, docs.columns).where("lang_pred <> 'und'")
     return out.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
