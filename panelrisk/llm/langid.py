@@ -105,7 +105,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def features(column: pa.Array) -> Iterator[np.ndarray]:
     """One matrix (texts x buckets) per run of texts."""
-    for _, data, offsets in text_blocks(column):
+    for _, data, offsets in text_blocks(column, max_rows=512):  # a row of features is 16 kB
         grams, at = _grams(data, offsets)
         out = np.zeros((len(at) - 1, BUCKETS), dtype=np.float32)
         for i in range(len(at) - 1):

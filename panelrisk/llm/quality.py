@@ -141,7 +141,7 @@ class Block:
 
 
 def _blocks(column: pa.Array) -> Iterator[Block]:
-    for _, data, offsets in text_blocks(column):
+    for _, data, offsets in text_blocks(column, max_rows=512):  # a row of features is 16 kB
         yield Block(data, offsets)
 
 

@@ -58,8 +58,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_cas
     return splitmix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def text_blocks(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yield (first row, bytes, row offsets) for runs of rows of about ``max_bytes``.
+def text_blocks(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 21, max_rows: int = 1 << 16) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yield (first row, bytes, row offsets) for runs of at most ``max_rows`` rows of about ``max_bytes``.
 
     A null text counts as empty. A text longer than ``max_bytes`` makes a run of its
     own, so the working memory is bounded by the longer of the two.
@@ -76,7 +76,7 @@ def text_blocks(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 21) ->
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + max_bytes, side="right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + max_rows)
         yield lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
