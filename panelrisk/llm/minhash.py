@@ -216,7 +216,12 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+
+    The bands and the bitmaps' lengths are made for resemblances of 75 per cent and more.
+    """
+    if not 75 <= percent <= 100:
+        raise ValueError("percent must be between 75 and 100")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = cut_lineage(texts.mapInArrow(_describe, "doc_id long, n_shingles long, sid long, bands array<long>"))
     # equal sets are one class; partial aggregation spreads a hot one

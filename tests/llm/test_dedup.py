@@ -71,6 +71,27 @@ def test_sketch_fills_every_coordinate_and_estimates():
     assert abs((x == y).mean() - 0.75) < 0.16
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (1, 2, 7, 8, 9, 30, 40, 146, 200):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for drop in (0, 0.05, 0.1, 0.2, 0.4):
+            kept = base[rng.random(n) >= drop]
+            extra = rng.integers(0, 2**63, int(n * rng.random() * 0.4)).astype(np.uint64)
+            if len(kept) + len(extra):
+                sets.append(np.unique(np.r_[kept, extra]))
+    open_ = {(i, int(j)) for i, js in minhash.can_link([minhash._bitmap(s) for s in sets], np.array([len(s) for s in sets]), 75) for j in js}
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            common = len(np.intersect1d(a, sets[j]))
+            if 100 * common >= 75 * (len(a) + len(sets[j]) - common):
+                linked += 1
+                assert (i, j) in open_
+    assert linked > 20 and len(open_) < len(sets) * (len(sets) - 1) / 4
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(7)
     rows, base = [], words(rng, 120)
