@@ -11,8 +11,8 @@ The sort is kept short: hashes are uniform, so a text of n shingles first drops
 those above twice the expected k-th smallest; only where too few distinct ones
 stay (much repetition) the whole list is sorted.
 
-Next documents: rows are dealt into ranges of ids, each of a few thousand rows,
-and ordered inside their range; a range's last row meets the first row of the
+Next documents: rows are dealt into ranges of ids, each of a few hundred rows
+or more, and ordered inside their range; a range's last row meets the first row of the
 next range by a join with one row per range. Whole texts move once.
 
 Cases: a null text is an empty text; empty texts resemble each other fully and
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, WIDTH, RANGE_ROWS, MAX_RANGES = 128, 5, 2048, 4096
+K, WIDTH, RANGE_ROWS, MAX_RANGES = 128, 5, 512, 4096
 
 
 def shingle_digests(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -80,9 +80,8 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.least(F.lit(1.0), shared / F.nullif(distinct_shingles(a, k), F.lit(0.0)))
 
 
-def with_next(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Add ``_next``: the struct (text, fp) of the following row of ``rows`` (doc_id, text, fp),
-    ascending by id; after the last comes the first. ``docs``: (doc_id, text) of the same rows."""
+def id_range(docs: DataFrame) -> Column:
+    """Number of the range that a row's doc_id lies in; ranges hold about ``RANGE_ROWS`` rows each."""
     count = docs.count()
     ranges = max(1, min(MAX_RANGES, count // RANGE_ROWS))
     share = [i / ranges for i in range(1, ranges)]
@@ -93,8 +92,12 @@ def with_next(rows: DataFrame, docs: DataFrame) -> DataFrame:
     everything = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if bounds else F.array().cast("array<bigint>")
     block = F.size(F.filter(coarse, lambda b: b <= F.col("doc_id"))) * 64
     inside = F.size(F.filter(F.slice(everything, block + 1, F.lit(64)), lambda b: b <= F.col("doc_id")))
-    spot = F.coalesce(block + inside, F.lit(0)).alias("_range")
+    return F.coalesce(block + inside, F.lit(0)).alias("_range")
+
 
+def with_next(rows: DataFrame, docs: DataFrame, spot: Column) -> DataFrame:
+    """Add ``_next``: the struct (text, fp) of the following row of ``rows`` (doc_id, text, fp, _range),
+    ascending by id; after the last comes the first. ``docs``: (doc_id, text) of the same rows."""
     first = docs.select("doc_id", spot).groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("n"), "doc_id")).alias("f"))
     first = first.select("_range", F.col("f.doc_id").alias("doc_id"))
     heads = docs.withColumnRenamed("doc_id", "_d").join(F.broadcast(first), F.col("_d").eqNullSafe(F.col("doc_id")))  # a row per range at most
@@ -103,14 +106,17 @@ def with_next(rows: DataFrame, docs: DataFrame) -> DataFrame:
     heads = heads.select("_range", F.coalesce(F.lead("_head").over(turn), F.first("_head").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_head"))
 
     order = Window.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    rows = rows.withColumn("_range", spot).withColumn("_lead", F.lead(F.struct("text", "fp")).over(order))
+    rows = rows.withColumn("_lead", F.lead(F.struct("text", "fp")).over(order))
     return rows.join(heads, "_range").withColumn("_next", F.coalesce("_lead", "_head")).drop("_lead", "_head", "_range")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(sketch(docs, "text", "fp"), docs)
+    spot = id_range(docs)
+    # texts move to their range first and are sketched there: sketches never move
+    rows = sketch(docs.withColumn("_range", spot).repartition("_range"), "text", "fp")
+    rows = with_next(rows, docs, spot)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("_next.text"), F.lit(1), half))
