@@ -25,6 +25,7 @@ CONFIGS = {
     "random_forest": dict(numTrees=400, minInstancesPerNode=20, maxDepth=30),
     "logreg": dict(maxIter=1000),
 }
+ENSEMBLE = ("gbt", "gbt_depth4", "gbt_depth6")  # members of the soft vote
 
 
 def build(name: str, weight_col: str | None = "weight", overrides: dict | None = None, reg_param: float = 0.0):

@@ -38,6 +38,7 @@ def scored_long(panel: DataFrame, spec, model_names=("gbt", "logreg"), overrides
                 datasets=None, parallelism: int = 4) -> DataFrame:
     """Fit every model on every dataset variant; long (dataset, model, split, label, score) table.
 
+    ``ensemble`` is the soft vote of ``models.ENSEMBLE``, whose members are fitted once.
     Each dataset's feature table is written once; the (dataset, model) fits are
     independent MLlib jobs submitted from a small driver thread pool.
     """
@@ -49,16 +50,20 @@ def scored_long(panel: DataFrame, spec, model_names=("gbt", "logreg"), overrides
 
     variants = dataset_variants(panel, spec)
 
+    names = list(dict.fromkeys([m for n in model_names for m in (models.ENSEMBLE if n == "ensemble" else (n,))]))
+    keys = [spec.entity, spec.date, "split", "label"]
+
     def one_dataset(ds: str) -> list[DataFrame]:
         feat = feature_frame(variants.filter(F.col("dataset") == ds).drop("dataset"), spec)
-        parts = []
-        for name in model_names:
-            p, tr, te = prepare_matrices(feat, spec, standardize=(name == "logreg"))
+        mats = {std: prepare_matrices(feat, spec, standardize=std) for std in {n == "logreg" for n in names}}
+        scored = {}
+        for name in names:
+            p, tr, te = mats[name == "logreg"]
             m = models.fit(name, tr, (overrides or {}).get(name))
-            s = models.score(m, tr).unionByName(models.score(m, te)).select(
-                F.lit(ds).alias("dataset"), F.lit(name).alias("model"), "split", "label", "score")
-            parts.append(cut_lineage(s))
-        return parts
+            scored[name] = cut_lineage(models.score(m, tr).unionByName(models.score(m, te)).select(*keys, "score"))
+        if "ensemble" in model_names:
+            scored["ensemble"] = models.soft_vote([scored[m] for m in models.ENSEMBLE], keys)
+        return [scored[n].select(F.lit(ds).alias("dataset"), F.lit(n).alias("model"), "split", "label", "score") for n in model_names]
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         results = list(ex.map(one_dataset, list(datasets or VARIANTS)))

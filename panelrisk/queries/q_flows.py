@@ -8,14 +8,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelrisk.operators import forecast as fc
-from panelrisk.operators import metrics, models, prep, sampling, splits
+from panelrisk.operators import metrics, models, prep, splits
 from panelrisk.plans import forecast as pf
 from panelrisk.queries import register
 from panelrisk.queries.q_forecast import HORIZON, HORIZON_DAYS, MASK, weekly_ts
-from panelrisk.queries.q_models import QUICK, feat_split, matrices
+from panelrisk.queries.q_models import feat_split, matrices
 from panelrisk.sources.fixture import fixture_panel
 from panelrisk.spec import FIXTURE_SPEC as S
 
+MATRIX_MODELS = ("gbt", "gbt_regularized", "gbt_depth4", "gbt_depth6", "random_forest", "logreg", "ensemble")
+TARGET_MODELS = ("gbt", "gbt_regularized", "logreg", "gbt_depth6", "ensemble")
 
 @register("fit_seasonal_model")
 def q_fit_seasonal_model(spark, sf):
@@ -60,21 +62,21 @@ def q_forecast_fleet(spark, sf):
 def q_cv_classifier(spark, sf):
     from panelrisk.plans.cv import cv_classifier
 
-    return cv_classifier(feat_split(spark, sf), S, "gbt_regularized", 5, QUICK["gbt_regularized"])
+    return cv_classifier(feat_split(spark, sf), S, "gbt_regularized", 5)
 
 
 @register("tune_expanding")
 def q_tune_expanding(spark, sf):
     from panelrisk.plans.cv import tune_expanding
 
-    return tune_expanding(feat_split(spark, sf), S, n_trials=2, k=2, max_iter_cap=5)
+    return tune_expanding(feat_split(spark, sf), S, n_trials=40, k=4)
 
 
 @register("model_matrix")
 def q_model_matrix(spark, sf):
     from panelrisk.plans.experiments import experiment_table, scored_long
 
-    long = scored_long(fixture_panel(spark, sf), S, ("gbt", "logreg"), QUICK)
+    long = scored_long(fixture_panel(spark, sf), S, MATRIX_MODELS)
     return experiment_table(long, "label")
 
 
@@ -82,7 +84,7 @@ def q_model_matrix(spark, sf):
 def q_target_matrix(spark, sf):
     from panelrisk.plans.experiments import scored_long, target_table
 
-    long = scored_long(fixture_panel(spark, sf), S, ("gbt_regularized",), QUICK)
+    long = scored_long(fixture_panel(spark, sf), S, TARGET_MODELS)
     return target_table(long)
 
 
@@ -102,7 +104,7 @@ def q_experiment_matrix(spark, sf):
 
 def _model_scores(spark, sf):
     p, tr, te = matrices(spark, sf)
-    m = models.fit("gbt_regularized", tr, QUICK["gbt_regularized"])
+    m = models.fit("gbt_regularized", tr)
     return models.score(m, tr).unionByName(models.score(m, te)).drop("features")
 
 
@@ -135,14 +137,13 @@ def q_permutation_importance(spark, sf):
 
     f = feat_split(spark, sf)
     p, tr, te = matrices(spark, sf)
-    m = models.fit("gbt_regularized", tr, QUICK["gbt_regularized"])
-    sample = sampling.sample_rows(f.filter("split = 'test'"), S, 2000)
-    return permutation_importance(m, p, sample, "label", ["entity_id", "date"])
+    m = models.fit("gbt_regularized", tr)
+    return permutation_importance(m, p, f.filter("split = 'test'"), "label", ["entity_id", "date"])
 
 
 @register("top_k_importance")
 def q_top_k_importance(spark, sf):
     """The 10 features with the largest gain."""
     p, tr, te = matrices(spark, sf)
-    m = models.fit("gbt", tr, QUICK["gbt"])
+    m = models.fit("gbt", tr)
     return models.feature_importance(m, p.output_columns, spark).orderBy(F.desc("gain"), "feature").limit(10)

@@ -110,17 +110,7 @@ def q_class_weight(spark, sf):
     return typed(outs[0].unionByName(outs[1]), [("scheme", "s"), ("label", "i"), ("weight", "d")])
 
 
-# Registered model fits use the full train rows with shortened schedules;
-# the full configurations of models.CONFIGS apply when no override is given.
-QUICK = {
-    "gbt": dict(maxIter=10),
-    "gbt_regularized": dict(maxIter=10),
-    "gbt_depth4": dict(maxIter=10),
-    "gbt_depth6": dict(maxIter=10),
-    "gbt_hist": dict(maxIter=10),
-    "random_forest": dict(numTrees=20, maxDepth=8),
-    "logreg": dict(),  # in full
-}
+# Registered fits use all train rows and the full schedules of models.CONFIGS.
 
 
 def matrices(spark, sf, standardize=False):
@@ -131,7 +121,7 @@ def _model_query(key: str, name: str):
     @register(key)
     def q(spark, sf):
         p, tr, te = matrices(spark, sf, standardize=(name == "logreg"))
-        m = models.fit(name, tr, QUICK[name])
+        m = models.fit(name, tr)
         return models.score(m, te).select("entity_id", "date", "label", "score")
 
     return q
@@ -149,14 +139,14 @@ _model_query("model_gbt_hist", "gbt_hist")
 @register("model_soft_vote")
 def q_model_soft_vote(spark, sf):
     p, tr, te = matrices(spark, sf)
-    members = [models.score(models.fit(n, tr, QUICK[n]), te) for n in ("gbt", "random_forest")]
+    members = [models.score(models.fit(n, tr), te) for n in models.ENSEMBLE]
     return models.soft_vote(members, ["entity_id", "date"])
 
 
 @register("score_rows")
 def q_score_rows(spark, sf):
     p, tr, te = matrices(spark, sf)
-    m = models.fit("gbt_regularized", tr, QUICK["gbt_regularized"])
+    m = models.fit("gbt_regularized", tr)
     return models.score(m, tr.unionByName(te)).select("entity_id", "date", "split", "score")
 
 
@@ -167,7 +157,7 @@ def q_early_stopping(spark, sf):
 
     p, tr, te = matrices(spark, sf)
     roles = splits.validation_tail(tr, S).withColumn("is_val", F.col("role") == "validation").drop("role", "pos")
-    est = models.build("gbt", "weight", dict(maxIter=20, validationIndicatorCol="is_val", validationTol=1e-9))
+    est = models.build("gbt", "weight", dict(validationIndicatorCol="is_val", validationTol=1e-9))
     m = est.fit(models.with_class_weight(roles, "label"))
     return models.score(m, te).select("entity_id", "date", "score").withColumn("trees", F.lit(m.getNumTrees))
 
@@ -175,7 +165,7 @@ def q_early_stopping(spark, sf):
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     p, tr, te = matrices(spark, sf)
-    m = models.fit("gbt", tr, QUICK["gbt"])
+    m = models.fit("gbt", tr)
     return models.feature_importance(m, p.output_columns, spark)
 
 
@@ -187,7 +177,7 @@ def q_final_refit(spark, sf):
     f = feat_split(spark, sf)
     p = prep.fit_preprocessor(f, NUM, CAT)
     all_rows = prep.assemble(prep.transform(f, p, ["entity_id", "date", "label"]), p)
-    m = models.fit("gbt_regularized", all_rows, QUICK["gbt_regularized"])
+    m = models.fit("gbt_regularized", all_rows)
 
     def scorer(d):
         return models.score(m, prep.assemble(prep.transform(d, p, ["entity_id", "date", "entity_type"]), p))
@@ -199,7 +189,7 @@ def q_final_refit(spark, sf):
 def q_train_and_report(spark, sf):
     from panelrisk.plans.train import train_and_report
 
-    out = train_and_report(fixture_panel(spark, sf), S, "gbt_regularized", QUICK["gbt_regularized"], "fixed")
+    out = train_and_report(fixture_panel(spark, sf), S, "gbt_regularized", threshold_mode="fixed")
     return out["report"]
 
 
@@ -209,7 +199,7 @@ def q_predict_file(spark, sf):
     from panelrisk.plans.score import score_file
 
     p, tr, te = matrices(spark, sf)
-    m = models.fit("gbt_regularized", tr, QUICK["gbt_regularized"])
+    m = models.fit("gbt_regularized", tr)
     f = feat_split(spark, sf)
 
     def scorer(d):
