@@ -11,7 +11,8 @@ hash of the id (the documented bound of the training sample). Where a page
 marks its article by an element of that name, the marks are labels; and the
 prose of the drawn pages is set into ``FIT_SKINS`` page skins with menus, headers,
 sidebars, notices, adverts, forms and reader comments of known kind, some of
-them inside the article and some without any telling attribute. The forest
+them inside the article and some without any telling attribute; some articles
+and rows of links stand in no block element at all. The forest
 (``TREES`` trees of depth ``DEPTH``) has a fixed size; pages are scored where
 they lie and never move.
 
@@ -151,6 +152,10 @@ def skin(rng: random.Random, prose: list[str]) -> str:
     article = _article(rng, prose, inside) if rng.random() < 0.9 else ""
     before = around(["notice", "head", "menu", "ad", "menu"], 0.5) or [_surround(rng, "menu", prose)]
     after = around(["ad", "share", "side", "form", "talk", "talk", "side", "menu", "notice"], 0.35) + around(["foot"], 0.8)
+    if article and rng.random() < 0.1:  # text in no block element
+        article = "<br><br>".join(_MARK + _filler(rng, prose) for _ in range(rng.randint(1, 8)))
+    if rng.random() < 0.15:  # links in none
+        (before if rng.random() < 0.5 else after).insert(0, "<hr>" + " ".join(f'<a href="/{i}">{_short(rng, prose)}</a>' for i in range(rng.randint(3, 9))) + "<hr>")
     return "<body>" + "".join([*before, article, *after]) + "</body>"
 
 
@@ -262,7 +267,7 @@ def _extract(trees: list[tuple[np.ndarray, ...]]):
                     own = odds[at : at + len(rs)]
                     at += len(rs)
                     kept = htmltree.decode(nodes, ids, own, STAY)
-                    out.append("\n".join(t for i, t in blocks if i in kept and i))
+                    out.append("\n".join(t for i, t in blocks if i in kept))
             yield pa.RecordBatch.from_arrays([batch.column("_rest"), pa.array(out, pa.string())], ["_rest", "_out"])
 
     return run

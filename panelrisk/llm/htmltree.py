@@ -3,7 +3,9 @@
 Only block-level elements are nodes; inline markup is part of its block's text.
 Open paragraphs, list items and table cells end where the next one begins, end
 tags without a start are ignored, and everything still open ends with the page,
-so any byte soup gives a tree.
+so any byte soup gives a tree. A head without an end tag ends at the first text
+or element that cannot be in a head. Every run of text that lies in no block
+element is a paragraph of its own below the page, as browsers lay it out.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ BLOCKS = frozenset(
     tbody td tfoot th thead tr ul""".split()
 )
 SILENT = frozenset("head iframe math noframes noscript object script style svg template title".split())
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())  # what a head may hold
 RAW = frozenset("script style title textarea iframe noframes xmp".split())
 CONTROLS = frozenset("button input label select textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,7 +51,8 @@ N_GROUPS = len(WORDS)
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
 @dataclass(slots=True)
@@ -78,6 +82,18 @@ def _marks(attributes: str) -> int:
     return out
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an attribute of that name hides the element; words inside other values say nothing."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for name, a, b, c in _ATTRIBUTE.findall(low):
+        value = a or b or c
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and _NOT_SHOWN.search(value):
+            return True
+    return False
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes in page order, text blocks as (node, text) in page order). Node 0 is the page."""
     nodes = [Node("html", -1, 0)]
@@ -94,6 +110,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             parts.clear()
             if text:
                 at = stack[-1][1]
+                if not at:  # in no block element
+                    at = len(nodes)
+                    nodes.append(Node("p", 0, 1, paragraphs=1))
+                    nodes[0].children.append(at)
                 blocks.append((at, text))
                 node = nodes[at]
                 node.chars += len(text)
@@ -118,6 +138,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     while here < size:
         token = _TOKEN.search(page, here)
         text = page[here : token.start() if token else size]
+        if stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
         if text and not silent:
             parts.append(text)
             if links:
@@ -138,7 +160,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if tag not in BLOCKS and name in BLOCKS and name != "p":
                     break  # an inline end tag does not end blocks
             continue
-        if tag in ("html", "body") and not silent:
+        if silent and (tag == "body" or stack[-1][0] == "head" and tag not in HEAD):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] == "head":
+                    close(i)
+                    break
+        if tag in ("html", "body"):
             continue
         if tag in VOID:
             if tag in BLOCKS:
@@ -162,7 +189,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             up = stack[-1][1]
             nodes.append(Node(tag, up, nodes[up].depth + 1, _marks(attributes) if attributes else 0))
             nodes[up].children.append(len(nodes) - 1)
-            hidden = bool(attributes) and _HIDDEN.search(attributes) is not None
+            hidden = bool(attributes) and _hidden(attributes)
             stack.append((f"!{tag}" if hidden else tag, len(nodes) - 1))
             silent += hidden
             nodes[-1].paragraphs += tag == "p"

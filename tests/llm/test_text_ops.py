@@ -338,3 +338,31 @@ def test_unseen_skins_and_edge_pages(spark):
 )
 def test_parsing(page, blocks):
     assert [t for _, t in htmltree.parse(page)[1]] == blocks
+
+
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        ("<html><head><title>x</title><body><p>a</p>b", ["a", "b"]), ("<head><meta charset=u><style>i{}</style><div>a</div>", ["a"]),
+        ("<head><title>x</title><noscript><link href=y><body><p>a", ["a"]), ("<head><title>x</title>a<p>b", ["a", "b"]),
+        ("<head><title>x</title></head><body>a", ["a"]), ("<head><script>if(a<b)</script>\n<link rel=x>\n</head>a", ["a"]),
+        ('<div class="mt-4 hidden lg:block">a</div>', ["a"]), ('<p title="the hidden one" data-x="display:none">a</p>', ["a"]),
+        ("<div class='x'hidden>a</div>b", ["b"]), ("<div style='color:red; Display : none'>a</div>b", ["b"]), ("<p aria-hidden=true>a</p>b", ["b"]), ("<p HIDDEN=''>a</p>b", ["b"]),
+    ],
+)
+def test_open_heads_and_hidden_elements(page, blocks):
+    assert [t for _, t in htmltree.parse(page)[1]] == blocks
+
+
+def test_text_outside_of_blocks_is_scored(spark):
+    pages = table(spark, SF, "pages").select("page_id", "html")
+    prose = [t for r in pages.limit(20).collect() for _, t in htmltree.parse(r.html)[1] if t.count(" ") >= 12][:9]
+    links = " ".join(f"<a href=/{i}>Item {i}</a>" for i in range(9))
+    top = "<html><head><title>x</title><body>"
+    odd = {
+        -1: top + "<nav><a href=/>Home</a></nav>" + "<br><br>".join(prose), -2: top + f"<my-article>{'<br>'.join(prose)}</my-article>",
+        -3: top + "".join(f"<p>{t}</p>" for t in prose), -4: top + links,
+    }
+    frame = pages.unionByName(spark.createDataFrame(list(odd.items()), pages.schema))
+    got = {r.page_id: r.text for r in extract.main_text(frame, ["page_id"]).where("page_id < 0").collect()}
+    assert got[-1] == got[-2] == " ".join(prose) and got[-3] == "\n".join(prose) and got[-4] == ""
