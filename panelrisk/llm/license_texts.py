@@ -2,9 +2,13 @@
 
 The texts are the published ones without their copyright lines, written as
 plain text; normalisation makes line breaks, case and punctuation irrelevant.
+The long ones lie in ``license_data``, one file per identifier, as Debian ships
+them. A file-header notice is no licence text: it is filed as "<identifier> header".
 Notices are single lines by which a text refers to a licence.
 """
 
+from pathlib import Path
+
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -81,7 +85,7 @@ use this software in a product, an acknowledgment in the product documentation w
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution.""",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+    "Apache-2.0 header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at
 
 http://www.apache.org/licenses/LICENSE-2.0
@@ -89,7 +93,7 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS
 IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License.""",
-    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+    "GPL-3.0-or-later header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
 General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
 any later version.
 
@@ -115,6 +119,7 @@ CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 
 For more information, please refer to <https://unlicense.org>""",
 }
+TEXTS.update((f.stem, f.read_text(encoding="utf-8")) for f in sorted(Path(__file__).with_name("license_data").glob("*.txt")))
 
 #: titles that may stand above a text
 TITLES = {

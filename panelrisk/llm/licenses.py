@@ -60,7 +60,8 @@ def known_digests(spark) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, license, notices, n_notices) for every row of ``docs`` (doc_id, text).
 
-    ``license``: identifier of the licence that the whole text is, else empty.
+    ``license``: identifier of the licence that the whole text is, "<identifier> header" where it
+    is that licence's file-header notice alone, else empty.
     ``notices``: sorted identifiers of the licences that lines refer to, comma-separated;
     ``n_notices``: number of such lines.
     """

@@ -121,6 +121,15 @@ def test_licence_variants(spark):
     assert got[5] == ("", "MIT", 1) and got[6] == ("", "Apache-2.0,CC-BY-NC-4.0", 2)
 
 
+def test_whole_licences_and_file_headers(spark):
+    long = ["Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0"]
+    want = {k: k for k in long} | {"Apache-2.0 header": "Apache-2.0 header", "GPL-3.0-or-later header": "GPL-3.0-or-later header"}
+    rows = [(k, "\n".join(f"  {x.upper()}" for x in license_texts.TEXTS[k].split("\n"))) for k in want]
+    rows += [("cut", license_texts.TEXTS["GPL-3.0-only"][:-200]), ("more", license_texts.TEXTS["MPL-2.0"] + "\nOnly on weekdays.")]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == want | {"cut": "", "more": ""}
+
+
 def test_licence_edge_cases(odd, none):
     got = licenses.scan(odd).collect()
     assert len(got) == odd.count() and {r.license for r in got} == {""}
