@@ -4,8 +4,9 @@ The ids are those of the ``tokenizers`` library: its BPE model encodes every
 distinct pre-token it has not met before, once per worker; the pre-tokens are
 found and looked up with whole-array operations. A byte-level BPE never merges
 across pre-tokens, so the ids of a text are those of its pre-tokens in order
-(the tests compare both ways over whole texts). The strings of special tokens
-are ordinary text.
+(the tests compare both ways over whole texts). A text that holds the string of
+one of the vocabulary's added tokens is given to the library whole, which finds
+those first.
 
 Pre-token rule (fixed, part of the vocabulary file): an English contraction
 suffix; or an optional space and a run of letters, of numbers, or of other
@@ -95,6 +96,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         # the vocabulary spells bytes as printable characters: itself where printable, else 256, 257, ...
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -116,6 +118,22 @@ class Encoder:
         where = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = (np.insert(a, where, b) for a, b in ((self.keys, keys), (self.at, at), (self.size, size)))
 
+    def with_added(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
+        """Row -> ids, for the rows that hold the string of an added token."""
+        raw, found = data.tobytes(), {}
+        for token in self.added:
+            spot = raw.find(token)
+            while spot >= 0:
+                row = int(np.searchsorted(offsets, spot, side="right")) - 1
+                end = int(offsets[row + 1])
+                if spot + len(token) > end:  # runs over the row's end
+                    spot = raw.find(token, spot + 1)
+                    continue
+                if row not in found:
+                    found[row] = np.array(self.tokenizer.encode(raw[int(offsets[row]) : end].decode(), add_special_tokens=False).ids, np.uint32)
+                spot = raw.find(token, end)
+        return found
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows end to end, row offsets into them)."""
         lead = (data & 0xC0) != 0x80  # first byte of a character
@@ -157,5 +175,6 @@ def encode_column(column: pa.Array, path: str) -> Iterator[np.ndarray]:
     coder = encoder(path)
     for _, data, offsets in text_blocks(column):
         ids, at = coder.encode(data, offsets)
+        added = coder.with_added(data, offsets)
         for i in range(len(at) - 1):
-            yield ids[at[i] : at[i + 1]]
+            yield added[i] if i in added else ids[at[i] : at[i + 1]]

@@ -197,6 +197,17 @@ def test_ids_equal_the_tokenizer(reference_tokenizer, texts):
     assert got == [reference_tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "a", "\n", "'s", "日é", "12"]), max_size=8).map("".join) | st.none(), max_size=12))
+@settings(max_examples=100, deadline=None)
+def test_added_tokens_get_their_ids(texts):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.vocabulary())  # as it comes
+    got = [x.tolist() for x in encode_column(pa.array(texts, pa.string()), queries.vocabulary())]
+    assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert next(encode_column(pa.array(["a <|endoftext|> b"]), queries.vocabulary())).tolist() == [64, 220, 50256, 275]
+
+
 def test_ids_of_corpus_texts(spark, reference_tokenizer):
     texts = [r.text for r in table(spark, SF, "documents").collect()]
     got = [x.tolist() for x in encode_column(pa.array(texts), queries.vocabulary())]
