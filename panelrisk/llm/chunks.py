@@ -7,6 +7,12 @@ nearby content alone: an insertion moves the cuts around it and no others, and
 chunks have no size limits that would carry a shift further. A chunk runs from
 cut to cut, with its trailing white space left out of the digest.
 
+A run of more than ``LONG_RUN`` characters without white space (Chinese, Japanese,
+Thai, minified code, base64) is not one word: its words are the pieces between
+the characters whose hash is the largest among ``REACH`` on either side, five
+characters on average, so ``MIN_WORDS`` of them are about 120 characters. A stretch
+of one repeated character has no such places and stays one word.
+
 Every digest keeps its first occurrence (smallest doc_id, then position). A run
 of later occurrences that lie side by side is removed when it has at least
 ``MIN_WORDS`` words, so a phrase that two texts share by chance stays. The
@@ -20,14 +26,15 @@ aggregated key and one skewed key of a plain join.
 
 Cases: null stays null and empty stays empty, nothing removed; a text without
 words is untouched; the first of several equal texts is kept and the others
-lose every run of enough words; rows that share an id and a text count as one
+lose every run of enough words; a row without an id has no place in the order,
+so it is carried along untouched and nothing is removed for its sake; rows that share an id and a text count as one
 document and are treated alike; extra columns are carried along untouched,
 whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,39 +43,75 @@ from pyspark.sql import functions as F
 
 from panelrisk.llm.textbytes import byte_codes, span_hashes, splitmix, text_blocks, word_spans
 
-WINDOW, REACH, MIN_WORDS = 16, 2, 24
+WINDOW, REACH, MIN_WORDS, LONG_RUN = 16, 2, 24, 16
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash after each byte over the last ``WINDOW`` bytes: sum of code << age."""
+def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Hash after each byte over the last ``WINDOW`` bytes of its row: sum of code << age."""
     h, span = byte_codes(False)[data], 1
+    full = np.diff(offsets) > 0
+    begin, end = offsets[:-1][full][1:], offsets[1:][full][1:]  # before the first row lies nothing
     while span < WINDOW:
         older = np.zeros_like(h)
         older[span:] = h[:-span]
+        for i in range(span):  # what lies before the row
+            older[(begin + i)[begin + i < end]] = 0
         h = h + (older << np.uint64(span))
         span *= 2
     return h
 
 
-def cut_words(data: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which words begin a chunk; the first word of every row does."""
-    n = len(starts)
-    value = splitmix(gear_hashes(data)[np.maximum(starts - 1, 0)] if n else np.zeros(0, np.uint64))
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    top = np.ones(n, dtype=bool)
+def _largest(value: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which values are the largest among the ``REACH`` on either side in their group."""
+    top = np.ones(len(value), dtype=bool)
     for d in range(1, REACH + 1):
-        same = row[d:] == row[:-d]
+        same = group[d:] == group[:-d]
         # of equal hashes the earlier one is the larger
         top[:-d] &= ~same | (value[:-d] >= value[d:])
         top[d:] &= ~same | (value[d:] > value[:-d])
+    return top
+
+
+def cut_words(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which words begin a chunk, by the hashes of their starts; the first word of every row does."""
+    top = _largest(value, np.repeat(np.arange(len(at) - 1), np.diff(at)))
     top[at[:-1][np.diff(at) > 0]] = True
     return top
 
 
+def _words(data: np.ndarray, offsets: np.ndarray, value: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, per-row index into them) of the words, long runs without white space in pieces."""
+    starts, ends, at = word_spans(data, offsets)
+    if not (ends - starts > LONG_RUN).any():
+        return starts, ends, at
+    lead = (data & 0xC0) != 0x80
+    before = np.r_[0, np.cumsum(lead)]
+    long = before[ends] - before[starts] > LONG_RUN
+    if not long.any():
+        return starts, ends, at
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts[long]] += 1
+    edge[ends[long]] -= 1
+    spot = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & lead)
+    pieces = np.union1d(starts, spot[_largest(value(spot), np.searchsorted(starts, spot, side="right"))])
+    run = np.searchsorted(starts, pieces, side="right") - 1
+    return pieces, np.minimum(np.r_[pieces[1:], len(data)], ends[run]), np.searchsorted(pieces, offsets)
+
+
 def _chunks(data: np.ndarray, offsets: np.ndarray):
     """(row index into chunks, first byte, end byte, words, digest) of the chunks of each row."""
-    starts, ends, at = word_spans(data, offsets)
-    first = np.flatnonzero(cut_words(data, starts, at))
+    hashes = gear_hashes(data, offsets)
+    opens = np.zeros(len(data) + 1, dtype=bool)
+    opens[offsets] = True
+
+    def value(spot: np.ndarray) -> np.ndarray:
+        """Hash of the bytes before a place; none at the start of a row."""
+        out = splitmix(hashes[np.maximum(spot - 1, 0)]) if len(spot) else np.zeros(0, np.uint64)
+        out[opens[spot]] = 0
+        return out
+
+    starts, ends, at = _words(data, offsets, value)
+    first = np.flatnonzero(cut_words(value(starts), at))
     last = np.r_[first[1:], len(starts)] - 1
     return np.searchsorted(first, at), starts[first], ends[last] if len(first) else starts[first], last - first + 1, span_hashes(data, starts[first], ends[last] if len(first) else starts[first]).astype(np.int64)
 

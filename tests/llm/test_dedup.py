@@ -209,6 +209,36 @@ def test_repeated_passages_go_but_their_first_copy_stays(spark):
     assert {r.a for r in out.select(F.col("`a.b`").alias("a")).collect()} == {"z"}
 
 
+def test_cuts_of_a_row_do_not_depend_on_its_neighbours():
+    rng = random.Random(3)
+    for _ in range(20):
+        check_rows_alone(rng)
+
+
+def check_rows_alone(rng):
+    raws = ["".join(rng.choices("的一是不了人我在有他这为之大来以个中上们", k=90)).encode(), b"a b c " * 9, " ".join(words(rng, 60)).encode(), b"", b"x"]
+    offsets = np.cumsum([0, *map(len, raws)])
+    at, begin, _, _, digest = chunks._chunks(np.frombuffer(b"".join(raws), np.uint8), offsets)
+    for i, raw in enumerate(raws):
+        _, alone, _, _, own = chunks._chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert (begin[at[i] : at[i + 1]] - offsets[i]).tolist() == alone.tolist() and digest[at[i] : at[i + 1]].tolist() == own.tolist()
+
+
+def test_passages_without_spaces_and_rows_without_id(spark):
+    rng = random.Random(12)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 2000)]
+    text = lambda n: "".join(rng.choices(signs, k=n))
+    passage, whole = text(300), text(250)
+    rows = [(i, f"{text(200)}{passage}{text(150)}") for i in range(1, 6)] + [(10, whole), (11, whole), (12, text(400)), (None, whole), (None, whole)]
+    got = [(r.doc_id, r.text, r.removed_chars) for r in chunks.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    by_id = {i: (t, n) for i, t, n in got}
+    assert by_id[1] == (rows[0][1], 0) and by_id[10] == (whole, 0) and by_id[12][1] == 0
+    for i in range(2, 6):
+        assert 250 <= by_id[i][1] <= 330 and not any(passage[k : k + 60] in by_id[i][0] for k in range(240))
+    assert by_id[11][1] > 200
+    assert sorted(t == whole and n == 0 for i, t, n in got if i is None) == [True, True]
+
+
 def test_word_spans_match_the_pattern():
     import pyarrow as pa
 
