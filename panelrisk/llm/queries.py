@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrisk.llm import chunks, extract, fingerprints, langid, license_texts, licenses, minhash, mixing, packing, quality, rabitq
+from panelrisk.llm import chunks, extract, fingerprints, langid, license_texts, licenses, minhash, mixing, packing, quality, rabitq, urlfilter
 from panelrisk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,25 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+#: fixed values of the contract: verdict, host, beginning of the path
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@register
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), listing, ["page_id"])
+
+
+ORACLE["op12_urls"] = f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(verdict, h, b) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+n AS (SELECT row_number() OVER () AS r, * FROM p),
+hit AS (SELECT r, arg_max(h || b, length(h || b)) AS rule, arg_max(verdict, length(h || b)) AS verdict FROM n JOIN rules
+  ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(hit.verdict, 'allow') AS verdict FROM n LEFT JOIN hit USING (r)
+"""
