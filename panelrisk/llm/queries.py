@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrisk.llm import chunks, extract, fingerprints, langid, license_texts, licenses, minhash, mixing, packing, quality, rabitq, urlfilter
+from panelrisk.llm import align, chunks, extract, fingerprints, langid, license_texts, licenses, minhash, mixing, packing, quality, rabitq, urlfilter
 from panelrisk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +178,13 @@ def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+@register
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.alignment(table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: fixed values of the contract: verdict, host, beginning of the path
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 

@@ -27,7 +27,8 @@ import pyarrow as pa
 
 from panelrisk.llm.textbytes import span_hashes, text_blocks
 
-CACHE_PIECES = 1 << 21  # distinct pre-tokens that a worker remembers; beyond, it starts anew
+CACHE_PIECES, CACHE_IDS = 1 << 18, 1 << 20  # what a worker remembers of a vocabulary at most, but for one run of texts
+TEXT_BYTES = 1 << 19  # texts that are encoded at once
 
 # fixed values: white space of the pre-token rule
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -88,6 +89,56 @@ def _contractions(codes: np.ndarray, kind: np.ndarray, start: np.ndarray, row_ed
     return start
 
 
+class PieceMemory:
+    """The ids of the pieces that a worker has met, by the hash of their bytes.
+
+    Beyond ``CACHE_PIECES`` pieces or ``CACHE_IDS`` ids it starts anew, so that a
+    worker that goes from stage to stage keeps a few megabytes at most.
+    """
+
+    def __init__(self) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.at = np.zeros(0, np.int32)  # where the ids of each key begin in ids
+        self.size = np.zeros(0, np.int32)
+        self.good = np.zeros(0, dtype=bool)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _add(self, keys: np.ndarray, found: list[list[int]], good: list[bool]) -> None:
+        size = np.array([len(x) for x in found], np.int32)
+        at = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
+        self.ids = np.r_[self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))]
+        where = np.searchsorted(self.keys, keys)
+        new = (keys, at, size, np.array(good, dtype=bool))
+        self.keys, self.at, self.size, self.good = (np.insert(a, where, b) for a, b in zip((self.keys, self.at, self.size, self.good), new))
+
+    def ids_of(self, hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all pieces end to end, offsets of the pieces into them, flag of each piece).
+
+        ``learn`` gives the ids and the flags of a list of pieces.
+        """
+        hashes, where = np.unique(hashes, return_inverse=True)
+        known = np.zeros(len(hashes), dtype=bool)
+        if len(self.keys):
+            spot = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            known = self.keys[spot] == hashes
+        if not known.all():
+            if len(self.keys) + (~known).sum() > CACHE_PIECES or len(self.ids) > CACHE_IDS:
+                self._forget()
+                known[:] = False
+            one = np.zeros(len(hashes), np.int64)
+            one[where] = np.arange(len(where))  # an occurrence of each
+            new = np.flatnonzero(~known)
+            self._add(hashes[new], *learn([data[begin[i] : end[i]].tobytes() for i in one[new]]))
+        spot = np.searchsorted(self.keys, hashes)
+        size, at = self.size[spot][where].astype(np.int64), self.at[spot][where]
+        stop = np.cumsum(size)
+        ids = self.ids[np.repeat(at - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        return ids, np.r_[0, stop], self.good[spot][where]
+
+
 class Encoder:
     """Vocabulary with a memory of pre-tokens; one per Python worker and path."""
 
@@ -101,22 +152,11 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.spelling = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self._forget()
+        self.memory = PieceMemory()
 
-    def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted piece hashes
-        self.at = np.zeros(0, np.int64)  # where the ids of each key begin in ids
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> tuple[list[list[int]], list[bool]]:
         model = self.tokenizer.model
-        found = [[t.id for t in model.tokenize(p.decode("latin-1").translate(self.spelling))] for p in pieces]
-        size = np.array([len(x) for x in found], np.int64)
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.r_[self.ids, np.array([i for x in found for i in x], np.uint32)]
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = (np.insert(a, where, b) for a, b in ((self.keys, keys), (self.at, at), (self.size, size)))
+        return [[t.id for t in model.tokenize(p.decode("latin-1").translate(self.spelling))] for p in pieces], [True] * len(pieces)
 
     def with_added(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
         """Row -> ids, for the rows that hold the string of an added token."""
@@ -144,25 +184,8 @@ class Encoder:
         begin = byte_at[piece_starts(codes, edge[byte_at])]
         end = np.r_[begin[1:], len(data)] if len(begin) else begin
         rows = np.searchsorted(begin, offsets)
-        hashes, where = np.unique(span_hashes(data, begin, end), return_inverse=True)
-        known = np.zeros(len(hashes), dtype=bool)
-        if len(self.keys):
-            spot = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            known = self.keys[spot] == hashes
-        if not known.all():
-            if len(self.keys) + (~known).sum() > CACHE_PIECES:
-                self._forget()
-                known[:] = False
-            one = np.zeros(len(hashes), np.int64)
-            one[where] = np.arange(len(where))  # an occurrence of each
-            new = np.flatnonzero(~known)
-            raw = data.tobytes()
-            self._learn(hashes[new], [raw[begin[i] : end[i]] for i in one[new]])
-        spot = np.searchsorted(self.keys, hashes)
-        size, at = self.size[spot][where], self.at[spot][where]
-        stop = np.cumsum(size)
-        ids = self.ids[np.repeat(at - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
-        return ids, np.r_[0, stop][rows]
+        ids, at, _ = self.memory.ids_of(span_hashes(data, begin, end), data, begin, end, self._learn)
+        return ids, at[rows]
 
 
 @lru_cache(maxsize=2)
@@ -173,7 +196,7 @@ def encoder(path: str) -> Encoder:
 def encode_column(column: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of every text of a column, in order; null gives none."""
     coder = encoder(path)
-    for _, data, offsets in text_blocks(column):
+    for _, data, offsets in text_blocks(column, TEXT_BYTES):
         ids, at = coder.encode(data, offsets)
         added = coder.with_added(data, offsets)
         for i in range(len(at) - 1):
