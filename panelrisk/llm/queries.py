@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrisk.llm import align, chunks, extract, fingerprints, langid, license_texts, licenses, minhash, mixing, packing, quality, rabitq, urlfilter
+from panelrisk.llm import align, chunks, extract, fingerprints, langid, license_texts, licenses, minhash, mixing, packing, quality, rabitq, spelling, urlfilter
 from panelrisk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,35 @@ hit AS (SELECT r, arg_max(h || b, length(h || b)) AS rule, arg_max(verdict, leng
   ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b) GROUP BY r)
 SELECT page_id, host, path, rule, coalesce(hit.verdict, 'allow') AS verdict FROM n LEFT JOIN hit USING (r)
 """
+
+
+@register
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"), drop_every=31)
+    return spelling.variant_forms(words)
+
+
+ORACLE["op13_spelling"] = """
+WITH RECURSIVE step(c, v, k) AS (
+  SELECT range, CAST(range AS BIGINT), 0 FROM range(256)
+  UNION ALL SELECT c, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM step WHERE k < 8
+), tab AS (SELECT list(v ORDER BY c) AS t FROM step WHERE k = 8),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, hex(CAST(doc_id AS VARCHAR) || ':' || run) AS x, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT run, n, list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(x), 2),
+  lambda i: CAST(16 * (strpos('0123456789ABCDEF', x[i]) - 1) + strpos('0123456789ABCDEF', x[i + 1]) - 1 AS BIGINT))) AS bytes FROM g),
+h AS (SELECT run, n, xor(list_reduce(bytes, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) AS h FROM b, tab),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.less
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.less
+), o AS (SELECT word, count(*) AS n_near, arg_min(near, row(-n, near)) AS near, max(n) AS near_n FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n FROM v LEFT JOIN o USING (word)),
+chain(word, root, next) AS (
+  SELECT word, word, form FROM f UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN f ON f.word = c.next
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
