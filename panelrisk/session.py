@@ -51,6 +51,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound the Arrow batches that tasks exchange with Python, unless the session bounds them itself.
+
+    A batch lives several times over, in the executor's and in its workers' memory.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "1b") == "1b":  # not set
+        spark.conf.set(key, size)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
 
@@ -60,6 +70,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     import uuid
 
     spark = df.sparkSession
+    bound_batches(spark)
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/panelrisk-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
