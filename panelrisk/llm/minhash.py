@@ -27,7 +27,7 @@ cannot matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +92,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum([0, *map(len, keys)])
         bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), bands], ["doc_id", "n_shingles", "sid", "bands"]
+            [batch.column(0), *batch.columns[2:], pa.array(size, pa.int64()), pa.array(ids, pa.int64()), bands],
+            ["doc_id", *batch.schema.names[2:], "n_shingles", "sid", "bands"],
         )
 
 
@@ -215,15 +216,18 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
     return both.select("a", "b", "sa", "sb").mapInArrow(_compare(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, percent: int = 75, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, *keep, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, *keep).
 
     The bands and the bitmaps' lengths are made for resemblances of 75 per cent and more.
     """
     if not 75 <= percent <= 100:
         raise ValueError("percent must be between 75 and 100")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = cut_lineage(texts.mapInArrow(_describe, "doc_id long, n_shingles long, sid long, bands array<long>"))
+    more_columns = [f"k{i}" for i in range(len(keep))]
+    carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, more_columns)])
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in carried.schema.fields[2:])
+    known = cut_lineage(carried.mapInArrow(_describe, f"doc_id long, {kinds}n_shingles long, sid long, bands array<long>"))
     # equal sets are one class; partial aggregation spreads a hot one
     alike = known.where("n_shingles > 0").groupBy("sid")
     classes = cut_lineage(alike.agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands")))
@@ -256,6 +260,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     least = found.join(classes.select(F.col("sid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     named = found.join(least, "component").select(F.col("node").alias("sid"), "component_id")
     alone = classes.join(named, "sid", "left").select("sid", F.coalesce("component_id", "rep").alias("component_id"))
-    out = known.select("doc_id", "n_shingles", "sid").join(alone, "sid", "left")
+    out = known.select("doc_id", *more_columns, "n_shingles", "sid").join(alone, "sid", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", *[F.col(k).alias(c) for c, k in zip(keep, more_columns)], "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelrisk.llm import align, chunks, extract, fingerprints, langid, license_texts, licenses, minhash, mixing, packing, quality, rabitq, spelling, urlfilter
+from panelrisk.session import bound_batches
 from panelrisk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,8 +17,13 @@ ORACLE: dict[str, str] = {}
 
 
 def register(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @register
@@ -77,11 +84,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.place_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"])
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    # each copy's shard and words
+    shards = F.array_join(F.transform("copies", lambda c: F.concat_ws(":", c["shard"].cast("string"), c["words"].cast("string"))), ",")
+    return out.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 ORACLE["op5_mixing"] = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents
 ), s0 AS (
   SELECT source, count(*) AS docs, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM d GROUP BY source
@@ -97,10 +106,24 @@ s AS (
     (docs + 255) // 256 AS blocks FROM s4
 ), p AS (
   SELECT d.doc_id, d.size, d.place, s.* EXCLUDE (source), CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS copies,
-    sum(d.size) OVER (PARTITION BY s.rank ORDER BY d.place, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before
+    sum(d.size) OVER (PARTITION BY s.rank ORDER BY d.place, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before,
+    (CAST('0x' || substr(d.place, 1, 8) AS BIGINT) * s.blocks) >> 32 AS block
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+), t AS (SELECT *, CAST(greatest(0, least(size, quota - copies * source_size - before)) AS BIGINT) AS last FROM p),
+b AS (SELECT rank, block, any_value(copies) + CASE WHEN sum(last) > 0 THEN 1 ELSE 0 END AS drawn FROM t GROUP BY ALL HAVING sum(size) > 0),
+depth AS (SELECT greatest(4, ceil(log2(greatest(1, sum(target) / 67108864)))) AS levels FROM s),
+tree AS (
+  SELECT rank, block, unnest(range(1, drawn + 1)) AS copy, CAST(0 AS BIGINT) AS node, 0 AS level FROM b
+  UNION ALL
+  SELECT rank, block, copy, 2 * node + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY key, rank, copy, block) <= count(*) OVER (PARTITION BY node) // 2 THEN 0 ELSE 1 END, level + 1
+  FROM (SELECT *, md5('mix-1/' || level || '|' || rank || '|' || copy || '|' || block) AS key FROM tree, depth WHERE level < levels)
+), leaf AS (SELECT rank, block, copy, node FROM tree, depth WHERE level = levels),
+given AS (
+  SELECT t.rank, t.block, t.doc_id, t.place, t.before, string_agg(leaf.node || ':' || CASE WHEN leaf.copy <= t.copies THEN t.size ELSE t.last END, ',' ORDER BY leaf.copy) AS shards
+  FROM t JOIN leaf ON leaf.rank = t.rank AND leaf.block = t.block AND CASE WHEN leaf.copy <= t.copies THEN t.size ELSE t.last END > 0 GROUP BY ALL
 )
-SELECT doc_id, size, source_size, target, CAST(copies * size + greatest(0, least(size, quota - copies * source_size - before)) AS BIGINT) AS taken FROM p
+SELECT t.doc_id, t.size, source_size, target, CAST(t.copies * t.size + t.last AS BIGINT) AS taken, coalesce(shards, '') AS shards
+FROM t LEFT JOIN given g ON g.rank = t.rank AND g.before = t.before AND g.doc_id IS NOT DISTINCT FROM t.doc_id AND t.size > 0
 """
 
 

@@ -82,3 +82,40 @@ def test_stages_of_an_empty_table(spark, docs):
     none = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+NAMES = ["score", "lang_pred", "ambiguous", "_kept", "kept", "id", "mark", "removed_chars", "removed_spans", "shard", "shuffle_key", "_slice", "copies", "size", "c0", "n", "row"]
+
+
+def test_columns_of_any_name_pass_through(spark, docs):
+    rows = docs.limit(60)
+    wide = rows.select("*", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in NAMES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c}-{r.doc_id}" for c in NAMES), name
+    plain, packed = (corpus_pipeline.STAGES[-1][1](spark, d, SF) for d in (rows, wide))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, packed.collect()))
+
+
+def test_near_dedup_decides_by_row(spark, docs):
+    """Id 7 has a text of its own and one of document 3's group: only the latter goes. So does a row without an id."""
+    long = "one two three four five six seven eight nine ten"
+    rows = [(3, long), (7, long), (7, "eleven twelve thirteen fourteen fifteen sixteen"), (None, long), (None, "alone with words of its own here"), (None, None), (9, None), (9, None), (9, ""), (3, long)]
+    frame = spark.createDataFrame([(d, t, "en", "s", None) for d, t in rows], docs.schema)
+    out = [(r.doc_id, r.text) for r in stages.near_dedup(spark, frame, SF).collect()]
+    want = [(3, long), (7, rows[2][1]), (None, rows[4][1]), (None, None), (9, None), (9, "")]
+    assert sorted(map(str, out)) == sorted(map(str, want))
+
+
+def test_stages_with_nulls_and_shared_ids(spark, docs):
+    passage = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, passage, None, None, None), (None, passage, "en", "s", 3), (1, passage + " end", "en", None, 1), (2, "start " + passage, "en", "s", 1), (4, None, None, None, None), (4, "", "fr", "s", 0)]
+    frame = spark.createDataFrame(rows, docs.schema)
+    cut = {(r.doc_id, r.text) for r in stages.substring_dedup(spark, frame, SF).collect()}
+    assert (None, passage) in cut and (4, None) in cut and (4, "") in cut and not any(d == 2 and passage in t for d, t in cut)
+    mixed = stages.mix(spark, frame, SF).collect()
+    assert {r.doc_id for r in mixed} <= {1, 2, None} and all(r.text for r in mixed)
+    packed = stages.pack(spark, frame, SF)
+    assert packed.where("start = 0").count() == len(rows)

@@ -297,11 +297,37 @@ def test_tree_quotas_are_exact(spark, monkeypatch):
     _, blocks, _ = mixing.draw(docs.select("doc_id", "source", F.lit(3).cast("long").alias("size")))
     units = blocks.select("rank", F.explode("shards").alias("shard")).toPandas()
     per_shard = units.groupby("shard").size()
-    assert len(per_shard) == 2**mixing.LEVELS and per_shard.max() - per_shard.min() <= mixing.LEVELS
+    assert len(per_shard) == 2**mixing.MIN_LEVELS and per_shard.max() - per_shard.min() <= mixing.MIN_LEVELS
     share = (units["rank"] == 1).mean()  # both sources in every shard, near their share
     assert (units.assign(one=units["rank"] == 1).groupby("shard").one.mean().sub(share).abs() < 0.25).all()
 
 
+@pytest.mark.parametrize("sizes", [[50], [50, 50, 7], [1]])
+def test_repeated_rows_count_one_after_the_other(spark, sizes):
+    """A third of all rows are one row: the source still takes its target, and equal rows differ on the edge only."""
+    rows = [(i, " ".join(["w"] * (1 + i % 90)), "s") for i in range(400)] + [(7, " ".join(["w"] * n), "s") for n in sizes for _ in range(200 // len(sizes))]
+    rows += [(i, "a " * 40, "other") for i in range(1000, 1060)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.place_documents(docs, ["doc_id", "source"]).toPandas()
+    assert len(got) == len(rows) and (got.taken <= 2 * got["size"]).all()
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.5001
+    for r in got.itertuples():
+        assert sum(c["words"] for c in r.copies) == r.taken
+
+
+def test_every_place_of_the_edge_can_be_a_repeated_row(spark):
+    """Only repeated rows: the edge falls among them."""
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 100 + [(2, "a b", "t")] * 10, "doc_id long, text string, source string").repartition(3)
+    got = mixing.place_documents(docs, ["source"]).toPandas()
+    assert abs(got[got.source == "s"].taken.sum() - got[got.source == "s"].target.iloc[0]) <= 0.5001
+    assert sorted(got[got.source == "s"].taken.unique()) in ([3, 4, 6], [3, 5, 6], [3, 6])
+
+
+def test_levels_follow_the_size():
+    assert [mixing.levels(w) for w in (0, 1e6, 2**30, 2**31, 1.6e13)] == [4, 4, 4, 5, 18]
+
+
 def test_mix_rows(spark, odd, none):
     mixed = mixing.mix(odd)
     rows = mixed.collect()
