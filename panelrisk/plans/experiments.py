@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.operators import metrics, thresholds
+from panelrisk.operators import fits, metrics, thresholds
 from panelrisk.session import cut_lineage
 
 
@@ -34,53 +34,95 @@ def experiment_table(long: DataFrame, label: str, score: str = "score", by=("dat
     return out.withColumn("lift_top10", F.try_divide("prec_top10", "base_rate"))
 
 
-def scored_long(panel: DataFrame, spec, model_names=("gbt", "logreg"), overrides: dict | None = None,
-                datasets=None, parallelism: int = 4) -> DataFrame:
-    """Fit every model on every dataset variant; long (dataset, model, split, label, score) table.
+def scored_long(panel: DataFrame, spec, model_names=("gbt", "logreg"), specs: dict[str, fits.FitSpec] | None = None,
+                datasets=None, honest: bool = False, fit_rows: int = fits.FIT_ROWS) -> DataFrame:
+    """Every model on every dataset variant: long (dataset, model, split, label, score) table.
 
-    ``ensemble`` is the soft vote of ``models.ENSEMBLE``, whose members are fitted once.
-    Each dataset's feature table is written once; the (dataset, model) fits are
-    independent MLlib jobs submitted from a small driver thread pool.
+    The tree models of all datasets are fitted side by side over one binned
+    table and score it together (``operators.fits``); logistic regression is
+    MLlib's. ``ensemble`` is the soft vote of ``models.ENSEMBLE``. With
+    ``honest``, models and preprocessing learn from the first three quarters of
+    train only, and the last quarter comes back as split ``validation``.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from panelrisk.operators import models
-    from panelrisk.plans.train import feature_frame, prepare_matrices
+    from panelrisk.operators import models, splits
+    from panelrisk.plans.features import feature_columns, split_feature_kinds
+    from panelrisk.plans.train import feature_frame
     from panelrisk.sources.variants import VARIANTS, dataset_variants
 
     variants = dataset_variants(panel, spec)
-
+    specs = {**fits.SPECS, **(specs or {})}
     names = list(dict.fromkeys([m for n in model_names for m in (models.ENSEMBLE if n == "ensemble" else (n,))]))
-    keys = [spec.entity, spec.date, "split", "label"]
-
-    def one_dataset(ds: str) -> list[DataFrame]:
+    rows = [spec.entity, spec.date]
+    keep = [*rows, "split", "label"]
+    binned, linear = None, []
+    for ds in datasets or VARIANTS:
         feat = feature_frame(variants.filter(F.col("dataset") == ds).drop("dataset"), spec)
-        mats = {std: prepare_matrices(feat, spec, standardize=std) for std in {n == "logreg" for n in names}}
-        scored = {}
-        for name in names:
-            p, tr, te = mats[name == "logreg"]
-            m = models.fit(name, tr, (overrides or {}).get(name))
-            scored[name] = cut_lineage(models.score(m, tr).unionByName(models.score(m, te)).select(*keys, "score"))
+        num, cat = split_feature_kinds([c for c in feature_columns(feat, spec) if c not in ("split", "label")], spec)
+        if honest:
+            train = splits.validation_tail(feat.filter("split = 'train'"), spec).withColumn("split", F.when(F.col("role") == "fit", "train").otherwise("validation"))
+            feat = cut_lineage(train.drop("role", "pos").unionByName(feat.filter("split = 'test'")))
+        part = F.when(F.col("split") == "train", 0).otherwise(1)
+        feat = feat.withColumn("dataset", F.lit(ds)).withColumn("part", part)
+        if any(n in specs for n in names):
+            own = fits.bin_rows(feat, num, cat, ["dataset", "part", *keep], "split = 'train'")
+            binned = own if binned is None else binned.unionAll(own)
+        if "logreg" in names:
+            linear.append(_logreg_scores(feat, num, cat, keep).select(F.lit(ds).alias("dataset"), F.lit("logreg").alias("model"), *keep, "score"))
+    parts = linear
+    if binned is not None:
+        binned = cut_lineage(binned)
+        asked = [fits.Fit(ds, n, specs[n]) for ds in datasets or VARIANTS for n in names if n in specs]
+        scored = fits.score_many(binned, fits.fit_many(binned.filter("part = 0"), asked, rows, fit_rows), keep)
         if "ensemble" in model_names:
-            scored["ensemble"] = models.soft_vote([scored[m] for m in models.ENSEMBLE], keys)
-        return [scored[n].select(F.lit(ds).alias("dataset"), F.lit(n).alias("model"), "split", "label", "score") for n in model_names]
+            members = scored.filter(F.col("model").isin(*models.ENSEMBLE))
+            vote = members.groupBy("dataset", *keep).agg((F.sum("score") / len(models.ENSEMBLE)).alias("score"))
+            scored = scored.unionByName(vote.withColumn("model", F.lit("ensemble")))
+        parts = [scored, *linear]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.filter(F.col("model").isin(*model_names)).select("dataset", "model", "split", "label", "score")
+
+
+def _logreg_scores(feat: DataFrame, num: list[str], cat: list[str], keep: list[str]) -> DataFrame:
+    from panelrisk.operators import models, prep
+
+    train = feat.filter("split = 'train'")
+    p = prep.fit_preprocessor(train, num, cat, standardize=True)
+    matrix = lambda d: prep.assemble(prep.transform(d, p, keep, standardize=True), p)
+    m = models.fit("logreg", cut_lineage(matrix(train)))
+    return cut_lineage(models.score(m, matrix(feat)).select(*keep, "score"))
 
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        results = list(ex.map(one_dataset, list(datasets or VARIANTS)))
-    out = None
-    for part in (x for r in results for x in r):
-        out = part if out is None else out.unionByName(part)
-    return out
+
+def honest_table(long: DataFrame, label: str = "label", score: str = "score", target_precision: float = 0.60,
+                 by=("dataset", "model")) -> DataFrame:
+    """Per group: the threshold chosen on the validation rows, and what it gives on test (J06 for fitted models).
+
+    Without a threshold that reaches the target, threshold and test figures are NULL.
+    """
+    by = list(by)
+    grid = thresholds.grid_table(long.filter("split = 'validation'"), label, score, by)
+    chosen = thresholds.precision_threshold(grid, target_precision, by).select(
+        *by, F.col("threshold").alias("honest_threshold"), F.col("precision").alias("validation_precision"))
+    test = long.filter("split = 'test'").join(F.broadcast(chosen), by)  # one row per group
+    hit = F.col(score) >= F.col("honest_threshold")
+    s = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    found = test.groupBy(*by).agg(
+        F.try_divide(s(hit & (F.col(label) == 1)), s(hit)).alias("honest_precision"),
+        F.try_divide(s(hit & (F.col(label) == 1)), s(F.col(label) == 1)).alias("honest_recall"),
+        F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("honest_alarm_rate"))
+    return long.select(*by).distinct().join(chosen, by, "left").join(found, by, "left")
 
 
 def target_table(long: DataFrame, label: str = "label", score: str = "score", target_precision: float = 0.60,
                  by=("dataset", "model")) -> DataFrame:
-    """Per (dataset, model) on test: oracle ceiling (best recall at precision >= target, max precision)
-    and precision at the top 1/2/3/5 % (L05)."""
+    """Per (dataset, model) on test: oracle ceiling (best recall at precision >= target, max precision),
+    precision at the top 1/2/3/5 %, and the honest threshold where ``long`` has validation rows (L05)."""
     by = list(by)
+    long = cut_lineage(long)
     test = long.filter("split = 'test'")
     ceiling = metrics.max_recall_at_precision(test, label, score, [target_precision], by).drop("target")
     tops = metrics.at_top_rates(test, label, score, [0.01, 0.02, 0.03, 0.05], by)
     wide = tops.groupBy(*by).pivot("rate", [0.01, 0.02, 0.03, 0.05]).agg(F.first("precision"))
     wide = wide.toDF(*by, "prec_top1", "prec_top2", "prec_top3", "prec_top5")
-    return ceiling.join(wide, by)
+    return ceiling.join(wide, by).join(honest_table(long, label, score, target_precision, by), by)

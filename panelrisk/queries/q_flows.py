@@ -84,7 +84,7 @@ def q_model_matrix(spark, sf):
 def q_target_matrix(spark, sf):
     from panelrisk.plans.experiments import scored_long, target_table
 
-    long = scored_long(fixture_panel(spark, sf), S, TARGET_MODELS)
+    long = scored_long(fixture_panel(spark, sf), S, TARGET_MODELS, honest=True)
     return target_table(long)
 
 

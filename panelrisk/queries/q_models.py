@@ -11,6 +11,7 @@ from panelrisk.queries import register
 from panelrisk.queries.common import typed, typed_sql
 from panelrisk.queries.q_features import DERIVED, IDS, RAW
 from panelrisk.queries.sql_features import FEATURES_SQL
+from panelrisk.session import cut_lineage
 from panelrisk.sources.fixture import fixture_panel
 from panelrisk.spec import FIXTURE_SPEC as S
 
@@ -132,15 +133,36 @@ _model_query("model_gbt", "gbt")
 _model_query("model_gbt_regularized", "gbt_regularized")
 _model_query("model_gbt_depth4", "gbt_depth4")
 _model_query("model_gbt_depth6", "gbt_depth6")
-_model_query("model_random_forest", "random_forest")
 _model_query("model_gbt_hist", "gbt_hist")
 
 
+def binned_table(spark, sf):
+    """The feature table in bins, learned from train; part 0 = train, 1 = test."""
+    from panelrisk.operators import fits
+
+    f = feat_split(spark, sf).withColumn("dataset", F.lit("panel"))
+    f = f.withColumn("part", F.when(F.col("split") == "train", 0).otherwise(1))
+    return cut_lineage(fits.bin_rows(f, NUM, CAT, ["dataset", "part", "entity_id", "date", "split", "label"], "split = 'train'"))
+
+
+def _tree_scores(spark, sf, names):
+    """Test rows scored by fits that share one binned table: (model, entity_id, date, label, score)."""
+    from panelrisk.operators import fits
+
+    b = binned_table(spark, sf)
+    fitted = fits.fit_many(b.filter("part = 0"), [fits.Fit("panel", n, fits.SPECS[n]) for n in names], ["entity_id", "date"])
+    return fits.score_many(b.filter("part = 1"), fitted, ["entity_id", "date", "label"]).drop("dataset")
+
+
+@register("model_random_forest")
+def q_model_random_forest(spark, sf):
+    return _tree_scores(spark, sf, ["random_forest"]).drop("model")
+
+
 @register("model_soft_vote")
 def q_model_soft_vote(spark, sf):
-    p, tr, te = matrices(spark, sf)
-    members = [models.score(models.fit(n, tr), te) for n in models.ENSEMBLE]
-    return models.soft_vote(members, ["entity_id", "date"])
+    s = _tree_scores(spark, sf, models.ENSEMBLE)
+    return s.groupBy("entity_id", "date").agg((F.sum("score") / len(models.ENSEMBLE)).alias("score"))
 
 
 @register("score_rows")
@@ -152,14 +174,23 @@ def q_score_rows(spark, sf):
 
 @register("early_stopping")
 def q_early_stopping(spark, sf):
-    """Validation tail of train as the eval set; MLlib stops on a loss tolerance."""
-    from panelrisk.operators import splits
+    """AUC of every prefix on the validation tail of train; the best one before 50 trees bring none scores test."""
+    from panelrisk.operators import fits, splits
+    from panelrisk.operators.trees import Trees
 
-    p, tr, te = matrices(spark, sf)
-    roles = splits.validation_tail(tr, S).withColumn("is_val", F.col("role") == "validation").drop("role", "pos")
-    est = models.build("gbt", "weight", dict(validationIndicatorCol="is_val", validationTol=1e-9))
-    m = est.fit(models.with_class_weight(roles, "label"))
-    return models.score(m, te).select("entity_id", "date", "score").withColumn("trees", F.lit(m.getNumTrees))
+    f = feat_split(spark, sf)
+    train = splits.validation_tail(f.filter("split = 'train'"), S)
+    part = F.when(F.col("split") == "test", 2).otherwise(F.when(F.col("role") == "validation", 1).otherwise(0))
+    rows = train.drop("pos").unionByName(f.filter("split = 'test'").withColumn("role", F.lit(None).cast("string")))
+    rows = cut_lineage(rows.withColumn("dataset", F.lit("panel")).withColumn("part", part))
+    b = cut_lineage(fits.bin_rows(rows, NUM, CAT, ["dataset", "part", "entity_id", "date", "label"], "part = 0"))
+    fitted = fits.fit_many(b.filter("part = 0"), [fits.Fit("panel", "gbt", fits.SPECS["gbt"])], ["entity_id", "date"])
+    model = bytes(fitted.first().model)
+    trees, _ = fits.best_prefix(cut_lineage(fits.staged_auc(b.filter("part = 1"), model)))
+    short = fits.first_trees(Trees.load(model), max(1, trees))
+    kept = spark.createDataFrame([("panel", "gbt", 0, 0, len(short.roots), bytearray(short.dump()))], fitted.select("dataset", "fit", "piece", "upto", "trees", "model").schema)
+    scored = fits.score_many(b.filter("part = 2"), kept, ["entity_id", "date"])
+    return scored.select("entity_id", "date", "score", F.lit(len(short.roots)).alias("trees"))
 
 
 @register("feature_importance")
