@@ -1,15 +1,14 @@
 """Global row positions and prefix sums without a single-partition sort.
 
 ``row_number() over (order by …)`` with no partition moves every row into one
-task. Here the order key is cut into ranges at approximate quantiles of a hash
-sample of the rows. The boundaries only balance the work: positions come from
-exact counts, whatever the boundaries are. A row whose key equals a boundary
-value sits in a "point" range of its own, which is split further on a tie-break
-key, so a single hot value holding a third of the rows is still spread over
-many tasks. Per-range counts give each range its offset; the final window is
-partitioned by range and ordered by the original columns, so keys that a
-double cannot tell apart (long ids, strings) still come out in their own order.
-Group columns match null-safely: rows of a NULL group are a group.
+task. Here the rows go through one range exchange on (group, key, tie-break, row
+hash): Spark samples the keys, every task sorts one range and numbers its rows,
+and the ranges are written once. The counts of (group, range) then give each
+range its offset; a position is offset plus number. The cost is that of one
+sort, whatever the number of ranges. A key that a third of all rows share is cut
+by the tie-break, or by the hash of the row where there is none, so rows that
+tie come out in the same order on every run. Groups are sorted like keys: a
+large one spans ranges, small ones share one, and rows of a NULL group are a group.
 
 Used for time positions (E12), ranks (E11), row-count splits and folds
 (G02–G04), hash-ordered sampling (G05–G09), exact quantiles (J01) and the
@@ -20,32 +19,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType, LongType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, MapType, StringType, TimestampNTZType, TimestampType
 
 from panelrisk.session import cut_lineage
 
 ROWS_PER_RANGE = 1_000_000
 MIN_RANGES = 16
-SAMPLE_PER_RANGE = 200  # rows of the boundary sample per range
-EXACT = float(1 << 53)  # whole numbers below are exact as doubles
-BLOCK = 64
 
 
-def count_less(arr: str, key: Column, inclusive: bool = False) -> Column:
+def count_less(arr: str, key: Column, inclusive: bool = False, most: int = 1 << 10) -> Column:
     """Number of elements of the sorted array column ``arr`` that are < ``key`` (<= if inclusive).
 
-    Two levels: the last element of every block of 64 locates the block, then
-    the block itself is scanned — about 128 comparisons for 4096 bounds.
+    Binary search for arrays of fewer than ``most`` (a power of two) elements: log2(``most``) steps.
     """
-    below = (lambda b: b <= key) if inclusive else (lambda b: b < key)
-    last_of_block = F.filter(arr, lambda x, i: (i % BLOCK) == BLOCK - 1)
-    blocks_below = F.size(F.filter(last_of_block, below))
-    block = F.slice(arr, blocks_below * BLOCK + 1, BLOCK)
-    return blocks_below * BLOCK + F.size(F.filter(block, below))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(most.bit_length() - 1))])
+
+    def step(at: Column, by: Column) -> Column:
+        probe = F.get(F.col(arr), at + by - 1)  # NULL behind the end
+        below = probe <= key if inclusive else probe < key
+        return F.when(F.coalesce(below, F.lit(False)), at + by).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
 
 
 def range_count(n_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
-    """Ranges grow with the data so every final window task stays around ``rows_per_range`` rows."""
+    """Ranges grow with the data so every range stays around ``rows_per_range`` rows."""
     return int(max(MIN_RANGES, -(-n_rows // rows_per_range)))
 
 
@@ -60,10 +58,6 @@ def numeric_key(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("double")
 
 
-def _probs(n: int) -> list[float]:
-    return [i / n for i in range(1, n)]
-
-
 def with_positions(
     df: DataFrame,
     order: str,
@@ -80,72 +74,33 @@ def with_positions(
 
     For each column ``c`` in ``cumulative`` also add ``c_cum``: the inclusive
     running sum of ``c`` in that order. Rows with a NULL ``order`` key come last.
+    With ``keep_ranges`` the range of every row stays as ``_range``.
     """
-    by = list(by)
-    sign = -1.0 if descending else 1.0
-    k = F.coalesce(numeric_key(df, order) * sign, F.lit(float("inf")))
-    tb = numeric_key(df, tiebreak) if tiebreak else F.lit(0.0)
-    # read four times below (bounds, point ranges, range totals, final window):
-    # materialise once in the shared checkpoint folder instead of recomputing
-    d = cut_lineage(df.withColumn("_k", k).withColumn("_tb", tb))
-    rows = max(1, d.count())  # a metadata count on the written table
+    by, cum = list(by), list(cumulative)
+    d = cut_lineage(df)  # read by the sampling of the exchange and by the exchange
     if n_ranges is None:
-        n_ranges = range_count(rows, rows_per_range)
-
-    # a double may merge different keys of these types: then a key's rows must not be split by the tie-break
-    exact = not isinstance(df.schema[order].dataType, (DecimalType, StringType))
-    if isinstance(df.schema[order].dataType, LongType):
-        exact = not d.filter(F.abs("_k").between(EXACT, 1e300)).limit(1).count()
-    every = max(1, rows // (SAMPLE_PER_RANGE * n_ranges))
-    drawn = d.filter(F.pmod(F.xxhash64("_k", "_tb"), F.lit(every)) == 0)
-    none = F.array().cast("array<double>")
-    bounds = drawn.groupBy(*by).agg(F.percentile_approx("_k", _probs(n_ranges), 10000).alias("_b"))
-    d = join_groups(d, bounds, by, "left") if by else d.crossJoin(bounds)
-    d = d.withColumn("_b", F.coalesce("_b", none))
-    lo = count_less("_b", F.col("_k"))
-    d = d.withColumn("_point", F.array_contains("_b", F.col("_k")).cast("int"))
-    d = d.withColumn("_major", lo * 2 + F.col("_point")).drop("_b")
-
-    if tiebreak and exact:
-        # sub-ranges in proportion to the point range's size, so the totals table stays
-        # about 3·n_ranges rows however many boundary values are heavy
-        sub = (
-            d.filter("_point = 1")
-            .groupBy(*by, "_major")
-            .agg(F.percentile_approx(F.when(F.pmod(F.xxhash64("_k", "_tb"), F.lit(every)) == 0, F.col("_tb")), _probs(n_ranges), 10000).alias("_sb"),
-                 F.count(F.lit(1)).alias("_pc"))
-        )
-        step = F.greatest(F.lit(1), F.floor(F.lit(n_ranges) / F.ceil(F.col("_pc") / F.lit(rows_per_range))))
-        sub = sub.select(*by, "_major", F.filter(F.coalesce("_sb", none), lambda x, i: ((i + 1) % step) == 0).alias("_sb"))
-        d = join_groups(d, sub, [*by, "_major"], "left").withColumn("_sb", F.coalesce("_sb", none))
-        d = d.withColumn(
-            "_minor",
-            F.when(F.col("_point") == 1, count_less("_sb", F.col("_tb"))).otherwise(0),
-        ).drop("_sb")
-    else:
-        d = d.withColumn("_minor", F.lit(0))
-
-    cum = list(cumulative)
-    totals = d.groupBy(*by, "_major", "_minor").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in cum]
+        n_ranges = range_count(d.count(), rows_per_range)  # a metadata count on the written table
+    hashed = [f"`{f.name}`" for f in d.schema.fields if not isinstance(f.dataType, MapType)]
+    d = d.withColumn("_hash", F.xxhash64(*[F.col(c) for c in hashed]))
+    key = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
+    keys = [*[F.col(c).asc() for c in by], key, *([F.col(tiebreak).asc()] if tiebreak else []), F.col("_hash").asc()]
+    d = d.repartitionByRange(n_ranges, *keys).sortWithinPartitions(*keys)
+    # range << 33 | number of the row in its sorted range
+    d = cut_lineage(d.withColumn("_at", F.monotonically_increasing_id()).drop("_hash"))
+    d = d.withColumn("_range", F.shiftright("_at", 33))
+    totals = d.groupBy(*by, "_range").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"), *[F.sum(c).alias(f"_t_{c}") for c in cum]
     )
-    before = Window.partitionBy(*by).orderBy("_major", "_minor").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
-        *by, "_major", "_minor",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+        *by, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cum],
     )
-    d = join_groups(d, totals, [*by, "_major", "_minor"])
-    last = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
-    ties = [F.col(tiebreak).asc()] if tiebreak else []
-    w = Window.partitionBy(*by, "_major", "_minor").orderBy("_k", last, "_tb", *ties)
-    d = d.withColumn(out, F.col("_off") + F.row_number().over(w) - 1)
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = join_groups(d, totals, [*by, "_range"]).withColumn(out, F.col("_at") + F.col("_shift"))
+    running = Window.partitionBy(*by, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in cum:
         d = d.withColumn(f"{c}_cum", F.col(f"_o_{c}") + F.sum(c).over(running))
-    keep = ["_major", "_minor"] if keep_ranges else []
-    return d.drop("_k", "_tb", "_point", "_off", *[f"_o_{c}" for c in cum],
-                  *[x for x in ("_major", "_minor") if x not in keep])
+    return d.drop("_at", "_shift", *[f"_o_{c}" for c in cum], *([] if keep_ranges else ["_range"]))
 
 
 def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
@@ -204,7 +159,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] |
     g = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_cnt"))
     p = cut_lineage(with_positions(g, col, by=by, cumulative=["_cnt"], keep_ranges=True))
     p = p.withColumn("_start", F.col("_cnt_cum") - F.col("_cnt"))
-    ranges = p.groupBy(*by, "_major", "_minor").agg(F.min("_start").alias("_r0"), F.max("_cnt_cum").alias("_r1"))
+    ranges = p.groupBy(*by, "_range").agg(F.min("_start").alias("_r0"), F.max("_cnt_cum").alias("_r1"))
     n = p.groupBy(*by).agg(F.sum("_cnt").alias("_n"))
     qs = spark.createDataFrame([(float(q),) for q in probs], "q double")
     h = (F.col("_n") - 1) * F.col("q")
@@ -212,8 +167,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] |
     wanted = wanted.withColumn("_h", h).withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
     ranks = wanted.select(*by, "q", "_h", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
     # the range holding rank r is the one with the largest start <= r
-    located = asof_lookup(ranks, ranges, by, "_r", "_r0", ["_major", "_minor"])
-    vals = join_groups(p, located, [*by, "_major", "_minor"]).filter(
+    located = asof_lookup(ranks, ranges, by, "_r", "_r0", ["_range"])
+    vals = join_groups(p, located, [*by, "_range"]).filter(
         (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_cnt_cum"))
     ).select(*by, "q", "_h", "_r", F.col(col).cast("double").alias("_v"))
     lo_v = F.min_by("_v", "_r")

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelrisk.operators.positions import count_less, exact_quantiles
+from panelrisk.operators.positions import count_less, exact_quantiles, join_groups
 from panelrisk.session import cut_lineage
 
 GRID = [float(x) for x in np.linspace(0.001, 0.999, 400)]
@@ -29,13 +29,13 @@ def grid_table(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
     """(by…, threshold, tp, fp, P, N) for every candidate threshold of the grid."""
     by = list(by)
     qs = exact_quantiles(df, score, GRID, by)
-    # at most 400 values per group: a small array, broadcast to every score
+    # at most 400 values per group: a small array
     grid = cut_lineage(qs.groupBy(*by).agg(F.array_sort(F.array_distinct(F.collect_list("value"))).alias("_ths")))
     g = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
     )
-    g = g.join(F.broadcast(grid), by, "inner") if by else g.crossJoin(F.broadcast(grid))
+    g = join_groups(g, grid, by) if by else g.crossJoin(F.broadcast(grid))  # one row; with groups the size decides
     g = g.withColumn("_bucket", count_less("_ths", F.col(score), inclusive=True))
     b = g.groupBy(*by, "_bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # every bucket index 0..len(grid) per group, so candidate j meets its suffix sum by equality
