@@ -1,9 +1,9 @@
 """Preprocessing fitted on train, applied anywhere.
 
 Fitting runs as grouped aggregates over the stacked (feature, value) table,
-so all columns are fitted in one job. The fitted state is tiny (one median
-per numeric column, one dictionary per categorical column) and travels as
-literals in the transform expressions.
+so all columns are fitted in one job. Medians and modes (one value per column)
+travel as literals in the transform expressions; the categories' codes are a
+table, however long, that a join looks up: Spark broadcasts it only where it is small.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelrisk.operators.positions import exact_quantiles
+from panelrisk.operators.positions import exact_quantiles, with_positions
+from panelrisk.session import cut_lineage
 
 
 @dataclass
@@ -23,10 +24,15 @@ class Preprocessor:
     categorical: list[str]
     medians: dict = field(default_factory=dict)
     modes: dict = field(default_factory=dict)
-    dictionaries: dict = field(default_factory=dict)  # column -> {value: code}
+    dictionary: DataFrame | None = None  # (feature, value, code)
     means: dict = field(default_factory=dict)
     stds: dict = field(default_factory=dict)
 
+    @property
+    def names(self) -> list[str]:
+        """Keys of ``means`` and ``stds``, in the order of the output columns."""
+        return [*self.numeric, *(f"cat__{c}" for c in self.categorical)]
+
     @property
     def output_columns(self) -> list[str]:
         return [f"num__{c}" for c in self.numeric] + [f"cat__{c}" for c in self.categorical]
@@ -59,9 +65,8 @@ def category_modes(train: DataFrame, cols: list[str]) -> DataFrame:
 
 def category_dictionary(train: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, value, code): sorted categories → 0..n-1 (numbers numerically, text lexically)."""
-    c = category_counts(train, cols)
-    w = Window.partitionBy("feature").orderBy(F.asc_nulls_last("num"), "value")
-    return c.select("feature", "value", (F.dense_rank().over(w) - 1).alias("code"))
+    placed = with_positions(category_counts(train, cols), "num", by=["feature"], tiebreak="value", out="code")
+    return placed.select("feature", "value", "code")
 
 
 def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str], standardize: bool = False) -> Preprocessor:
@@ -71,17 +76,14 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
         p.medians = {r.feature: r.median for r in numeric_medians(train, numeric).collect()}
     if categorical:
         p.modes = {r.feature: r.mode for r in category_modes(train, categorical).collect()}
-        d: dict = {}
-        for r in category_dictionary(train, categorical).collect():
-            d.setdefault(r.feature, {})[r.value] = r.code
-        p.dictionaries = d
+        p.dictionary = cut_lineage(category_dictionary(train, categorical))
     if standardize and p.output_columns:  # the whole matrix, codes included
-        imputed = train.select(*[_impute_num(c, p) for c in numeric], *[_encode_cat(c, p) for c in categorical])
+        imputed = transform(train, p)
         aggs = []
         for i, c in enumerate(p.output_columns):
             aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
         row = imputed.agg(*aggs).collect()[0]
-        names = [*numeric, *(f"cat__{c}" for c in categorical)]
+        names = p.names
         p.means = {c: row[f"m{i}"] for i, c in enumerate(names)}
         p.stds = {c: row[f"s{i}"] for i, c in enumerate(names)}
     return p
@@ -93,23 +95,25 @@ def _impute_num(c: str, p: Preprocessor) -> Column:
     return F.coalesce(x, F.lit(p.medians.get(c))).alias(f"num__{c}")
 
 
-def _encode_cat(c: str, p: Preprocessor) -> Column:
-    dct = p.dictionaries.get(c, {})
-    s = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(p.modes.get(c)))
-    if not dct:
-        return F.lit(-1.0).alias(f"cat__{c}")
-    m = F.create_map(*[x for k, v in sorted(dct.items(), key=lambda kv: kv[1]) for x in (F.lit(k), F.lit(float(v)))])
-    return F.coalesce(F.element_at(m, s), F.lit(-1.0)).alias(f"cat__{c}")
+def encode(df: DataFrame, p: Preprocessor) -> DataFrame:
+    """Adds ``cat__<column>``: the category's code, that of the mode for NULL, -1 for an unseen one."""
+    for i, c in enumerate(p.categorical):
+        if p.dictionary is None:
+            df = df.withColumn(f"cat__{c}", F.lit(-1.0))
+            continue
+        own = p.dictionary.filter(F.col("feature") == c).select(F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}"))
+        df = df.join(own, F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(p.modes.get(c))) == F.col(f"_value{i}"), "left")
+        df = df.withColumn(f"cat__{c}", F.coalesce(F.col(f"_code{i}").cast("double"), F.lit(-1.0))).drop(f"_value{i}", f"_code{i}")
+    return df
 
 
 def transform(df: DataFrame, p: Preprocessor, keep: list[str] = (), standardize: bool = False) -> DataFrame:
     """Numeric block then categorical block, other columns dropped except ``keep``; unseen → -1."""
-    cols = [F.col(k) for k in keep] + [_impute_num(c, p) for c in p.numeric] + [_encode_cat(c, p) for c in p.categorical]
-    out = df.select(*cols)
+    cols = [F.col(k) for k in keep] + [_impute_num(c, p) for c in p.numeric] + [F.col(f"cat__{c}") for c in p.categorical]
+    out = encode(df, p).select(*cols)
     if standardize:
-        scaled = {f"num__{c}": c for c in p.numeric} | {f"cat__{c}": f"cat__{c}" for c in p.categorical}
         out = out.withColumns({
-            x: (F.col(f"`{x}`") - F.lit(p.means.get(c) or 0.0)) / F.lit(p.stds.get(c) or 1.0) for x, c in scaled.items()
+            x: (F.col(f"`{x}`") - F.lit(p.means.get(c) or 0.0)) / F.lit(p.stds.get(c) or 1.0) for x, c in zip(p.output_columns, p.names)
         })
     return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelrisk.operators import models, prep
-from panelrisk.plans.features import feature_columns, split_feature_kinds
+from panelrisk.plans.features import engineer_features, feature_columns, split_feature_kinds
 from panelrisk.plans.train import feature_frame, prepare_matrices
 from panelrisk.queries import register
 from panelrisk.queries.common import typed, typed_sql
@@ -205,14 +205,11 @@ def q_final_refit(spark, sf):
     """Refit on all rows (train + test), score every entity's latest row (I10 → N03)."""
     from panelrisk.plans.score import score_latest
 
-    f = feat_split(spark, sf)
-    p = prep.fit_preprocessor(f, NUM, CAT)
-    all_rows = prep.assemble(prep.transform(f, p, ["entity_id", "date", "label"]), p)
-    m = models.fit("gbt_regularized", all_rows)
-
-    def scorer(d):
-        return models.score(m, prep.assemble(prep.transform(d, p, ["entity_id", "date", "entity_type"]), p))
+    from panelrisk.operators import artifact
 
+    f = feat_split(spark, sf)
+    model = artifact.refit(f, NUM, CAT, "gbt_regularized")
+    scorer = lambda d: model.score(d, ["date", "entity_id", "entity_type"])
     return score_latest(f.drop("label"), S, scorer, alarm_rate=0.10)
 
 
@@ -226,14 +223,20 @@ def q_train_and_report(spark, sf):
 
 @register("predict_file")
 def q_predict_file(spark, sf):
-    """Score every row of a panel with a model fitted on the train split; alarm by its own quantile."""
-    from panelrisk.plans.score import score_file
-
-    p, tr, te = matrices(spark, sf)
-    m = models.fit("gbt_regularized", tr)
-    f = feat_split(spark, sf)
+    """Refit on all rows, store the model, and score a file that was written after the fit.
 
-    def scorer(d):
-        return models.score(m, prep.assemble(prep.transform(d, p, ["entity_id", "date", "entity_type"]), p))
-
-    return score_file(f, S, scorer, 0.10)
+    The file is read back, its features are made anew, and the reloaded model
+    scores every row; alarm by the file's own score quantile.
+    """
+    from panelrisk.operators import artifact
+    from panelrisk.plans.score import score_file
+    from panelrisk.queries.q_io import PANEL_SCHEMA
+    from panelrisk.sources import csv
+
+    folder = csv.scratch_path(spark, "model")
+    artifact.refit(feat_split(spark, sf), NUM, CAT, "gbt_regularized").save(folder, spark)
+    path = csv.scratch_path(spark, "new-file")
+    csv.write_panel_csv(fixture_panel(spark, sf), path)
+    model = artifact.load(spark, folder)
+    rows = engineer_features(csv.read_panel_csv(spark, path, PANEL_SCHEMA), S)
+    return score_file(rows, S, lambda d: model.score(d, ["date", "entity_id", "entity_type"]), 0.10)

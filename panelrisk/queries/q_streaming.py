@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelrisk.operators import splits
 from panelrisk.queries import register
 from panelrisk.queries.common import typed
+from panelrisk.queries.q_metrics import SCORE_A_SQL, score_a
 from panelrisk.queries.q_splits import SPLIT_SQL
 from panelrisk.queries.sql_features import FEATURES_SQL
 from panelrisk.sources.csv import scratch_path
@@ -16,17 +17,18 @@ from panelrisk.streaming.counts import weekly_counts_stream
 from panelrisk.streaming.score import stream_features
 
 OUT = [("entity_id", "l"), ("date", "t"), ("event", "i"), ("use_roll30_std", "d"), ("events_last_90", "d"),
-       ("past_event_rate", "d")]
+       ("past_event_rate", "d"), ("score", "d")]
 
 
 @register("stream_score", f"""WITH {FEATURES_SQL},
 {SPLIT_SQL.strip()}
 SELECT f2.entity_id, f2.date, CAST(event AS INTEGER) AS event, ROUND(use_roll30_std, 6) + 0.0 AS use_roll30_std,
   ROUND(events_last_90, 6) + 0.0 AS events_last_90,
-  ROUND(CASE WHEN past_observations = 0 THEN 0.0 ELSE CAST(past_events AS DOUBLE) / past_observations END, 6) + 0.0 AS past_event_rate
+  ROUND(CASE WHEN past_observations = 0 THEN 0.0 ELSE CAST(past_events AS DOUBLE) / past_observations END, 6) + 0.0 AS past_event_rate,
+  ROUND({SCORE_A_SQL.replace('use_today', 'f2.use_today').replace('days_since', 'f2.days_since')}, 6) + 0.0 AS score
 FROM f2 JOIN sp USING (entity_id, date) WHERE sp.split = 'test'""")
 def q_stream_score(spark, sf):
-    """Rows after the calendar cut arrive as monthly files; features must equal the batch table."""
+    """Rows after the calendar cut arrive as monthly files; features and scores must equal the batch table."""
     p = splits.calendar_split(fixture_panel(spark, sf), S)
     cols = ["entity_id", "date", "use_today", "days_since_last_event"]
     history = p.filter("split = 'train'").select(*cols)
@@ -35,7 +37,8 @@ def q_stream_score(spark, sf):
     months = [r[0] for r in new.select(F.trunc("date", "month").alias("m")).distinct().orderBy("m").collect()]
     for m in months:  # files arrive month by month, in order
         new.filter(F.trunc("date", "month") == F.lit(m)).write.mode("append").parquet(incoming)
-    out = stream_features(spark, history, incoming, new.schema, S)
+    score = lambda d: d.withColumn("score", score_a())
+    out, _ = stream_features(spark, history, incoming, new.schema, S, scratch_path(spark, "stream"), score)
     return typed(out, OUT)
 
 

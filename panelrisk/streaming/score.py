@@ -3,21 +3,24 @@
 New rows arrive as files; each micro-batch (``foreachBatch``) joins the
 stored per-entity state — the last 90 rows and running totals — so the
 row-window features of the new rows equal the batch computation over the
-full history, without re-reading that history. State versions are written
-per batch id into the shared scratch folder, so a restarted batch re-reads
-the state it started from.
+full history, without re-reading that history. State, output and late rows
+are tables keyed by the batch id in fixed folders: a batch that is run again
+after a stop starts from the same state and overwrites its own tables, so every
+row comes out once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelrisk.operators import windows
-from panelrisk.sources.csv import scratch_path
 from panelrisk.spec import PanelSpec
 
 TAIL = 90
+KEEP = 3  # versions of the state that stay
 FEATURES = ["event", "use_roll30_std", "events_last_90", "past_event_rate"]
 
 
@@ -61,33 +64,60 @@ def features_for_batch(batch: DataFrame, tail: DataFrame, totals: DataFrame, spe
     return fresh.select(*cols, *FEATURES)
 
 
-def stream_features(spark: SparkSession, history: DataFrame, incoming_dir: str, schema, spec: PanelSpec,
-                    max_files_per_trigger: int = 1) -> DataFrame:
-    """Process every file in ``incoming_dir`` in arrival order; return all feature rows written."""
-    state_dir = scratch_path(spark, "stream-state")
-    out_dir = scratch_path(spark, "stream-out")
-    tail, tot = initial_state(history, spec)
-    tail.write.parquet(f"{state_dir}/tail/v=-1")
-    tot.write.parquet(f"{state_dir}/totals/v=-1")
-    version = {"v": -1}
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a written table is complete."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stream_features(spark: SparkSession, history: DataFrame, incoming_dir: str, schema, spec: PanelSpec, base: str,
+                    scorer: Callable[[DataFrame], DataFrame] | None = None, max_files_per_trigger: int = 1,
+                    after_batch: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Process every file in ``incoming_dir`` in arrival order; return all rows written and the late ones.
+
+    ``base`` is a folder of the shared file system that outlives the session:
+    called again with it after a stop, the stream goes on where it was. Rows not
+    newer than the last one of their entity are late: they go to a side table
+    and change nothing. ``scorer`` (a stored model's, say) adds columns to the
+    new rows. ``after_batch`` is called before a batch is committed.
+    """
+    state = lambda kind, v: f"{base}/state/{kind}/v={v}"
+    ready = _exists(spark, state("tail", -1)) and _exists(spark, state("totals", -1))
+    if not ready and not _exists(spark, f"{base}/out/batch=0"):  # behind the first batches, that state is gone
+        tail, tot = initial_state(history, spec)
+        tail.write.mode("overwrite").parquet(state("tail", -1))
+        tot.write.mode("overwrite").parquet(state("totals", -1))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        v = version["v"]
-        t = spark.read.parquet(f"{state_dir}/tail/v={v}")
-        s = spark.read.parquet(f"{state_dir}/totals/v={v}")
-        feats = features_for_batch(batch, t, s, spec)
-        feats.write.mode("append").parquet(out_dir)
+        # batch b starts from what batch b - 1 left and overwrites its own tables only: repeating it changes nothing
+        t = spark.read.parquet(state("tail", batch_id - 1))
+        s = spark.read.parquet(state("totals", batch_id - 1))
+        last = t.groupBy(spec.entity).agg(F.max(spec.date).alias("_last"))
+        marked = batch.join(last, spec.entity, "left").withColumn("_late", F.coalesce(F.col(spec.date) <= F.col("_last"), F.lit(False))).drop("_last")
+        marked.filter("_late").drop("_late").write.mode("overwrite").parquet(f"{base}/late/batch={batch_id}")
+        feats = features_for_batch(marked.filter("NOT _late"), t, s, spec)
+        (scorer(feats) if scorer else feats).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+        feats = spark.read.parquet(f"{base}/out/batch={batch_id}")
         rows = t.unionByName(feats.select(spec.entity, spec.date, spec.usage_today, spec.counter, "event"))
         new_tail, _ = _tail_and_totals(rows, None, spec)
         add = feats.groupBy(spec.entity).agg(F.sum("event").alias("events_all"), F.count(F.lit(1)).alias("obs_all"))
         new_tot = s.unionByName(add).groupBy(spec.entity).agg(F.sum("events_all").alias("events_all"),
                                                               F.sum("obs_all").alias("obs_all"))
-        new_tail.write.mode("overwrite").parquet(f"{state_dir}/tail/v={batch_id}")
-        new_tot.write.mode("overwrite").parquet(f"{state_dir}/totals/v={batch_id}")
-        version["v"] = batch_id
+        new_tail.write.mode("overwrite").parquet(state("tail", batch_id))
+        new_tot.write.mode("overwrite").parquet(state("totals", batch_id))
+        if batch_id >= KEEP - 1:  # a restart asks for the state before the last batch at most
+            for kind in ("tail", "totals"):
+                _drop(spark, state(kind, batch_id - KEEP))
+        if after_batch:
+            after_batch(batch_id)
 
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(incoming_dir)
-    q = src.writeStream.option("checkpointLocation", scratch_path(spark, "stream-ckpt")).foreachBatch(process) \
+    q = src.writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(process) \
         .trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return spark.read.parquet(f"{base}/out").drop("batch"), spark.read.parquet(f"{base}/late").drop("batch")
