@@ -117,18 +117,21 @@ def q_evaluation_panels(spark, sf):
     th = alarm_rate_threshold(s, "score", 0.10, ["split"])
     s = s.join(F.broadcast(th), "split").withColumn("alarm", (F.col("score") >= F.col("threshold")).cast("int"))
     t = evaluation_panels(s, "label", "score", "alarm")
-    roc = t["roc"].select(F.lit("roc").alias("panel"), "split", F.col("fpr").alias("x"), F.col("tpr").alias("y"))
-    pr = t["pr"].select(F.lit("pr").alias("panel"), "split", F.col("recall").alias("x"), F.col("precision").alias("y"))
-    cm = t["confusion"].select(F.lit("confusion").alias("panel"), "split", F.col("tp").cast("double").alias("x"),
-                               F.col("fp").cast("double").alias("y"))
-    return roc.unionByName(pr).unionByName(cm)
+    none = F.lit(None).cast("long").alias("n")
+    roc = t["roc"].select(F.lit("roc").alias("panel"), "split", F.col("fpr").alias("x"), F.col("tpr").alias("y"), none)
+    pr = t["pr"].select(F.lit("pr").alias("panel"), "split", F.col("recall").alias("x"), F.col("precision").alias("y"), none)
+    cells = t["confusion"].select(F.lit("confusion").alias("panel"), "split", F.col("predicted").cast("double").alias("x"), F.col("actual").cast("double").alias("y"), "n")
+    return roc.unionByName(pr).unionByName(cells)
 
 
 @register("operating_point_report")
 def q_operating_point_report(spark, sf):
+    """Booster fitted on the first three quarters of train: top rates, honest threshold and curve, per dataset."""
+    from panelrisk.plans.experiments import scored_long
     from panelrisk.plans.reports import operating_point_report
 
-    return operating_point_report(_model_scores(spark, sf), S, "label", "score")["operating_points"]
+    long = scored_long(fixture_panel(spark, sf), S, ("gbt",), datasets=("full", "no_last_year", "no_last_year_until_entity"), honest=True)
+    return operating_point_report(long)
 
 
 @register("permutation_importance")

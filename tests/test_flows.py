@@ -100,3 +100,39 @@ def test_stream_that_is_stopped_and_started_again(spark, tmp_path, stop_at):
         assert sorted(map(tuple, out.select(*batch.columns, "score").collect())) == want
         assert [(r.entity_id, r.date) for r in late.collect()] == [(0, dt.date(2020, 3, 1))]
     assert sorted(os.listdir(f"{base}/state/tail")) == [f"v={i}" for i in (1, 2, 3)]
+
+
+def test_permutation_importance_swaps_one_feature_at_a_time(spark):
+    """Against the same re-pairing made by hand, feature by feature."""
+    from panelrisk.operators import metrics, models, prep
+    from panelrisk.plans.importance import permutation_importance
+
+    rows = [(i, float(i % 17), float((i * 7) % 11), "ab"[i % 2], float(i % 17 > 8)) for i in range(200)]
+    feat = spark.createDataFrame(rows, "id long, x double, z double, c string, label double")
+    p = prep.fit_preprocessor(feat, ["x", "z"], ["c"])
+    m = models.fit("gbt", prep.assemble(prep.transform(feat, p, ["label"]), p), dict(maxIter=2, maxDepth=2))
+    got = {r.feature: r.ap_drop for r in permutation_importance(m, p, feat, "label", ["id"]).collect()}
+    keyed = feat.withColumn("o", F.xxhash64("id")).withColumn("h", F.xxhash64("id", F.lit(42))).toPandas()
+    by_key, by_hash = keyed.sort_values("o"), keyed.sort_values("h")
+
+    def ap(frame):
+        d = spark.createDataFrame(frame[["id", "x", "z", "c", "label"]])
+        return metrics.auc_ap(models.score(m, prep.assemble(prep.transform(d, p, ["label"]), p)), "label", "score").first().average_precision
+
+    for c in ("x", "z", "c"):
+        swapped = by_key.copy()
+        swapped[c] = by_hash[c].to_numpy()
+        assert abs(got[c] - (ap(by_key) - ap(swapped))) < 1e-9
+    assert got["x"] > 0.1 > abs(got["z"]) + abs(got["c"])
+
+
+def test_confusion_cells_and_operating_points(spark):
+    from panelrisk.plans.reports import confusion_cells, operating_point_report
+
+    rows = [("test", 1, 1), ("test", 1, 0), ("test", 0, 0), ("test", 0, 0), ("train", 0, 1)]
+    cells = {(r.split, r.predicted, r.actual): r.n for r in confusion_cells(spark.createDataFrame(rows, "split string, y int, alarm int"), "y", "alarm").collect()}
+    assert cells == {("test", 1, 1): 1, ("test", 1, 0): 0, ("test", 0, 1): 1, ("test", 0, 0): 2, ("train", 1, 1): 0, ("train", 1, 0): 1, ("train", 0, 1): 0, ("train", 0, 0): 0}
+    long = [("d", "m", s, float(i % 3 == 0), i / 50 + (s == "train")) for s in ("train", "validation", "test") for i in range(50)]
+    out = operating_point_report(spark.createDataFrame(long, "dataset string, model string, split string, label double, score double"), target_precision=0.3).collect()
+    n = {s: sum(r.section == s for r in out) for s in ("top", "honest", "curve")}
+    assert n == {"top": 4, "honest": 1, "curve": 50} and all(r.threshold < 1.0 for r in out if r.threshold is not None)
