@@ -44,6 +44,8 @@ def scored_long(panel: DataFrame, spec, model_names=("gbt", "logreg"), specs: di
     ``honest``, models and preprocessing learn from the first three quarters of
     train only, and the last quarter comes back as split ``validation``.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from panelrisk.operators import models, splits
     from panelrisk.plans.features import feature_columns, split_feature_kinds
     from panelrisk.plans.train import feature_frame
@@ -54,8 +56,8 @@ def scored_long(panel: DataFrame, spec, model_names=("gbt", "logreg"), specs: di
     names = list(dict.fromkeys([m for n in model_names for m in (models.ENSEMBLE if n == "ensemble" else (n,))]))
     rows = [spec.entity, spec.date]
     keep = [*rows, "split", "label"]
-    binned, linear = None, []
-    for ds in datasets or VARIANTS:
+
+    def prepare(ds: str) -> tuple[DataFrame | None, DataFrame | None]:
         feat = feature_frame(variants.filter(F.col("dataset") == ds).drop("dataset"), spec)
         num, cat = split_feature_kinds([c for c in feature_columns(feat, spec) if c not in ("split", "label")], spec)
         if honest:
@@ -63,14 +65,22 @@ def scored_long(panel: DataFrame, spec, model_names=("gbt", "logreg"), specs: di
             feat = cut_lineage(train.drop("role", "pos").unionByName(feat.filter("split = 'test'")))
         part = F.when(F.col("split") == "train", 0).otherwise(1)
         feat = feat.withColumn("dataset", F.lit(ds)).withColumn("part", part)
+        own = linear = None
         if any(n in specs for n in names):
-            own = fits.bin_rows(feat, num, cat, ["dataset", "part", *keep], "split = 'train'")
-            binned = own if binned is None else binned.unionAll(own)
+            own = cut_lineage(fits.bin_rows(feat, num, cat, ["dataset", "part", *keep], "split = 'train'"))
         if "logreg" in names:
-            linear.append(_logreg_scores(feat, num, cat, keep).select(F.lit(ds).alias("dataset"), F.lit("logreg").alias("model"), *keep, "score"))
+            linear = _logreg_scores(feat, num, cat, keep).select(F.lit(ds).alias("dataset"), F.lit("logreg").alias("model"), *keep, "score")
+        return own, linear
+
+    # the datasets are independent: their jobs are submitted side by side
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        prepared = list(pool.map(prepare, datasets or VARIANTS))
+    linear = [x for _, x in prepared if x is not None]
+    binned = None
+    for own, _ in prepared:
+        binned = own if binned is None or own is None else binned.unionAll(own)
     parts = linear
     if binned is not None:
-        binned = cut_lineage(binned)
         asked = [fits.Fit(ds, n, specs[n]) for ds in datasets or VARIANTS for n in names if n in specs]
         scored = fits.score_many(binned, fits.fit_many(binned.filter("part = 0"), asked, rows, fit_rows), keep)
         if "ensemble" in model_names:
