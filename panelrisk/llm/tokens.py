@@ -27,7 +27,7 @@ import pyarrow as pa
 
 from panelrisk.llm.textbytes import span_hashes, text_blocks
 
-CACHE_PIECES, CACHE_IDS = 1 << 18, 1 << 20  # what a worker remembers of a vocabulary at most, but for one run of texts
+CACHE_PIECES, CACHE_IDS = 1 << 19, 1 << 21  # what a worker remembers of a vocabulary at most, but for one run of texts
 TEXT_BYTES = 1 << 19  # texts that are encoded at once
 
 # fixed values: white space of the pre-token rule
