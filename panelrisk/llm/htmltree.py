@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 # fixed values: element names of HTML
@@ -21,10 +22,11 @@ BLOCKS = frozenset(
     frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table
     tbody td tfoot th thead tr ul""".split()
 )
-SILENT = frozenset("head iframe math noframes noscript object script style svg template title".split())
+SILENT = frozenset("head iframe noframes noscript object script style svg template title".split())
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())  # what a head may hold
 RAW = frozenset("script style title textarea iframe noframes xmp".split())
 CONTROLS = frozenset("button input label select textarea".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SAME_ENDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 TAG_GROUPS = (
@@ -89,16 +91,72 @@ def _hidden(attributes: str) -> bool:
         return False
     for name, a, b, c in _ATTRIBUTE.findall(low):
         value = a or b or c
-        if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and _NOT_SHOWN.search(value):
+        if name == "hidden" or name == "style" and _NOT_SHOWN.search(value):
             return True
     return False
 
 
+class _Open:
+    """The open elements, with the places of those that the end of an element is looked for by.
+
+    A place is found by name or by bisection, never by walking over what is
+    open, so a page costs linear time however many elements it leaves open.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = [("html", 0)]  # an inline element points at its block; "!" marks a hidden one
+        self.named: dict[str, list[int]] = {}  # places by name, hidden or not
+        self.walls: list[int] = []  # blocks, hidden or not, but for paragraphs
+        self.solid: list[int] = []  # blocks that are shown, but for paragraphs and headings
+        self.paragraphs: list[int] = []
+
+    def push(self, tag: str, node: int, hidden: bool = False) -> None:
+        at = len(self.stack)
+        self.stack.append((f"!{tag}" if hidden else tag, node))
+        self.named.setdefault(tag, []).append(at)
+        if tag in BLOCKS and tag != "p":
+            self.walls.append(at)
+        if tag in BLOCKS and not hidden:
+            if tag == "p":
+                self.paragraphs.append(at)
+            elif tag not in HEADINGS:
+                self.solid.append(at)
+
+    def cut(self, depth: int) -> list[str]:
+        """Take the elements from ``depth`` on off the stack; their names, ``!`` included."""
+        gone = [tag for tag, _ in self.stack[depth:]]
+        del self.stack[depth:]
+        for tag in gone:
+            self.named[tag.lstrip("!")].pop()
+        for places in (self.walls, self.solid, self.paragraphs):
+            while places and places[-1] >= depth:
+                places.pop()
+        return gone
+
+    def ended_by(self, tag: str) -> int:
+        """Place of the element that the end tag ``tag`` ends, 0 if there is none: an inline one ends no block."""
+        places = self.named.get(tag)
+        if not places or tag not in BLOCKS and self.walls and places[-1] < self.walls[-1]:
+            return 0
+        return places[-1]
+
+    def ended_before(self, tag: str) -> list[int]:
+        """Places to cut at before block ``tag`` begins: open paragraphs, then the item that it follows."""
+        wall = self.solid[-1] if self.solid else 0
+        first = bisect_right(self.paragraphs, wall)
+        places = self.paragraphs[first : first + 1]
+        name = self.stack[wall][0] if wall else ""
+        if name and (name == tag and tag in SAME_ENDS or {name, tag} <= {"dt", "dd"} or {name, tag} <= {"td", "th"} or tag == "tr" and name in ("td", "th")):
+            places.append(wall)
+        return places
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes in page order, text blocks as (node, text) in page order). Node 0 is the page."""
     nodes = [Node("html", -1, 0)]
     blocks: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements; an inline one points at its block
+    open_ = _Open()
+    stack = open_.stack
     parts: list[str] = []
     linked = links = 0
     silent = 0
@@ -128,10 +186,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal links, silent
         if any(tag in BLOCKS for tag, _ in stack[depth:]):
             flush()
-        for tag, _ in stack[depth:]:
+        for tag in open_.cut(depth):
             links -= tag == "a"
             silent -= tag in SILENT or tag.startswith("!")
-        del stack[depth:]
 
     here = 0
     size = len(page)
@@ -152,52 +209,41 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = tag.lower()
         if ending:
-            for i in range(len(stack) - 1, 0, -1):
-                name = stack[i][0].lstrip("!")
-                if name == tag:
-                    close(i)
-                    break
-                if tag not in BLOCKS and name in BLOCKS and name != "p":
-                    break  # an inline end tag does not end blocks
+            at = open_.ended_by(tag)
+            if at:
+                close(at)
             continue
         if silent and (tag == "body" or stack[-1][0] == "head" and tag not in HEAD):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "head":
-                    close(i)
-                    break
+            if open_.named.get("head"):
+                close(open_.named["head"][-1])
         if tag in ("html", "body"):
             continue
         if tag in VOID:
             if tag in BLOCKS:
                 flush()
             elif not silent:
-                parts.append(" ")
+                if tag == "br":
+                    parts.append(" ")
                 if tag in CONTROLS:
                     nodes[stack[-1][1]].controls += 1
             continue
         if tag in BLOCKS and not silent:
             # a paragraph ends at the next block, an item at the next item of its list
-            for i in range(len(stack) - 1, 0, -1):
-                name = stack[i][0]
-                if name == "p" or name == tag and tag in SAME_ENDS or {name, tag} <= {"dt", "dd"} or {name, tag} <= {"td", "th"} or tag == "tr" and name in ("td", "th"):
-                    close(i)
-                    if name != "p":
-                        break
-                elif name in BLOCKS and name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                    break
+            for at in open_.ended_before(tag):
+                close(at)
             flush()
             up = stack[-1][1]
             nodes.append(Node(tag, up, nodes[up].depth + 1, _marks(attributes) if attributes else 0))
             nodes[up].children.append(len(nodes) - 1)
             hidden = bool(attributes) and _hidden(attributes)
-            stack.append((f"!{tag}" if hidden else tag, len(nodes) - 1))
+            open_.push(tag, len(nodes) - 1, hidden)
             silent += hidden
             nodes[-1].paragraphs += tag == "p"
             nodes[-1].controls += tag in CONTROLS
         else:
             if attributes.endswith("/") and tag in SILENT:
                 continue
-            stack.append((tag, stack[-1][1]))
+            open_.push(tag, stack[-1][1])
             links += tag == "a"
             silent += tag in SILENT
             if tag in CONTROLS:

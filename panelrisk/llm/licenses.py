@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from panelrisk.llm import license_texts as known
 
 #: a line that names a holder: not the prose in which a licence speaks of copyright holders
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright[ \t:]*(\(c\)|©|[0-9]{4}|<|\[)|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t*#/;<!%-]*((portions |parts )?copyright[ \t:,]*(\(c\)|©|[0-9]{4}|<|\[|by )|copyright [^\n]*[ ,](inc|ltd|llc|gmbh|corp|corporation)[ .,\n]"
+    r"|spdx-filecopyrighttext:|\(c\)|©|all rights reserved)[^\n]*"
+)
 NOT_TEXT = r"[^\p{L}\p{N}\n]+"
 
 

@@ -393,7 +393,7 @@ def test_parsing(page, blocks):
         ("<head><title>x</title><noscript><link href=y><body><p>a", ["a"]), ("<head><title>x</title>a<p>b", ["a", "b"]),
         ("<head><title>x</title></head><body>a", ["a"]), ("<head><script>if(a<b)</script>\n<link rel=x>\n</head>a", ["a"]),
         ('<div class="mt-4 hidden lg:block">a</div>', ["a"]), ('<p title="the hidden one" data-x="display:none">a</p>', ["a"]),
-        ("<div class='x'hidden>a</div>b", ["b"]), ("<div style='color:red; Display : none'>a</div>b", ["b"]), ("<p aria-hidden=true>a</p>b", ["b"]), ("<p HIDDEN=''>a</p>b", ["b"]),
+        ("<div class='x'hidden>a</div>b", ["b"]), ("<div style='color:red; Display : none'>a</div>b", ["b"]), ("<p aria-hidden=true>a</p>b", ["a", "b"]), ("<p>one<wbr>two<img src=x>three</p>", ["onetwothree"]), ("<p>E=<math><mi>m</mi></math> ok</p>", ["E=m ok"]), ("<p HIDDEN=''>a</p>b", ["b"]),
     ],
 )
 def test_open_heads_and_hidden_elements(page, blocks):
@@ -412,3 +412,23 @@ def test_text_outside_of_blocks_is_scored(spark):
     frame = pages.unionByName(spark.createDataFrame(list(odd.items()), pages.schema))
     got = {r.page_id: r.text for r in extract.main_text(frame, ["page_id"]).where("page_id < 0").collect()}
     assert got[-1] == got[-2] == " ".join(prose) and got[-3] == "\n".join(prose) and got[-4] == ""
+
+
+def test_unclosed_elements_cost_linear_time():
+    import time
+
+    for piece in ("<span><div>x</div>", "<b><h1>", "</div><span>", "<p><i>", "<li><em>", "</b><div><u>", "<h2>x"):
+        took = []
+        for n in (4000, 16000):
+            began = time.process_time()
+            htmltree.parse(piece * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5, piece
+
+
+def test_holder_lines_do_not_change_the_licence(spark):
+    body = license_texts.TEXTS["MIT"]
+    heads = ["Copyright Joyent, Inc. and other contributors.", "Copyright by X 2020", "Copyright, 2020 A", "Portions Copyright (c) 2020 Y", "SPDX-FileCopyrightText: 2020 me", "<!-- Copyright 2020 -->", "Copyright (c) 2011-2020 Some One", ""]
+    docs = spark.createDataFrame([(i, f"{h}\n{body}") for i, h in enumerate(heads)] + [(99, "copyright holders\n" + body)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    assert got == {**{i: "MIT" for i in range(len(heads))}, 99: ""}
