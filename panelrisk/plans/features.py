@@ -8,6 +8,8 @@ windows share one window spec: one exchange on the entity key, one sort.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,11 +79,12 @@ def engineer_features(df: DataFrame, spec: PanelSpec, month_mean_from: DataFrame
 def feature_columns(df: DataFrame, spec: PanelSpec) -> list[str]:
     """All columns but ids and labels (B13); raises if a column derived from a label is among them.
 
-    A label's name in another case, or with something before or after it, is taken for such a column.
+    A column is taken for such a one if a label's name is part of its own as whole words, in any
+    case: label ``y`` finds ``y_lag`` and ``last-Y``, not ``humidity``.
     """
     labels = [x for x in (spec.label, spec.other_label) if x]
     cols = [x for x in df.columns if x not in {spec.date, spec.entity, *labels}]
-    leaks = [x for x in cols if any(y.lower() in x.lower() for y in labels)]
+    leaks = [x for x in cols if any(re.search(rf"(?<![a-z0-9]){re.escape(y.lower())}(?![a-z0-9])", x.lower()) for y in labels)]
     if leaks:
         raise AssertionError(f"label leaked into the feature list: {leaks}")
     return cols

@@ -30,8 +30,12 @@ def choose_threshold(train_scored: DataFrame, label: str, score: str, mode: str,
     raise ValueError(f"unknown threshold mode {mode!r}")
 
 
-from panelrisk.operators import metrics, models, prep, splits  # noqa: E402
+from dataclasses import replace  # noqa: E402
+
+from panelrisk.operators import fits, metrics, models, prep, sampling, splits  # noqa: E402
+from panelrisk.operators.oversampling import smote_minority  # noqa: E402
 from panelrisk.plans.features import engineer_features, feature_columns, split_feature_kinds  # noqa: E402
+from panelrisk.plans.score import score_latest  # noqa: E402
 from panelrisk.session import cut_lineage  # noqa: E402
 from panelrisk.spec import PanelSpec  # noqa: E402
 
@@ -89,3 +93,75 @@ def train_and_report(panel: DataFrame, spec: PanelSpec, model: str = "gbt", over
         "tradeoff": thresholds.recall_tradeoff(thresholds.grid_table(scored, "label", "score", ["split"]),
                                                [0.9, 0.8, 0.7, 0.6, 0.5], ["split"]),
     }
+
+
+def train_full(panel: DataFrame, spec: PanelSpec, settings: fits.FitSpec | None = None, test_end=None, test_neg_keep: float = 1.0,
+               smote_ratio: float | None = None, undersample_ratio: float | None = None, trials: int = 0, early_stop: bool = False,
+               threshold_mode: str = "alarm", alarm_rate: float = 0.10, recall_target: float = 0.80, precision_target: float = 0.60,
+               fit_rows: int = fits.FIT_ROWS) -> dict:
+    """The whole training flow (N02): calendar split with an optional end of test, thinned test negatives,
+    over- and undersampling of train, search, early stopping, thresholds and reports, refit on all rows, latest scoring.
+
+    Only train is resampled, on imputed and coded features; undersampling without
+    oversampling is left out, and its ratio must be the larger one. The search
+    runs on the train rows as they came. Early stopping picks the number of trees
+    on the last quarter of train (AUC, 50 trees of patience), never on test. The
+    refit learns from every row with that number. Returns DataFrames ``metrics``,
+    ``report``, ``tradeoff``, ``threshold`` and ``latest``, and ``settings``.
+    """
+    if smote_ratio is not None and undersample_ratio is not None and undersample_ratio <= smote_ratio:
+        raise ValueError(f"undersample ratio {undersample_ratio} must be larger than the oversampling ratio {smote_ratio}")
+    settings = settings or fits.SPECS["gbt"]
+    keys = [spec.entity, spec.date]
+    feat = feature_frame(panel, spec, test_end=test_end)
+    num, cat = split_feature_kinds([c for c in feature_columns(feat, spec) if c not in ("split", "label")], spec)
+    train = feat.filter("split = 'train'")
+    if trials:
+        from panelrisk.plans.cv import search_space, tune_expanding
+
+        best = tune_expanding(train, spec, trials).orderBy(F.desc_nulls_last("mean_ap"), "trial").first()  # one row per trial
+        settings = search_space(trials)[best.trial]
+
+    p = prep.fit_preprocessor(train, num, cat)
+    numbers, codes = [f"num__{c}" for c in num], [f"cat__{c}" for c in cat]
+    ready = lambda d: prep.transform(d, p, [*keys, "split", "label"])
+    learn, test = cut_lineage(ready(train)), ready(feat.filter("split = 'test'"))
+    if test_neg_keep < 1:
+        test = sampling.thin_negatives(test, spec, "label", test_neg_keep)
+    if smote_ratio is not None:
+        learn = smote_minority(learn, spec, "label", numbers, codes, smote_ratio)
+        if undersample_ratio is not None:
+            learn = sampling.undersample_to_ratio(learn, spec, "label", undersample_ratio)
+
+    def fitted(rows: DataFrame, learned: str, chosen: fits.FitSpec) -> tuple[DataFrame, DataFrame]:
+        """(binned rows, models) of a fit on the rows ``learned``."""
+        rows = rows.withColumn("dataset", F.lit("train")).withColumn("part", F.when(F.expr(learned), 0).otherwise(1))
+        b = cut_lineage(fits.bin_rows(rows, numbers, codes, ["dataset", "part", *keys, "split", "label"], "part = 0"))
+        return b, fits.fit_many(b.filter("part = 0"), [fits.Fit("train", "model", chosen)], keys, fit_rows)
+
+    if early_stop:
+        tail = splits.validation_tail(learn, spec).drop("pos")
+        b, m = fitted(tail.withColumn("split", F.col("role")), "role = 'fit'", settings)
+        trees, _ = fits.best_prefix(cut_lineage(fits.staged_auc(b.filter("part = 1"), bytes(m.first().model))))
+        settings = replace(settings, trees=max(1, trees))
+    b, m = fitted(cut_lineage(learn.unionByName(test)), "split = 'train'", settings)
+    scored = cut_lineage(fits.score_many(b, m, [*keys, "split", "label"]).drop("dataset", "model"))
+
+    th = choose_threshold(scored.filter("split = 'train'"), "label", "score", threshold_mode, alarm_rate, recall_target, precision_target)
+    if threshold_mode == "alarm":  # every split its own quantile
+        th = thresholds.alarm_rate_threshold(scored, "score", alarm_rate, ["split"])
+        flagged = scored.join(F.broadcast(th), "split")  # two rows
+    else:
+        flagged = scored.crossJoin(F.broadcast(th))
+    flagged = flagged.withColumn("alarm", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)).cast("int"))
+    every, again = fitted(cut_lineage(ready(feat)), "true", settings)
+    names = feat.select(*keys, spec.entity_type)
+    scorer = lambda d: fits.score_many(d, again, keys).join(names, keys)
+    return {
+        "settings": settings,
+        "threshold": th,
+        "metrics": metrics.auc_ap(scored, "label", "score", ["split"]),
+        "report": metrics.classification_report(flagged, "label", "alarm", ["split"]),
+        "tradeoff": thresholds.recall_tradeoff(thresholds.grid_table(scored, "label", "score", ["split"]), [0.9, 0.8, 0.7, 0.6, 0.5], ["split"]),
+        "latest": score_latest(every, spec, scorer, alarm_rate),
+    }

@@ -215,10 +215,15 @@ def q_final_refit(spark, sf):
 
 @register("train_and_report")
 def q_train_and_report(spark, sf):
-    from panelrisk.plans.train import train_and_report
+    """Split, oversampling and undersampling of train, early stopping, reports, refit and latest scoring in one flow."""
+    from panelrisk.operators import fits
+    from panelrisk.plans.train import train_full
 
-    out = train_and_report(fixture_panel(spark, sf), S, "gbt_regularized", threshold_mode="fixed")
-    return out["report"]
+    out = train_full(fixture_panel(spark, sf), S, fits.SPECS["gbt_regularized"], smote_ratio=0.5, undersample_ratio=0.8, early_stop=True, threshold_mode="fixed")
+    none = lambda t, n: F.lit(None).cast(t).alias(n)
+    report = out["report"].select(F.lit("report").alias("part"), "split", "row", "precision", "recall", "f1", F.col("support").cast("long").alias("support"), none("long", "entity_id"), none("double", "score"), none("int", "alarm_flag"))
+    latest = out["latest"].select(F.lit("latest").alias("part"), none("string", "split"), none("string", "row"), none("double", "precision"), none("double", "recall"), none("double", "f1"), none("long", "support"), "entity_id", "score", "alarm_flag")
+    return report.unionByName(latest)
 
 
 @register("predict_file")

@@ -136,3 +136,29 @@ def test_confusion_cells_and_operating_points(spark):
     out = operating_point_report(spark.createDataFrame(long, "dataset string, model string, split string, label double, score double"), target_precision=0.3).collect()
     n = {s: sum(r.section == s for r in out) for s in ("top", "honest", "curve")}
     assert n == {"top": 4, "honest": 1, "curve": 50} and all(r.threshold < 1.0 for r in out if r.threshold is not None)
+
+
+def test_whole_training_flow(spark):
+    from panelrisk.operators.trees import FitSpec
+    from panelrisk.plans.train import train_full
+    from panelrisk.sources.fixture import fixture_panel
+
+    sf = "/root/testdata/sf0.001"
+    panel = fixture_panel(spark, sf).cache()
+    end = dt.date(2001, 6, 1)
+    out = train_full(panel, S, FitSpec(trees=6, leaves=6), test_end=end, test_neg_keep=0.5, smote_ratio=0.6, undersample_ratio=0.75, early_stop=True, threshold_mode="precision", precision_target=0.4)
+    assert 1 <= out["settings"].trees <= 6
+    report = {(r.split, r.row): r.support for r in out["report"].collect()}
+    plain = panel.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
+    cut = plain.lo + dt.timedelta(days=int(0.8 * (plain.hi - plain.lo).days))
+    rows = panel.select("date", F.col(S.label).alias("y")).collect()
+    train, test = [r.y for r in rows if r.date <= cut], [r.y for r in rows if cut < r.date <= end]
+    pos, neg = sum(train), len(train) - sum(train)
+    made = int(neg * 0.6)
+    supports = lambda split: sorted(v for (s, k), v in report.items() if s == split)
+    assert made in supports("train") and int(made / 0.75) in supports("train") and pos < made  # both classes as asked for
+    assert sum(test) in supports("test") and round((len(test) - sum(test)) * 0.5) in supports("test")
+    latest = out["latest"].collect()
+    assert sorted(r.risk_rank for r in latest) == list(range(1, panel.select("entity_id").distinct().count() + 1))
+    with pytest.raises(ValueError, match="larger"):
+        train_full(panel, S, smote_ratio=0.8, undersample_ratio=0.5)

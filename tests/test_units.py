@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -183,6 +184,13 @@ def test_label_leak_check():
         Fake.columns = ["entity_id", "date", "event_next_30d", "temp", leak]
         with pytest.raises(AssertionError):
             feature_columns(Fake(), SPEC)
+    short = replace(SPEC, label="y", other_label="fail")
+    Fake.columns = ["entity_id", "date", "y", "fail", "humidity", "entity_type", "days_since_last_failure"]
+    assert feature_columns(Fake(), short) == ["humidity", "entity_type", "days_since_last_failure"]
+    for leak in ("y_lag", "last-Y", "Fail"):
+        Fake.columns = ["entity_id", "date", "y", leak]
+        with pytest.raises(AssertionError):
+            feature_columns(Fake(), short)
 
 
 def test_vehicle_files_round_trip_into_43_features(spark, tmp_path):
