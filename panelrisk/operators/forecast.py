@@ -114,12 +114,12 @@ def make_future(ts: DataFrame, horizon: int, step_days: int = 7, ds: str = "ds",
 
 
 def cutoffs(ts: DataFrame, horizon_days: int, ds: str = "ds", initial_frac: float = 0.5,
-            period_frac: float = 0.1, min_period_days: int = 7) -> DataFrame:
+            period_frac: float = 0.1, min_period_days: int = 7, by=()) -> DataFrame:
     """Rolling-origin cutoffs (M11): from max - horizon back by ``period`` while >= min + initial.
 
-    initial = int(span·0.5) days, period = max(int(span·0.1), 7) days.
+    initial = int(span·0.5) days, period = max(int(span·0.1), 7) days. Each ``by`` series has its own.
     """
-    b = ts.agg(F.min(ds).alias("_lo"), F.max(ds).alias("_hi"))
+    b = ts.groupBy(*by).agg(F.min(ds).alias("_lo"), F.max(ds).alias("_hi"))
     b = b.withColumn("_span", F.datediff("_hi", "_lo"))
     b = b.withColumn("_initial", F.floor(F.col("_span") * initial_frac).cast("int")) \
          .withColumn("_period", F.greatest(F.floor(F.col("_span") * period_frac).cast("int"), F.lit(min_period_days)))
@@ -127,8 +127,8 @@ def cutoffs(ts: DataFrame, horizon_days: int, ds: str = "ds", initial_frac: floa
     n = F.floor((F.datediff(first, "_lo") - F.col("_initial")) / F.col("_period")).cast("int")
     b = b.withColumn("_n", n)
     return b.filter(F.col("_n") >= 0).select(
-        F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_j"), "_hi", "_period"
-    ).select(F.date_sub(F.date_sub("_hi", horizon_days), F.col("_j") * F.col("_period")).alias("cutoff"))
+        *by, F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_j"), "_hi", "_period"
+    ).select(*by, F.date_sub(F.date_sub("_hi", horizon_days), F.col("_j") * F.col("_period")).alias("cutoff"))
 
 
 def cv_points(ts: DataFrame, cuts: DataFrame, horizon_days: int, ds: str = "ds") -> DataFrame:
@@ -150,41 +150,44 @@ def cv_naive(ts: DataFrame, cuts: DataFrame, horizon_days: int, ds: str = "ds",
     return pts.join(F.broadcast(hist), "cutoff").select("cutoff", ds, "horizon", y, "yhat")
 
 
-def error_by_horizon(points: DataFrame, y: str = "y", yhat: str = "yhat", rolling: float = 0.1) -> DataFrame:
-    """Rolling MAE / RMSE by horizon over ``rolling`` of the points.
+def error_by_horizon(points: DataFrame, y: str = "y", yhat: str = "yhat", rolling: float = 0.1, by=(),
+                     lower: str | None = None, upper: str | None = None) -> DataFrame:
+    """Rolling MAE, RMSE, MAPE and (with ``lower`` and ``upper``) coverage by horizon over ``rolling`` of the points.
 
     Points are grouped by horizon; for each horizon the mean covers that
     horizon's points and as many earlier-horizon points as needed to reach
     w = max(1, int(rolling·n)) points, the earliest group counted partially.
-    Horizons without w points to their left are dropped. Works on the
-    per-horizon table (bounded by the horizon length).
+    Horizons without w points to their left are dropped. MAPE is a fraction,
+    NULL where any actual value is within 1e-8 of 0. Works on the per-horizon
+    table (bounded by the horizon length), per ``by`` series.
     """
+    from panelrisk.operators.positions import asof_lookup
+
+    by = list(by)
     e = F.col(y) - F.col(yhat)
-    g = points.groupBy("horizon").agg(
-        F.sum(F.abs(e)).alias("sa"), F.sum(e * e).alias("ss"), F.count(F.lit(1)).alias("cnt"))
-    n = points.agg(F.greatest(F.floor(F.count(F.lit(1)) * rolling), F.lit(1)).alias("w"))
-    w = Window.orderBy("horizon").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.withColumn("cn", F.sum("cnt").over(w)).withColumn("ca", F.sum("sa").over(w)).withColumn(
-        "cs", F.sum("ss").over(w))
-    g = attach(g, n)
+    values = {"mae": F.abs(e), "rmse": e * e, "mape": F.try_divide(F.abs(e), F.abs(F.col(y)))}
+    if lower and upper:
+        values["coverage"] = F.when(F.col(y).between(F.col(lower), F.col(upper)), 1.0).otherwise(0.0)
+    g = points.groupBy(*by, "horizon").agg(*[F.sum(v).alias(f"g_{m}") for m, v in values.items()], F.count(F.lit(1)).alias("cnt"))
+    n = points.groupBy(*by).agg(F.greatest(F.floor(F.count(F.lit(1)) * rolling), F.lit(1)).alias("w"),
+                                (F.min(F.abs(F.col(y))) < 1e-8).alias("_zero"))
+    w = Window.partitionBy(*by).orderBy("horizon").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    g = g.select("*", F.sum("cnt").over(w).alias("cn"), *[F.sum(f"g_{m}").over(w).alias(f"c_{m}") for m in values])
+    g = attach(g, n, by)
     # the window of horizon t starts in the group i holding point rank cn_t - w (as-of on the
     # groups' start ranks); horizons with fewer than w points up to them are dropped
-    probe = g.filter(F.col("cn") >= F.col("w")).select("horizon", "w", "cn", "ca", "cs",
-                                                       (F.col("cn") - F.col("w")).alias("_rank"))
-    starts = g.select((F.col("cn") - F.col("cnt")).alias("i_start"), F.col("cn").alias("i_cn"),
-                      F.col("cnt").alias("i_cnt"), F.col("ca").alias("i_ca"), F.col("sa").alias("i_sa"),
-                      F.col("cs").alias("i_cs"), F.col("ss").alias("i_ss"))
-    from panelrisk.operators.positions import asof_lookup
-
-    best = asof_lookup(probe, starts, (), "_rank", "i_start", ["i_cn", "i_cnt", "i_ca", "i_sa", "i_cs", "i_ss"])
-    best = best.select("horizon", "w", "cn", "ca", "cs",
-                       F.struct("i_cn", "i_cnt", "i_ca", "i_sa", "i_cs", "i_ss").alias("i"))
-    sn = F.col("cn") - F.col("i.i_cn") + F.col("i.i_cnt")
-    excess = sn - F.col("w")
-
-    def rolled(c_cum: str, i_cum: str, i_grp: str) -> Column:
-        tot = F.col(c_cum) - F.col(f"i.{i_cum}") + F.col(f"i.{i_grp}")
-        return (tot - excess * F.col(f"i.{i_grp}") / F.col("i.i_cnt")) / F.col("w")
-
-    return best.select("horizon", rolled("ca", "i_ca", "i_sa").alias("mae"),
-                       F.sqrt(rolled("cs", "i_cs", "i_ss")).alias("rmse"))
+    cums = [f"c_{m}" for m in values]
+    probe = g.filter(F.col("cn") >= F.col("w")).select(*by, "horizon", "w", "_zero", "cn", *cums, (F.col("cn") - F.col("w")).alias("_rank"))
+    first = ["cn", "cnt", *cums, *[f"g_{m}" for m in values]]
+    starts = g.select(*by, (F.col("cn") - F.col("cnt")).alias("i_start"), *[F.col(c).alias(f"i_{c}") for c in first])
+    best = asof_lookup(probe, starts, by, "_rank", "i_start", [f"i_{c}" for c in first])
+    excess = F.col("cn") - F.col("i_cn") + F.col("i_cnt") - F.col("w")
+
+    def rolled(m: str) -> Column:
+        total = F.col(f"c_{m}") - F.col(f"i_c_{m}") + F.col(f"i_g_{m}")
+        return (total - excess * F.col(f"i_g_{m}") / F.col("i_cnt")) / F.col("w")
+
+    shown = {m: rolled(m) for m in values}
+    shown["rmse"] = F.sqrt(shown["rmse"])
+    shown["mape"] = F.when(~F.col("_zero"), shown["mape"])
+    return best.select(*by, "horizon", *[c.alias(m) for m, c in shown.items()])

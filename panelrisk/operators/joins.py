@@ -35,11 +35,12 @@ def join_by_date(df: DataFrame, daily: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(daily), on, "left")
 
 
-def month_mean_fill(future: DataFrame, known: DataFrame, ds: str, cols: list[str]) -> DataFrame:
-    """Known value by date, else the mean of that calendar month."""
-    by_month = known.groupBy(F.month(ds).alias("_m")).agg(*[F.avg(c).alias(f"_mm_{c}") for c in cols])
-    out = future.join(F.broadcast(known.select(ds, *cols)), ds, "left").withColumn("_m", F.month(ds))
-    out = out.join(F.broadcast(by_month), "_m", "left")
+def month_mean_fill(future: DataFrame, known: DataFrame, ds: str, cols: list[str], by=()) -> DataFrame:
+    """Known value by date, else the mean of that calendar month, in the same series."""
+    by = list(by)
+    by_month = known.groupBy(*by, F.month(ds).alias("_m")).agg(*[F.avg(c).alias(f"_mm_{c}") for c in cols])
+    out = future.join(known.select(*by, ds, *cols), [*by, ds], "left").withColumn("_m", F.month(ds))
+    out = out.join(by_month if by else F.broadcast(by_month), [*by, "_m"], "left")  # 12 rows a series
     for c in cols:
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_mm_{c}")))
     return out.drop("_m", *[f"_mm_{c}" for c in cols])

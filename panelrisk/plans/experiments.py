@@ -136,3 +136,29 @@ def target_table(long: DataFrame, label: str = "label", score: str = "score", ta
     wide = tops.groupBy(*by).pivot("rate", [0.01, 0.02, 0.03, 0.05]).agg(F.first("precision"))
     wide = wide.toDF(*by, "prec_top1", "prec_top2", "prec_top3", "prec_top5")
     return ceiling.join(wide, by).join(honest_table(long, label, score, target_precision, by), by)
+
+
+def weekly_series(panel: DataFrame, spec, datasets=None) -> DataFrame:
+    """The weekly event counts of every dataset variant: (dataset, ds, y)."""
+    from panelrisk.operators import forecast as fc
+    from panelrisk.sources.variants import VARIANTS, dataset_variants
+
+    variants = dataset_variants(panel, spec)
+    out = None
+    for ds in datasets or VARIANTS:
+        own = variants.filter(F.col("dataset") == ds).drop("dataset")
+        one = fc.build_timeseries(own, spec, "W", False).select(F.lit(ds).alias("dataset"), "ds", "y")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def experiment_matrix(panel: DataFrame, spec, model_names=("gbt", "logreg"), datasets=None, **fit) -> dict[str, DataFrame]:
+    """Both halves of the experiments over all dataset variants (N06): ``classification`` (one row per dataset and
+    model), ``best`` (the model of the largest pr_auc per dataset; ties: first name) and ``forecast``."""
+    from panelrisk.plans.forecast import forecast_matrix
+
+    table = cut_lineage(experiment_table(scored_long(panel, spec, model_names, datasets=datasets, **fit), "label"))
+    best = table.filter(F.col("pr_auc").isNotNull()).groupBy("dataset").agg(
+        F.min_by(F.struct(*[c for c in table.columns if c != "dataset"]), F.struct(-F.col("pr_auc"), "model")).alias("b"))
+    return {"classification": table, "best": best.select("dataset", "b.*"),
+            "forecast": forecast_matrix(weekly_series(panel, spec, datasets))}

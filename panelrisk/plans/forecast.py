@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelrisk.operators import events, normal, series
 from panelrisk.operators import forecast as fc
 from panelrisk.operators.positions import attach
+from panelrisk.session import cut_lineage
+from panelrisk.spec import PanelSpec
+
+SEASON = {"W": 52, "D": 365}  # periods in a year
+STEP = {"W": 7, "D": 1}
+HORIZON = {"W": 8, "D": 30}
 
 
 def trend_future(ts: DataFrame, horizon: int, step_days: int = 7, ds: str = "ds", y: str = "y") -> DataFrame:
@@ -19,123 +26,33 @@ def trend_future(ts: DataFrame, horizon: int, step_days: int = 7, ds: str = "ds"
     return fut.select(ds, F.greatest(F.col("a") + F.col("b") * tt, F.lit(0.0)).alias("yhat"))
 
 
-import math  # noqa: E402
-
-import numpy as np  # noqa: E402
-import pandas as pd  # noqa: E402
-
-from panelrisk.operators import events, series  # noqa: E402
-from panelrisk.spec import PanelSpec  # noqa: E402
-
-# Fixed model settings: Fourier orders, changepoints, ridge penalty, 80 % band.
-YEARLY_ORDER = 10
-WEEKLY_ORDER = 3
-N_CHANGEPOINTS = 25
-CHANGEPOINT_RANGE = 0.8
-RIDGE = 1.0
-Z80 = 1.2815515655446004
-
-
-def design(ts: DataFrame, ds: str = "ds", by=(), weekly: bool = False) -> DataFrame:
-    """Catalyst-side basis columns: day offset, yearly (and weekly) Fourier terms."""
-    from pyspark.sql import Window
-
-    d0 = F.min(ds).over(Window.partitionBy(*by))
-    day = F.datediff(F.col(ds), F.lit("1970-01-01").cast("date")).cast("double")
-    out = ts.withColumn("_day", F.datediff(F.col(ds), d0).cast("double"))
-    for k in range(1, YEARLY_ORDER + 1):
-        out = out.withColumn(f"_ys{k}", F.sin(2 * math.pi * k * day / 365.25)).withColumn(
-            f"_yc{k}", F.cos(2 * math.pi * k * day / 365.25))
-    if weekly:
-        for k in range(1, WEEKLY_ORDER + 1):
-            out = out.withColumn(f"_ws{k}", F.sin(2 * math.pi * k * day / 7)).withColumn(
-                f"_wc{k}", F.cos(2 * math.pi * k * day / 7))
-    return out
-
-
-def _fit_predict(pdf: pd.DataFrame, keys: list[str], regressors: list[str], multiplicative: bool) -> pd.DataFrame:
-    """Ridge least squares on one (small) series: rows with ``_fit`` and non-null y are fitted."""
-    pdf = pdf.sort_values("ds")
-    fit = pdf["_fit"].astype(bool).values & pdf["y"].notna().values
-    span = max(pdf["_day"].max(), 1.0)
-    t = pdf["_day"].values / span
-    tf = t[fit]
-    cps = np.quantile(tf, np.linspace(0, CHANGEPOINT_RANGE, N_CHANGEPOINTS + 2)[1:-1]) if fit.sum() > 2 else []
-    four = [c for c in pdf.columns if c.startswith(("_ys", "_yc", "_ws", "_wc"))]
-    cols = [np.ones_like(t), t] + [np.maximum(0.0, t - c) for c in cps] + [pdf[c].values for c in four]
-    reg = []
-    for r in regressors:
-        v = pdf[r].astype(float).values
-        mu, sd = np.nanmean(v[fit]) if fit.any() else 0.0, np.nanstd(v[fit]) if fit.any() else 1.0
-        reg.append(np.nan_to_num((v - mu) / (sd or 1.0)))
-    X = np.column_stack(cols + reg)
-    y = pdf["y"].astype(float).values
-    yt = np.log1p(np.clip(y, 0, None)) if multiplicative else y
-    n_trend = 2 + len(cps)
-    if fit.sum() == 0:
-        beta = np.zeros(X.shape[1])
-        resid_sd = 0.0
-    else:
-        Xf, yf = X[fit], yt[fit]
-        pen = RIDGE * np.eye(X.shape[1])
-        pen[0, 0] = 0.0
-        beta = np.linalg.solve(Xf.T @ Xf + pen, Xf.T @ yf)
-        resid_sd = float(np.std(yf - Xf @ beta, ddof=min(1, len(yf) - 1))) if len(yf) > 1 else 0.0
-    trend = X[:, :n_trend] @ beta[:n_trend]
-    yearly = X[:, n_trend:n_trend + sum(c.startswith(("_ys", "_yc")) for c in four)] @ \
-        beta[n_trend:n_trend + sum(c.startswith(("_ys", "_yc")) for c in four)]
-    mean = X @ beta
-    lo, hi = mean - Z80 * resid_sd, mean + Z80 * resid_sd
-    if multiplicative:
-        mean, lo, hi = np.expm1(mean), np.expm1(lo), np.expm1(hi)
-    out = pd.DataFrame({k: pdf[k].values for k in keys})
-    out["ds"] = pdf["ds"].values
-    out["y"] = y
-    out["yhat"] = np.clip(mean, 0, None)
-    out["yhat_lower"] = np.clip(lo, 0, None)
-    out["yhat_upper"] = np.clip(hi, 0, None)
-    out["trend"] = trend
-    out["yearly"] = yearly
-    return out
-
-
 def fit_seasonal(ts: DataFrame, by=(), fit_col: str | None = None, regressors=(), multiplicative: bool = False,
                  weekly: bool = False) -> DataFrame:
     """Trend + Fourier seasonality per series.
 
     ``ts`` has ``ds, y`` (+ regressors, + by keys); rows with ``fit_col`` true
-    are fitted (all rows when None), every row is predicted. One pandas group
-    per series: its size is bounded by the series length, and many series
-    (entities, cutoffs) run in parallel.
+    are fitted (all rows when None), every row is predicted. The fits come from
+    summed products (``operators.normal``): any number of series in one job.
     """
-    keys = list(by)
-    d = design(ts, "ds", keys, weekly)
-    d = d.withColumn("_fit", F.col(fit_col).cast("int") if fit_col else F.lit(1))
-    regs = list(regressors)
-    schema = ", ".join([f"{k} {ts.schema[k].dataType.simpleString()}" for k in keys] + [
-        "ds date", "y double", "yhat double", "yhat_lower double", "yhat_upper double", "trend double", "yearly double"])
-    keep = keys + ["ds", "y", "_fit", "_day"] + regs + [c for c in d.columns if c.startswith(("_ys", "_yc", "_ws", "_wc"))]
-    d = d.select(*keep).withColumn("y", F.col("y").cast("double"))
-    if keys:
-        grp = d.groupBy(*keys)
-    else:
-        grp = d.withColumn("_series", F.lit(0)).groupBy("_series")
-    return grp.applyInPandas(lambda pdf: _fit_predict(pdf, keys, regs, multiplicative), schema)
+    by, regs = list(by), list(regressors)
+    ts = cut_lineage(ts.select(*by, "ds", F.col("y").cast("double").alias("y"), *regs, *([fit_col] if fit_col else [])))
+    fits = normal.fit_series(ts, by, fit_col, regs, multiplicative, weekly).drop("cutoff")
+    out = normal.predict(attach(ts, fits, by), regs, multiplicative, weekly)
+    return out.select(*by, "ds", "y", "yhat", "yhat_lower", "yhat_upper", "trend", "yearly",
+                      *(["weekly"] if weekly else []))
 
 
 def forecast_with_future(ts: DataFrame, horizon: int, step_days: int = 7, by=(), regressors=(),
                          multiplicative: bool = False) -> DataFrame:
     """Fit on the whole history, predict history + ``horizon`` future periods.
 
-    Future regressors come from the known value or the calendar-month mean (M09).
+    Future regressors come from the known value or the calendar-month mean of the same series (M09).
     """
     from panelrisk.operators import joins
 
     fut = fc.make_future(ts, horizon, step_days, "ds", by)
-    for r in regressors:
-        fut = fut.withColumn(r, F.lit(None).cast("double"))
     if regressors:
-        fut = joins.month_mean_fill(fut.drop(*regressors), ts, "ds", list(regressors)) if not by else fut
+        fut = joins.month_mean_fill(fut, ts, "ds", list(regressors), by)
     full = ts.select(*by, "ds", "y", *regressors).unionByName(
         fut.withColumn("y", F.lit(None).cast("double")).select(*by, "ds", "y", *regressors))
     return fit_seasonal(full, by, None, regressors, multiplicative, weekly=(step_days == 1))
@@ -152,30 +69,85 @@ def entity_weekly_series(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     return cal.join(wk, [spec.entity, "ds"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
 
 
-def cv_seasonal(ts: DataFrame, cuts: DataFrame, horizon_days: int) -> DataFrame:
-    """Refit per cutoff on ds <= cutoff, predict (cutoff, cutoff + horizon] (M11 for the model).
+def cv_seasonal(ts: DataFrame, cuts: DataFrame, horizon_days: int, by=(), regressors=(), multiplicative: bool = False,
+                weekly: bool = False) -> DataFrame:
+    """Fit per cutoff on ds <= cutoff, predict (cutoff, cutoff + horizon] (M11 for the model).
 
-    Each cutoff is one group of ``applyInPandas``; the cutoff table is small.
+    All cutoffs of a series are fitted from running sums over one scan of it.
+    """
+    by, regs = list(by), list(regressors)
+    ts = cut_lineage(ts.select(*by, "ds", F.col("y").cast("double").alias("y"), *regs))
+    fits = normal.fit_series(ts, by, None, regs, multiplicative, weekly, cuts, horizon_days)
+    pts = attach(ts, fits, by).filter((F.col("ds") > F.col("cutoff")) & (F.col("ds") <= F.date_add("cutoff", horizon_days)))
+    out = normal.predict(pts, regs, multiplicative, weekly)
+    return out.select(*by, "cutoff", "ds", "y", "yhat", "yhat_lower", "yhat_upper",
+                      F.datediff("ds", "cutoff").alias("horizon"))
+
+
+def cv_performance(ts: DataFrame, horizon: int, freq: str = "W", by=(), regressors=(),
+                   multiplicative: bool = False) -> DataFrame:
+    """Cross-validated MAE, RMSE, MAPE and coverage of the seasonal model by horizon (M11 + M12)."""
+    days = horizon * STEP[freq]
+    pts = cv_seasonal(ts, fc.cutoffs(ts, days, by=by), days, by, regressors, multiplicative, freq == "D")
+    return fc.error_by_horizon(pts.filter(F.col("y").isNotNull()), "y", "yhat", by=by, lower="yhat_lower", upper="yhat_upper")
+
+
+def holdout_predictions(ts: DataFrame, freq: str = "W", by=(), regressors=(), multiplicative: bool = False) -> DataFrame:
+    """Long (by…, ds, y, model, pred) of the seasonal model and both baselines on the last fifth of each series."""
+    by = list(by)
+    sp = cut_lineage(fc.holdout_split(ts, by=by))
+    fitted = fit_seasonal(sp.withColumn("_tr", F.col("split") == "train"), by, "_tr", regressors, multiplicative, freq == "D")
+    base = fc.seasonal_naive(sp, SEASON[freq], by).filter("split = 'holdout'").select(*by, "ds", "naive_mean", "snaive")
+    return fitted.join(base, [*by, "ds"]).select(*by, "ds", "y", F.expr(
+        "stack(3, 'seasonal_model', yhat, 'naive_mean', naive_mean, 'seasonal_naive', snaive) AS (model, pred)"))
+
+
+def forecast_fleet(panel: DataFrame, spec: PanelSpec, mask: str | None = None, horizon: int | None = None,
+                   freq: str = "W", with_weather: bool = False, multiplicative: bool = False, entity=None,
+                   cv: bool = False) -> dict[str, DataFrame]:
+    """Forecast main flow (N05): series → mask → holdout fit + baselines → refit → future.
+
+    ``freq`` W or D (with weekly seasonality); ``entity``: the series of one
+    entity (an unknown one raises); ``with_weather``: temperature and humidity
+    as regressors; ``cv``: adds ``cv`` (errors by horizon) and ``cv_mae``.
     """
-    x = ts.crossJoin(F.broadcast(cuts)).filter(F.col("ds") <= F.date_add("cutoff", horizon_days))
-    x = x.withColumn("_train", F.col("ds") <= F.col("cutoff"))
-    out = fit_seasonal(x, ["cutoff"], "_train")
-    return out.filter(F.col("ds") > F.col("cutoff")).withColumn("horizon", F.datediff("ds", "cutoff"))
+    from panelrisk.operators import metrics
+    from panelrisk.plans.forecast_entity import only_entity
+
+    horizon = HORIZON[freq] if horizon is None else horizon
+    if entity is not None:
+        panel = only_entity(panel, spec, entity)
+    regs = list(fc.WEATHER) if with_weather else []
+    ts = cut_lineage(fc.mask_ranges(fc.build_timeseries(panel, spec, freq, with_weather), mask))
+    long = holdout_predictions(ts, freq, (), regs, multiplicative)
+    future = forecast_with_future(ts, horizon, STEP[freq], (), regs, multiplicative)
+    out = {"series": ts, "holdout_errors": metrics.forecast_errors(long, "y", "pred", ["model"]),
+           "forecast": future.select("ds", "yhat", "yhat_lower", "yhat_upper"),
+           "components": future.select("ds", "trend", "yearly", *(["weekly"] if freq == "D" else []))}
+    if cv:
+        out["cv"] = cv_performance(ts, horizon, freq, (), regs, multiplicative)
+        out["cv_mae"] = out["cv"].agg(F.avg("mae").alias("cv_mae"))
+    return out
 
 
-def forecast_fleet(panel: DataFrame, spec: PanelSpec, mask: str | None = None, horizon: int = 8,
-                   period: int = 52, with_weather: bool = False):
-    """Forecast main flow (N05): series → mask → holdout fit + baselines → refit → future."""
+def forecast_matrix(series: DataFrame, by=("dataset",), freq: str = "W", horizon: int | None = None) -> DataFrame:
+    """One row per series: size, holdout errors of model and baselines, cross-validated MAE, verdict.
+
+    ``series`` holds the series of all datasets (``by…, ds, y``): they are
+    fitted, and their cutoffs too, by the same grouped jobs.
+    """
     from panelrisk.operators import metrics
 
-    ts = fc.mask_ranges(fc.build_timeseries(panel, spec, "W", with_weather), mask)
-    sp = fc.holdout_split(ts)
-    regs = ["temp", "humidity"] if with_weather else []
-    fitted = fit_seasonal(sp.withColumn("_tr", F.col("split") == "train"), (), "_tr", regs)
-    base = fc.seasonal_naive(sp, period).select("ds", "split", "naive_mean", "snaive")
-    ev = fitted.join(base, "ds").filter(F.col("split") == "holdout")
-    long = ev.select("y", F.expr("stack(3, 'seasonal_model', yhat, 'naive_mean', naive_mean, "
-                                 "'seasonal_naive', snaive) AS (model, pred)"))
-    errors = metrics.forecast_errors(long, "y", "pred", ["model"])
-    future = forecast_with_future(ts.select("ds", "y", *regs), horizon, 7, (), regs)
-    return {"series": ts, "holdout_errors": errors, "forecast": future.select("ds", "yhat", "yhat_lower", "yhat_upper")}
+    by = list(by)
+    ts = cut_lineage(series.select(*by, "ds", F.col("y").cast("double").alias("y")))
+    size = ts.groupBy(*by).agg(F.count(F.lit(1)).alias("n_periods"), F.avg("y").alias("mean_y"))
+    err = metrics.forecast_errors(holdout_predictions(ts, freq, by), "y", "pred", [*by, "model"])
+    of = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
+    err = err.groupBy(*by).agg(of("seasonal_model", "mae").alias("model_mae"), of("seasonal_model", "rmse").alias("model_rmse"),
+                               of("naive_mean", "mae").alias("naive_mae"), of("seasonal_naive", "mae").alias("snaive_mae"))
+    cv = cv_performance(ts, HORIZON[freq] if horizon is None else horizon, freq, by).groupBy(*by).agg(F.avg("mae").alias("cv_mae"))
+    out = size.join(err, by, "left").join(cv, by, "left")
+    a, b = F.col("model_mae") < F.col("naive_mae"), F.col("model_mae") < F.col("snaive_mae")
+    out = out.withColumn("beats_naive", a.cast("int")).withColumn("beats_snaive", b.cast("int"))
+    text = F.when(a & b, "beats_both").when(a, "beats_naive_only").otherwise("beats_none")
+    return out.withColumn("verdict", text).withColumn("freq", F.lit(freq))

@@ -9,11 +9,16 @@ from panelrisk.operators import events
 from panelrisk.spec import PanelSpec
 
 
-def entity_events(panel: DataFrame, spec: PanelSpec, entity) -> DataFrame:
-    """Events of one entity. The filter sits on the entity key the windows partition by,
-    so Catalyst pushes it below them to the scan. An unknown id raises, listing known ids."""
-    ev = events.with_events(panel, spec).filter(F.col(spec.entity) == F.lit(entity))
-    if not ev.limit(1).collect():
+def only_entity(panel: DataFrame, spec: PanelSpec, entity) -> DataFrame:
+    """Rows of one entity. An unknown id raises, listing known ids."""
+    own = panel.filter(F.col(spec.entity) == F.lit(entity))
+    if not own.limit(1).collect():
         known = [r[0] for r in panel.select(spec.entity).distinct().orderBy(spec.entity).limit(20).collect()]
         raise ValueError(f"unknown {spec.entity} {entity!r}; known ids start with {known}")
-    return ev
+    return own
+
+
+def entity_events(panel: DataFrame, spec: PanelSpec, entity) -> DataFrame:
+    """Events of one entity. The windows partition by the entity key, so filtering the panel first
+    changes nothing in them, and the filter reaches the scan."""
+    return events.with_events(only_entity(panel, spec, entity), spec)

@@ -47,9 +47,7 @@ def q_component_table(spark, sf):
 @register("rolling_origin_cv_model")
 def q_rolling_origin_cv_model(spark, sf):
     ts = fc.mask_ranges(weekly_ts(spark, sf, False), MASK).select("ds", "y")
-    cuts = fc.cutoffs(ts, HORIZON_DAYS)
-    pts = pf.cv_seasonal(ts, cuts, HORIZON_DAYS).filter(F.col("y").isNotNull())
-    return fc.error_by_horizon(pts, "y", "yhat")
+    return pf.cv_performance(ts, HORIZON)
 
 
 @register("forecast_fleet")
@@ -58,6 +56,12 @@ def q_forecast_fleet(spark, sf):
     return out["holdout_errors"]
 
 
+@register("forecast_fleet_daily")
+def q_forecast_fleet_daily(spark, sf):
+    """Daily, multiplicative, with weather: the next 30 days."""
+    return pf.forecast_fleet(fixture_panel(spark, sf), S, MASK, freq="D", with_weather=True, multiplicative=True)["forecast"]
+
+
 @register("cv_classifier")
 def q_cv_classifier(spark, sf):
     from panelrisk.plans.cv import cv_classifier
@@ -90,16 +94,10 @@ def q_target_matrix(spark, sf):
 
 @register("experiment_matrix")
 def q_experiment_matrix(spark, sf):
-    """Per dataset variant: weekly forecast errors of the seasonal model and both baselines."""
-    from panelrisk.sources.variants import VARIANTS, dataset_variants
-
-    v = dataset_variants(fixture_panel(spark, sf), S)
-    out = None
-    for ds in VARIANTS:
-        r = pf.forecast_fleet(v.filter(F.col("dataset") == ds).drop("dataset"), S, None, HORIZON)["holdout_errors"]
-        r = r.withColumn("dataset", F.lit(ds))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Per dataset variant: size, holdout errors of the seasonal model and both baselines, CV MAE, verdict."""
+    from panelrisk.plans.experiments import weekly_series
+
+    return pf.forecast_matrix(weekly_series(fixture_panel(spark, sf), S))
 
 
 def _model_scores(spark, sf):
