@@ -137,3 +137,48 @@ def test_future_regressors_are_those_of_the_series(spark):
 
     filled = joins.month_mean_fill(fc.make_future(ts, 4, 7, "ds", ["e"]), ts, "ds", ["temp"], ["e"]).toPandas()
     assert (filled["temp"] == 10.0 * filled["e"]).all() and len(filled) == 8
+
+
+@pytest.fixture(scope="module")
+def panel(spark):
+    from panelrisk.session import cut_lineage
+    from panelrisk.sources.fixture import fixture_panel
+
+    return cut_lineage(fixture_panel(spark, "/root/testdata/sf0.001"))
+
+
+def test_forecast_options(spark, panel):
+    from panelrisk.spec import FIXTURE_SPEC as S
+
+    entity = panel.agg(F.min("entity_id")).first()[0]
+    out = pf.forecast_fleet(panel, S, None, freq="D", with_weather=True, multiplicative=True, entity=entity, cv=True)
+    series = out["series"].toPandas()
+    events = series["y"].sum()
+    assert events == pf.events.with_events(panel, S).filter(F.col("entity_id") == entity).agg(F.sum("event")).first()[0]
+    assert out["forecast"].count() == len(series) + 30
+    assert {"trend", "yearly", "weekly"} < set(out["components"].columns)
+    cv = out["cv"].toPandas()
+    assert abs(out["cv_mae"].first()[0] - cv["mae"].mean()) < 1e-12 and cv["coverage"].between(0, 1).all()
+    with pytest.raises(ValueError, match="unknown"):
+        pf.forecast_fleet(panel, S, entity=-1)
+
+
+def test_both_halves_of_the_experiment_matrix(spark, panel):
+    from panelrisk.operators import metrics
+    from panelrisk.plans.experiments import experiment_matrix, weekly_series
+    from panelrisk.spec import FIXTURE_SPEC as S
+
+    names = ("full", "until_entity")
+    out = experiment_matrix(panel, S, ("logreg",), names)
+    table = out["classification"].toPandas()
+    assert sorted(table["dataset"]) == sorted(names)
+    assert out["best"].toPandas().set_index("dataset")["pr_auc"].to_dict() == table.set_index("dataset")["pr_auc"].to_dict()
+    got = out["forecast"].toPandas().set_index("dataset")
+    for name in names:
+        # the grouped run gives what the series gives by itself
+        one = weekly_series(panel, S, [name]).drop("dataset")
+        err = metrics.forecast_errors(pf.holdout_predictions(one), "y", "pred", ["model"]).toPandas().set_index("model")
+        assert abs(got.loc[name, "model_mae"] - err.loc["seasonal_model", "mae"]) < 1e-8
+        assert abs(got.loc[name, "snaive_mae"] - err.loc["seasonal_naive", "mae"]) < 1e-8
+        assert abs(got.loc[name, "cv_mae"] - pf.cv_performance(one, 8).toPandas()["mae"].mean()) < 1e-8
+        assert got.loc[name, "beats_naive"] == int(err.loc["seasonal_model", "mae"] < err.loc["naive_mean", "mae"])
