@@ -20,6 +20,26 @@ OUT = [("entity_id", "l"), ("date", "t"), ("event", "i"), ("use_roll30_std", "d"
        ("past_event_rate", "d"), ("score", "d")]
 
 
+FILE_ROWS = 1 << 19  # rows of an arriving file, about
+
+
+def write_months(new, folder: str) -> int:
+    """Write the rows of ``new`` month by month, in order; how many files a month has.
+
+    An entity's rows of a month share a file, and files of later months come later,
+    so a trigger of that many files takes a month at a time, however ``new`` is split.
+    """
+    spark = new.sparkSession
+    by_month = scratch_path(spark, "months")
+    new.withColumn("_month", F.trunc("date", "month")).write.partitionBy("_month").parquet(by_month)
+    rows = spark.read.parquet(by_month)
+    months = rows.groupBy("_month").count().orderBy("_month").collect()  # one row per month
+    files = max([1, *(-(-m["count"] // FILE_ROWS) for m in months)])
+    for m in months:
+        rows.filter(F.col("_month") == F.lit(m["_month"])).select(*new.columns).repartition(files, "entity_id").write.mode("append").parquet(folder)
+    return files
+
+
 @register("stream_score", f"""WITH {FEATURES_SQL},
 {SPLIT_SQL.strip()}
 SELECT f2.entity_id, f2.date, CAST(event AS INTEGER) AS event, ROUND(use_roll30_std, 6) + 0.0 AS use_roll30_std,
@@ -34,11 +54,9 @@ def q_stream_score(spark, sf):
     history = p.filter("split = 'train'").select(*cols)
     incoming = scratch_path(spark, "incoming")
     new = p.filter("split = 'test'").select(*cols)
-    months = [r[0] for r in new.select(F.trunc("date", "month").alias("m")).distinct().orderBy("m").collect()]
-    for m in months:  # files arrive month by month, in order
-        new.filter(F.trunc("date", "month") == F.lit(m)).write.mode("append").parquet(incoming)
+    files = write_months(new, incoming)
     score = lambda d: d.withColumn("score", score_a())
-    out, _ = stream_features(spark, history, incoming, new.schema, S, scratch_path(spark, "stream"), score)
+    out, _ = stream_features(spark, history, incoming, new.schema, S, scratch_path(spark, "stream"), score, max_files_per_trigger=files)
     return typed(out, OUT)
 
 
