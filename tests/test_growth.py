@@ -52,3 +52,17 @@ def test_months_arrive_whole(spark, tmp_path, monkeypatch):
     assert files == 2 and back.count() == len(rows)
     cut = back.groupBy("entity_id", F.trunc("date", "month")).agg(F.countDistinct("file").alias("n")).filter("n > 1")
     assert cut.count() == 0
+
+
+def test_plain_numbers_need_no_regular_expression(spark):
+    """Texts of numbers are written and read as before; only unusual ones reach the regular expressions."""
+    from panelrisk.sources import csv
+
+    texts = ["7", "-12", "+5", "007", "45,0", "12345678901234567890", " 8 ", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [None if r.n is None else int(r.n) for r in df.select(csv.whole_number(F.col("t"), "t").alias("n")).collect()]
+    assert got == [7, -12, 5, 7, 45, 12345678901234567890, 8, None, None]
+    numbers = spark.createDataFrame([(0.5,), (10.0,), (-100.25,), (1e-5,), (0.0,), (None,)], "x double")
+    wrote = [r.s for r in numbers.select(csv.format_decimal_comma(F.col("x")).alias("s")).collect()]
+    assert wrote == ["0,5", "10,0", "-100,25", "0,00001", "0,0", None]
+    assert "regexp" not in numbers.select(csv.format_decimal_comma(F.col("x")))._jdf.queryExecution().optimizedPlan().toString().lower()
