@@ -66,3 +66,21 @@ def test_plain_numbers_need_no_regular_expression(spark):
     wrote = [r.s for r in numbers.select(csv.format_decimal_comma(F.col("x")).alias("s")).collect()]
     assert wrote == ["0,5", "10,0", "-100,25", "0,00001", "0,0", None]
     assert "regexp" not in numbers.select(csv.format_decimal_comma(F.col("x")))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_attach_leaves_the_large_side_in_place(spark):
+    """A few groups are broadcast: the rows are not dealt by a key of four values."""
+    from panelrisk.operators.positions import attach
+
+    rows = spark.range(3_000_000).withColumn("g", F.when(F.col("id") % 4 > 0, F.col("id") % 4))  # more than Spark broadcasts; NULL is a group
+    out = attach(rows, rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")), ["g"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert out.filter("n = 750000").count() == 3_000_000
+
+
+def test_lines_are_grouped_by_entity_and_day_once(spark):
+    from panelrisk.sources.fixture import fixture_panel
+
+    plan = fixture_panel(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(l_suppkey") == 1
