@@ -1,13 +1,14 @@
 """Ridge fits of trend + seasonality from summed products.
 
-A series is fitted from its normal equations, and those come from one grouped
-aggregation. Each fitted row becomes a base vector (1, time, Fourier terms,
-regressors, y); the products of its entries are summed per (series, segment),
-where the segments lie between the changepoints and cutoffs of the series. A
-hinge ``max(0, day - c)`` is linear in (1, time) beyond ``c``, so all products
-with hinges follow from running sums over the segments, and so does the fit at
-every cutoff: one scan of the series serves all of them. Python solves one
-small system per series and cutoff; rows never go there.
+A series is fitted from its normal equations. Each fitted row becomes a base
+vector (1, time, Fourier terms, regressors, y); the products of its entries are
+summed per segment of the series, where the segments lie between its changepoints
+and cutoffs. A hinge ``max(0, day - c)`` is linear in (1, time) beyond ``c``, so
+all products with hinges follow from running sums over the segments, and so does
+the fit at every cutoff: one scan of the series serves all of them. What is
+shuffled is each series' days and values (one per period, so the calendar bounds
+a series); the vectors and their sums, a hundred times larger, live in the task
+that solves the small systems of the series, one per cutoff.
 """
 
 from __future__ import annotations
@@ -83,6 +84,23 @@ def _fit_plans(ts: DataFrame, by: list[str], is_fit: Column, cuts: DataFrame | N
                     F.when(F.col("_n") > 2, cps).otherwise(none).alias("cps"))
 
 
+def _prefix_products(first: int, edges: np.ndarray, epoch: np.ndarray, target: np.ndarray, regressors: list[np.ndarray],
+                     weekly: bool) -> np.ndarray:
+    """Products of the entries of :func:`base_vector` and the target, summed over the segments up to each one."""
+    order = np.lexsort((target, *regressors, epoch))  # the same sums on every run
+    epoch, target = epoch[order], target[order]
+    cols = [np.ones(len(epoch)), (epoch - first) / DAY_SCALE]
+    for period, k in _terms(weekly):
+        angle = epoch * (2 * math.pi * k / period)
+        cols += [np.sin(angle), np.cos(angle)]
+    for r in regressors:
+        r = r[order]
+        cols += [np.where(np.isnan(r), 0.0, r), np.where(np.isnan(r), 0.0, 1.0)]
+    x = np.column_stack([*cols, target])
+    ends = [*np.searchsorted(epoch - first, edges, side="right"), len(x)]  # a row of segment s lies behind s edges
+    return np.cumsum([x[a:b].T @ x[a:b] for a, b in zip([0, *ends], ends)], axis=0)
+
+
 def solve_at(prefix: np.ndarray, edges: np.ndarray, cut_day: float | None, span: float, cps: np.ndarray,
              n_fourier: int, n_reg: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Coefficients of the base vector and of the hinges (in days), and the residual deviation.
@@ -154,18 +172,15 @@ def fit_series(ts: DataFrame, by=(), fit_col: str | None = None, regressors=(),
         F.first("lo").alias("lo"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(own)))).alias("edges"),
         F.collect_list(F.struct("cutoff", "cut_day", "span", "cps")).alias("wanted"))
     wanted = wanted.filter(F.col("lo").isNotNull())
-    rows = attach(ts.filter(is_fit), wanted.select(*by, "lo", "edges"), by)
     target = F.log1p(F.greatest(y, F.lit(0.0))) if multiplicative else y
-    day = F.datediff("ds", "lo").cast("double")
-    vec = [*base_vector(day, F.col("ds"), regs, weekly), target]
-    x = rows.select(*by, F.size(F.filter("edges", lambda e: e < day)).alias("seg"), F.array(*vec).alias("x"))
-    x = x.select(*by, "seg", "x", F.posexplode("x").alias("i", "xi"))
-    p = len(vec)
-    sums = x.groupBy(*by, "seg", "i").agg(F.array(*[F.sum(F.col("xi") * F.get("x", F.lit(j))) for j in range(p)]).alias("s"))
-    sums = sums.groupBy(*by).agg(F.collect_list(F.struct("seg", "i", "s")).alias("_l"))
-    sums = sums.select(*by, F.transform("_l", lambda v: v.seg * p + v.i).alias("at"),
-                       F.flatten(F.transform("_l", lambda v: v.s)).alias("sums"))
-    todo = join_groups(wanted, sums, by, "left") if by else attach(wanted, sums)
+    epoch = F.datediff("ds", F.lit("1970-01-01").cast("date"))
+    known = {f"r{i}": F.coalesce(F.col(r).cast("double"), F.lit(float("nan"))) for i, r in enumerate(regs)}
+    # no value is NULL, so the lists of a series are aligned
+    values = {"epoch": epoch, "target": target, **known}
+    rows = ts.filter(is_fit & F.col("ds").isNotNull()).groupBy(*by).agg(*[F.collect_list(v).alias(n) for n, v in values.items()])
+    names = list(values)
+    wanted = wanted.withColumn("first", F.datediff("lo", F.lit("1970-01-01").cast("date")))
+    todo = join_groups(wanted, rows, by, "left") if by else attach(wanted, rows)
     n_fourier, n_reg = 2 * len(_terms(weekly)), len(regs)
 
     def solve(batches):
@@ -173,10 +188,8 @@ def fit_series(ts: DataFrame, by=(), fit_col: str | None = None, regressors=(),
             out = []
             for rec in b.to_dict("records"):
                 edges = np.asarray(rec["edges"], dtype=float)
-                prods = np.zeros(((len(edges) + 1) * p, p))
-                if rec["at"] is not None and len(rec["at"]):
-                    prods[np.asarray(rec["at"], dtype=int)] = np.asarray(rec["sums"], dtype=float).reshape(-1, p)
-                prefix = np.cumsum(prods.reshape(-1, p, p), axis=0)
+                columns = [np.asarray(rec[n] if rec[n] is not None else [], dtype=float) for n in names]
+                prefix = _prefix_products(rec["first"], edges, *columns[:2], columns[2:], weekly)
                 for w in rec["wanted"]:
                     cps = np.asarray(w["cps"], dtype=float)
                     cut_day = None if w["cut_day"] is None else float(w["cut_day"])
@@ -185,7 +198,7 @@ def fit_series(ts: DataFrame, by=(), fit_col: str | None = None, regressors=(),
             yield pd.DataFrame(out, columns=[*by, "lo", "cutoff", "cps", "hinges", "beta", "resid_sd"])
 
     keys = "".join(f"{k} {ts.schema[k].dataType.simpleString()}, " for k in by)
-    return todo.select(*by, "lo", "edges", "wanted", "at", "sums").mapInPandas(
+    return todo.select(*by, "lo", "first", "edges", "wanted", *names).mapInPandas(
         solve, keys + "lo date, cutoff date, cps array<double>, hinges array<double>, beta array<double>, resid_sd double")
 
 

@@ -84,3 +84,23 @@ def test_lines_are_grouped_by_entity_and_day_once(spark):
 
     plan = fixture_panel(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(l_suppkey") == 1
+
+
+def test_sums_of_a_series_stay_in_its_task(spark):
+    """No row is multiplied by its terms before a shuffle; the sums are those of the segments between the edges."""
+    from panelrisk.operators import normal
+
+    rows = [(e, dt.date(2020, 1, 5) + dt.timedelta(days=7 * i), float(i % 5)) for e in (1, 2) for i in range(60)]
+    ts = spark.createDataFrame(rows, "entity_id long, ds date, y double")
+    assert "Generate" not in normal.fit_series(ts, ["entity_id"])._jdf.queryExecution().optimizedPlan().toString()
+    rng = np.random.default_rng(7)
+    epoch, y, r = rng.permutation(np.arange(18000.0, 18090)), rng.normal(size=90), rng.normal(size=90)
+    r[::4] = np.nan
+    edges = np.array([0.0, 17.0, 17.5, 60.0, 200.0])
+    got = normal._prefix_products(18000, edges, epoch, y, [r], True)
+    vec = lambda i: [1.0, (epoch[i] - 18000) / normal.DAY_SCALE, *[f(epoch[i] * (2 * np.pi * k / p)) for p, k in normal._terms(True) for f in (np.sin, np.cos)],
+                     0.0 if np.isnan(r[i]) else r[i], 0.0 if np.isnan(r[i]) else 1.0, y[i]]
+    for s in range(len(edges) + 1):
+        x = np.array([vec(i) for i in range(90) if (edges < epoch[i] - 18000).sum() <= s]).reshape(-1, 31)
+        assert np.allclose(got[s], x.T @ x)
+    assert normal._prefix_products(0, edges, np.zeros(0), np.zeros(0), [], False).shape == (6, 23, 23)
