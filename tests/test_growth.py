@@ -104,3 +104,35 @@ def test_sums_of_a_series_stay_in_its_task(spark):
         x = np.array([vec(i) for i in range(90) if (edges < epoch[i] - 18000).sum() <= s]).reshape(-1, 31)
         assert np.allclose(got[s], x.T @ x)
     assert normal._prefix_products(0, edges, np.zeros(0), np.zeros(0), [], False).shape == (6, 23, 23)
+
+
+def test_drawn_rows_are_not_shuffled(spark):
+    """The same rows as sorting by the hash; lines and their draws stay where they are, equal draws and missing keys included."""
+    import hashlib
+
+    from panelrisk.operators import sampling
+
+    rows = [(e, dt.date(2020, 1, 1) + dt.timedelta(days=i), f"line {e} {i}") for e in range(20) for i in range(30)]
+    rows += [(3, dt.date(2020, 1, 5), "again"), (None, dt.date(2020, 1, 5), "no key"), (None, dt.date(2020, 1, 6), "no key")]
+    df = spark.createDataFrame(rows, "entity_id long, date date, line string")
+    draw = lambda r: (r[0] is None, hashlib.md5(f"{r[0]}|{r[1]}-42".encode()).hexdigest()[:26])
+    order = sorted(rows, key=draw)
+    for n in (0, 1, 100, 601, 602, 603, 700):
+        out = sampling.first_drawn(df, S, n)
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == min(n, 603) and sorted(map(draw, got)) == [draw(r) for r in order[:n]] and len(set(got)) == len(got)
+    assert "Exchange" not in sampling.first_drawn(df, S, 100)._jdf.queryExecution().executedPlan().toString()
+    again = [i for i, r in enumerate(order) if draw(r) == draw((3, dt.date(2020, 1, 5)))]
+    assert len(again) == 2 and len(sampling.first_drawn(df, S, again[1]).collect()) == again[1]
+    numbers = spark.createDataFrame([(5,), (5,), (0,), (1 << 52,), ((1 << 52) - 1,)], "a long")
+    assert [sampling.nth_smallest(numbers, "a", n) for n in range(1, 7)] == [(0, 0), (5, 1), (5, 1), ((1 << 52) - 1, 3), (1 << 52, 4), None]
+
+
+def test_lines_are_not_dealt_by_their_file(spark, tmp_path):
+    from panelrisk.sources import csv
+
+    (tmp_path / "a.csv").write_text("k;v\n1;x\n2;y\n")
+    (tmp_path / "b.csv").write_text("k;v\n3;z\n")
+    header, lines = csv.read_raw_lines(spark, str(tmp_path))
+    assert header == "k;v" and [r.line for r in lines.orderBy("line_no").collect()] == ["1;x", "2;y", "3;z"]
+    assert "hashpartitioning" not in lines._jdf.queryExecution().executedPlan().toString()
