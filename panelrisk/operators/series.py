@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelrisk.functions.calendar import week_ending_sunday
+from panelrisk.session import cut_lineage
 
 
 def daily_sum(df: DataFrame, date_col: str, value_col: str, out: str = "y") -> DataFrame:
@@ -37,6 +38,7 @@ def densify(series: DataFrame, fill: dict | None = None, ds: str = "ds", by=())
     Missing values of the columns named in ``fill`` become the given constant;
     other columns stay NULL (to be interpolated).
     """
+    series = cut_lineage(series)  # one row per day, read by the calendar's bounds and by the join
     cal = calendar(series, ds, by=by)
     out = cal.join(series, [*by, ds], "left")
     for c, v in (fill or {}).items():

@@ -136,3 +136,13 @@ def test_lines_are_not_dealt_by_their_file(spark, tmp_path):
     header, lines = csv.read_raw_lines(spark, str(tmp_path))
     assert header == "k;v" and [r.line for r in lines.orderBy("line_no").collect()] == ["1;x", "2;y", "3;z"]
     assert "hashpartitioning" not in lines._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_series_is_counted_once(spark):
+    """The calendar's bounds and the join read the finished series, not its rows twice."""
+    from panelrisk.operators import series
+
+    rows = spark.createDataFrame([(dt.date(2020, 1, d), 1) for d in (1, 1, 4)], "ds date, y int")
+    out = series.densify(series.daily_sum(rows, "ds", "y"), {"y": 0})
+    assert "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.y for r in out.orderBy("ds").collect()] == [2, 0, 0, 1]
