@@ -93,3 +93,15 @@ def test_one_class(rows, label):
 def test_other_labels_are_refused(rows):
     with pytest.raises(Exception):
         models.fit("gbt_regularized", rows.withColumn("label", F.lit(2.0)), {"maxIter": 2})
+
+
+def test_matrices_hold_the_vector_only(spark):
+    """The written matrices held every feature twice, in the vector and in a column of its own."""
+    from panelrisk.plans.train import prepare_matrices
+    from panelrisk.spec import FIXTURE_SPEC as S
+
+    row = "SELECT id AS entity_id, date'2020-01-01' AS date, IF(id % 4 = 0, 'test', 'train') AS split, double(id % 2) AS label, double(id) AS a, id % 3 AS b FROM range(40)"
+    p, train, test = prepare_matrices(spark.sql(row), S)
+    assert train.columns == ["entity_id", "date", "split", "label", "features"] == test.columns
+    assert (train.count(), test.count()) == (30, 10)
+    assert [float(v) for v in test.orderBy("entity_id").first().features] == [0.0, 0.0]
