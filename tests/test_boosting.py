@@ -105,3 +105,56 @@ def test_matrices_hold_the_vector_only(spark):
     assert train.columns == ["entity_id", "date", "split", "label", "features"] == test.columns
     assert (train.count(), test.count()) == (30, 10)
     assert [float(v) for v in test.orderBy("entity_id").first().features] == [0.0, 0.0]
+
+
+def test_bundles_hold_every_feature_and_bin():
+    """Features of few bins share a count; the sums of each come apart again."""
+    rng = np.random.default_rng(1)
+    bins = [32, 2, 7, 256, 32, 1, 2, 12]
+    x = np.array([rng.integers(0, b, 500) for b in bins]).astype(np.uint8)
+    u = boosting._Bundles(bins)
+    assert sorted(j for own in u.features for j in own) == list(range(8)) and len(u.sizes) < 5 and max(u.sizes) <= boosting.MOST_CELLS
+    codes = u.codes(x)
+    sums = [np.stack([np.bincount(c, minlength=k)[None], np.bincount(c, np.arange(500.0), k)[None]]) for c, k in zip(codes, u.sizes)]
+    got = u.apart(sums, max(bins))
+    for j, b in enumerate(bins):
+        assert np.array_equal(got[0, 0, j, :b], np.bincount(x[j], minlength=b)) and not got[:, :, j, b:].any()
+        assert np.array_equal(got[1, 0, j, :b], np.bincount(x[j], np.arange(500.0), b))
+        right = u.goes_right(np.array([j]), np.array([b // 2]))[0]
+        assert np.array_equal(right[codes[u.of[j]]], x[j] > b // 2)
+
+
+@pytest.mark.parametrize("weights", [(1.0, 3.7), None])
+def test_sums_do_not_depend_on_blocks_or_bundles(weights, monkeypatch):
+    """Exact sums: however rows and features are joined, the trees are the same to the last bit."""
+    rng = np.random.default_rng(2)
+    bins, batches = [32, 2, 7, 32, 32], []
+    for _ in range(6):
+        x = np.array([rng.integers(0, b, 300) for b in bins]).astype(np.uint8)
+        x[4] = x[3]  # equal features: every cut ties
+        y = ((x[0] > 16) ^ (x[3] > 20) ^ (rng.random(300) < 0.2)).astype(float)
+        w = np.where(y > 0, 3.7, 1.0) * (1 if weights else rng.random(300))
+        batches.append((x.tobytes(), y.tobytes(), w.tobytes()))
+    s = boosting.Settings(4, 0.1, 4, 5, 0.8, 5, 42, boosting.exact_scale(1800, 3.7), weights)
+
+    class own:
+        total = staticmethod(np.copy)
+
+    def trees(rows, cells):
+        monkeypatch.setattr(boosting, "BLOCK_ROWS", rows)
+        u = boosting._Bundles(bins, cells)
+        blocks = [boosting._Block(b, u, s) for b in boosting._runs(list(batches))]
+        return len(blocks), len(u.sizes), [boosting._one_tree(own, blocks, u, s, t) for t in range(1)]
+
+    (n, k, a), (m, j, b) = trees(300, 1), trees(10_000, 1024)
+    assert (n, m) == (6, 1) and j < k == 5
+    for p, q in zip(a, b):
+        assert all(np.array_equal(p[c], q[c]) for c in ("feature", "cut", "left", "gain")) and len(p["left"]) > 5
+        assert 4 not in p["feature"]  # the first of equal features
+
+
+def test_weights_that_differ_within_a_class(rows):
+    """The general sums give MLlib's trees as well."""
+    some = rows.withColumn("weight", 0.5 + F.col("id") % 7)
+    est = models.build("gbt_depth6", "weight", DEEP)
+    assert np.allclose(scores(boosting.fit(est, some), rows), scores(est.fit(some), rows), atol=1e-9)
