@@ -311,3 +311,20 @@ def test_oversampling_interpolates_between_neighbours(spark):
     assert smote_minority(df, spec, "y", ["x", "z"], ["k"], ratio=0.1).count() == len(rows)
     again = smote_minority(df, spec, "y", ["x", "z"], ["k"], leaf=16).toPandas()
     assert sorted(map(tuple, out.dropna().to_numpy().tolist())) == sorted(map(tuple, again.dropna().to_numpy().tolist()))
+
+
+def test_ordinal_codes_reach_the_rows(spark):
+    """Train's dictionary, and all rows of both splits encoded with it: NULL as the mode, an unseen category -1."""
+    import datetime as dt
+
+    from panelrisk.queries.q_models import encoded_rows
+
+    day = dt.date(2020, 1, 1)
+    made = [(1, "train", "b", 10), (2, "train", "a", 9), (3, "train", "b", 10), (4, "test", None, 9), (5, "test", "new", 11)]
+    f = spark.createDataFrame([(e, day, s, k, w) for e, s, k, w in made], "entity_id long, date date, split string, kind string, code_no int")
+    got = {(r.part, r.entity_id, r.feature, r.value, r.code) for r in encoded_rows(f, ["kind", "code_no"]).collect()}
+    codes = {"a": 0, "b": 1, "9": 0, "10": 1}
+    want = {("dictionary", -1, "kind" if v.isalpha() else "code_no", v, c) for v, c in codes.items()}
+    for e, s, k, w in made:
+        want |= {(s, e, "kind", k or "b", codes.get(k or "b", -1)), (s, e, "code_no", str(w), codes.get(str(w), -1))}
+    assert got == want
