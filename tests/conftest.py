@@ -14,3 +14,13 @@ def spark():
 
     s = local_session("*", shuffle_partitions=8, app="panelrisk-tests")
     yield s
+
+
+@pytest.fixture(autouse=True, scope="module")
+def own_cache():
+    """Tables that a module's tests cache do not show up in the plans of the next module."""
+    from pyspark.sql import SparkSession
+
+    yield
+    if (s := SparkSession.getActiveSession()) is not None:
+        s.catalog.clearCache()

@@ -158,3 +158,31 @@ def test_weights_that_differ_within_a_class(rows):
     some = rows.withColumn("weight", 0.5 + F.col("id") % 7)
     est = models.build("gbt_depth6", "weight", DEEP)
     assert np.allclose(scores(boosting.fit(est, some), rows), scores(est.fit(some), rows), atol=1e-9)
+
+
+def test_rows_that_do_not_fit_lie_in_a_scratch_file(rows, monkeypatch, tmp_path):
+    """A task holds a bounded part of its rows in memory; the trees are the same."""
+    rng = np.random.default_rng(4)
+    bins, s = [32, 2, 7], boosting.Settings(6, 0.1, 4, 5, 0.8, 2, 42, boosting.exact_scale(40_000, 2.0), (1.0, 2.0))
+    batches = []
+    for _ in range(10):
+        x = np.array([rng.integers(0, b, 4000) for b in bins]).astype(np.uint8)
+        y = ((x[0] > 16) ^ (rng.random(4000) < 0.2)).astype(float)
+        batches.append((x.tobytes(), y.tobytes(), np.where(y > 0, 2.0, 1.0).tobytes()))
+
+    class own:
+        total = staticmethod(np.copy)
+
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 8000)
+    u, grown = boosting._Bundles(bins), {}
+    for most in (1 << 40, 100_000, 0):
+        shelf = boosting._Shelf(most)
+        blocks = [boosting._Block(b, u, s, shelf) for b in boosting._runs([boosting._coded(b, u, shelf) for b in batches])]
+        grown[most] = [boosting._one_tree(own, blocks, u, s, t) for t in range(s.trees)]
+        held = sum(k.values.nbytes for b in blocks for k in (*b.codes, b.y, b.w, b.margin, b.target, b.at, b.some) if k.values is not None)
+        assert (shelf.file is None) == (most == 1 << 40) and held <= most
+    for a in (grown[100_000], grown[0]):
+        assert all(np.array_equal(p[c], q[c]) for p, q in zip(a, grown[1 << 40]) for c in p)
+    want = scores(models.fit("gbt", rows, {"maxIter": 4}), rows)
+    monkeypatch.setattr(boosting, "HELD_BYTES", 0)
+    assert np.array_equal(scores(models.fit("gbt", rows, {"maxIter": 4}), rows), want)
